@@ -20,6 +20,25 @@ def clip(x: Column, low, high) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
+def fixed_point(x, digits: int) -> Column:
+    """Round a double to ``digits`` decimals by its exact binary value, ties to even.
+
+    Formatting rounds the shortest decimal instead, which turns 22.25 into 22.3. Only a
+    scaled value of exactly one half is in doubt; the product's own rounding error (split
+    into two halves of the mantissa) tells on which side it lies.
+    """
+    x = F.col(x) if isinstance(x, str) else x
+    a, scale = F.abs(x), 10.0 ** digits
+    scaled = a * scale
+    whole = F.floor(scaled)
+    high = a * 134217729.0 - (a * 134217729.0 - a)
+    error = (high * scale - scaled) + (a - high) * scale
+    part = scaled - whole
+    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+    rounded = F.when(up, whole + 1).otherwise(whole) / scale
+    return F.when(x < 0, rounded * -1.0).otherwise(rounded)
+
+
 def shrunk_rate(wins, places23, starts, place_weight: float = 0.35) -> Column:
     """Win rate plus weighted top-3 rate, both pulled toward a prior of eight starts."""
     w, p, s = (F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(0)) for c in (wins, places23, starts))

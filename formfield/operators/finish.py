@@ -45,47 +45,47 @@ def _without_self(values: Column, r: Column) -> Column:
 
 
 def _finish(df: DataFrame) -> DataFrame:
-    r, n = F.col("__r"), F.col("__n")
-    second = r * (F.col("__A") - r / (1.0 - r))
-    third = F.when(n >= 3, r * F.greatest(F.col("__W") / 2.0 - F.col("__R"), F.lit(0.0))).otherwise(0.0)
+    r, n = F.col("__share"), F.col("__count")
+    second = r * (F.col("__firsts") - r / (1.0 - r))
+    third = F.when(n >= 3, r * F.greatest(F.col("__pairs") / 2.0 - F.col("__own_pairs"), F.lit(0.0))).otherwise(0.0)
     top2 = F.when(n <= 2, F.lit(1.0)).otherwise(F.least(r + second, F.lit(1.0)))
     return (
         df.withColumn("top2", top2)
         .withColumn("top3", F.when(n <= 3, F.lit(1.0)).otherwise(F.least(F.col("top2") + third, F.lit(1.0))))
-        .withColumn("exp_pos", F.col("__E"))
-        .drop("__r", "__n", "__A", "__W", "__R", "__E", "__S")
+        .withColumn("exp_pos", F.col("__mean"))
+        .drop("__share", "__count", "__firsts", "__pairs", "__own_pairs", "__mean", "__sum")
     )
 
 
 def _share(df: DataFrame, g: Groups, p: str) -> DataFrame:
-    df = g.stats(df, __S=F.sum(p), __n=F.count("*"))
+    df = g.stats(df, __sum=F.sum(p), __count=F.count("*"))
     # a lone runner has r = 1; its pair terms are unused but must stay finite
-    return df.withColumn("__r", F.when(F.col("__n") == 1, 0.5).otherwise(F.col(p) / F.col("__S")))
+    return df.withColumn("__share", F.when(F.col("__count") == 1, 0.5).otherwise(F.col(p) / F.col("__sum")))
 
 
 def _in_field(df: DataFrame, g: Groups, p: str) -> DataFrame:
     df = _share(df, g, p)
-    r = F.col("__r")
-    df = g.stats(df, __A=F.sum(r / (1.0 - r)), __field=F.collect_list(r))
+    r = F.col("__share")
+    df = g.stats(df, __firsts=F.sum(r / (1.0 - r)), __field=F.collect_list(r))
     df = df.withColumn("__others", _without_self(F.col("__field"), r))
     df = df.withColumns({
-        "__R": _sum_over(F.col("__others"), lambda s: _pair(r, s)),
-        "__E": 1.0 + _sum_over(F.col("__others"), lambda s: s / (r + s)),
+        "__own_pairs": _sum_over(F.col("__others"), lambda s: _pair(r, s)),
+        "__mean": 1.0 + _sum_over(F.col("__others"), lambda s: s / (r + s)),
     })
-    return _finish(g.stats(df, __W=F.sum("__R")).drop("__field", "__others"))
+    return _finish(g.stats(df, __pairs=F.sum("__own_pairs")).drop("__field", "__others"))
 
 
 def _in_large_group(df: DataFrame, g: Groups, p: str, tie: str) -> DataFrame:
     df = g.settle(_share(g.settle(df), g, p))
-    r = F.col("__r")
+    r = F.col("__share")
 
-    top = df.select(*g.by, "__r", tie).withColumn("__n64", F.row_number().over(
+    top = df.select(*g.by, "__share", tie).withColumn("__place", F.row_number().over(
         g.window.orderBy(r.desc(), F.col(tie).asc())
-    )).filter(F.col("__n64") <= LISTED_RUNNERS)
+    )).filter(F.col("__place") <= LISTED_RUNNERS)
     listed = top.groupBy(*g.by).agg(
-        F.collect_list("__r").alias("__top"),
-        F.min("__r").alias("__edge"),
-        F.max_by(tie, "__n64").alias("__edge_tie"),
+        F.collect_list("__share").alias("__top"),
+        F.min("__share").alias("__edge"),
+        F.max_by(tie, "__place").alias("__edge_tie"),
     )
     df = join_back(df, listed, g.by, small=g.listed)
     in_top = (r > F.col("__edge")) | ((r == F.col("__edge")) & (F.col(tie) <= F.col("__edge_tie")))
@@ -93,26 +93,26 @@ def _in_large_group(df: DataFrame, g: Groups, p: str, tie: str) -> DataFrame:
 
     light = F.when(~F.col("__heavy"), r)
     grid = F.array(*[F.lit(t) for t in GRID])
-    aggs = {"__A": F.sum(r / (1.0 - r))}
+    aggs = {"__firsts": F.sum(r / (1.0 - r))}
     for m in range(1, SERIES_TERMS + 2):
-        aggs[f"__M{m}"] = F.sum(F.pow(light, F.lit(m)))
-        aggs[f"__N{m}"] = F.sum(F.pow(light, F.lit(m)) / (1.0 - light))
+        aggs[f"__powers{m}"] = F.sum(F.pow(light, F.lit(m)))
+        aggs[f"__ratios{m}"] = F.sum(F.pow(light, F.lit(m)) / (1.0 - light))
     for q, t in enumerate(GRID):
-        aggs[f"__K{q}"] = F.sum(-F.expm1(-r * t))
+        aggs[f"__grid{q}"] = F.sum(-F.expm1(-r * t))
     table = df.groupBy(*g.by).agg(*[a.alias(n) for n, a in aggs.items()])
     terms = range(1, SERIES_TERMS + 2)
     table = table.select(
-        *g.by, "__A",
-        F.array(*[F.coalesce(F.col(f"__M{m}"), F.lit(0.0)) for m in terms]).alias("__M"),
-        F.array(*[F.coalesce(F.col(f"__N{m}"), F.lit(0.0)) for m in terms]).alias("__N"),
-        F.array(*[F.col(f"__K{q}") for q in range(len(GRID))]).alias("__K"),
+        *g.by, "__firsts",
+        F.array(*[F.coalesce(F.col(f"__powers{m}"), F.lit(0.0)) for m in terms]).alias("__powers"),
+        F.array(*[F.coalesce(F.col(f"__ratios{m}"), F.lit(0.0)) for m in terms]).alias("__ratios"),
+        F.array(*[F.col(f"__grid{q}") for q in range(len(GRID))]).alias("__grid"),
     )
     df = join_back(df, table, g.by, small=g.listed)
 
     others = F.when(F.col("__heavy"), _without_self(F.col("__top"), r)).otherwise(F.col("__top"))
     # sum over light k of r_k^(m+1) (1/(1-r_i) + 1/(1-r_k)) / (1-r_i)^(m+1), m = 0, 1, …
     series = F.aggregate(
-        F.arrays_zip(F.col("__M").alias("M"), F.col("__N").alias("N")),
+        F.arrays_zip(F.col("__powers").alias("M"), F.col("__ratios").alias("N")),
         F.struct(F.lit(0.0).alias("total"), (1.0 / (1.0 - r)).alias("factor")),
         lambda acc, x: F.struct(
             (acc["total"] + acc["factor"] * (x["M"] / (1.0 - r) + x["N"])).alias("total"),
@@ -122,15 +122,15 @@ def _in_large_group(df: DataFrame, g: Groups, p: str, tie: str) -> DataFrame:
     )
     own = F.when(F.col("__heavy"), 0.0).otherwise(_pair(r, r))
     integral = F.aggregate(
-        F.arrays_zip(grid.alias("t"), F.col("__K").alias("K")),
+        F.arrays_zip(grid.alias("t"), F.col("__grid").alias("K")),
         F.lit(0.0),
         lambda acc, x: acc + r * x["t"] * F.exp(-r * x["t"]) * x["K"],
     )
     df = df.withColumns({
-        "__R": _sum_over(others, lambda s: _pair(r, s)) + r * series - own,
-        "__E": 0.5 + GRID_STEP * integral,
-    }).drop("__top", "__edge", "__edge_tie", "__heavy", "__M", "__N", "__K")
-    return _finish(g.stats(g.settle(df), __W=F.sum("__R")))
+        "__own_pairs": _sum_over(others, lambda s: _pair(r, s)) + r * series - own,
+        "__mean": 0.5 + GRID_STEP * integral,
+    }).drop("__top", "__edge", "__edge_tie", "__heavy", "__powers", "__ratios", "__grid")
+    return _finish(g.stats(g.settle(df), __pairs=F.sum("__own_pairs")))
 
 
 @group_operator(limit=LISTED_RUNNERS)

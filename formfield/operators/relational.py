@@ -64,8 +64,8 @@ def sequence_gaps(df: DataFrame, by: list[str], key: str = "tab") -> DataFrame:
         F.explode(F.sequence(
             F.col("__chunk") * GAP_CHUNK + 1,
             F.least(F.col("__max"), (F.col("__chunk") + 1) * GAP_CHUNK),
-        )).cast(df.schema[key].dataType).alias(key),
-    )
+        )).alias(key),
+    ).withColumn(key, F.col(key).cast(df.schema[key].dataType))
     return expected.join(df.select(*by, key).distinct(), [*by, key], "left_anti")
 
 

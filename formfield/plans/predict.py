@@ -10,7 +10,7 @@ from formfield.functions.numbers import box_rates, finite, freshness_score, trai
 from formfield.groups import Groups, by_group_size
 from formfield.operators import field as W
 from formfield.operators.finish import LISTED_RUNNERS, finish_order_probs
-from formfield.operators.history import history_scores, take_recent, with_targets
+from formfield.operators.history import history_scores, with_targets
 from formfield.operators.relational import own_box_stats
 from formfield.plans.views import explain_text
 
@@ -29,15 +29,17 @@ def record_columns(records: DataFrame, by: list[str] = KEY) -> DataFrame:
 
 def raw_components(
     runners: DataFrame, records: DataFrame, box_stats: DataFrame, runs: DataFrame, races: DataFrame,
-    negate_default: bool = False,
+    run_counts: DataFrame | None = None, negate_default: bool = False,
 ) -> DataFrame:
     """Active runners with the seven raw component scores and the facts behind them.
 
-    History is reduced to one row per runner before it meets the runners.
+    History is reduced to one row per runner before it meets the runners. ``run_counts``
+    gives ``n_runs`` of the full history where ``runs`` holds only its newest part.
     """
-    counted = runs.groupBy(*KEY).agg(F.count("*").alias("n_runs"))
-    scored = history_scores(with_targets(take_recent(runs), races), KEY, negate_default).drop("n_runs")
-    df = W.active(runners).join(scored, KEY, "left").join(counted, KEY, "left")
+    scored = history_scores(with_targets(runs, races), KEY, negate_default)
+    if run_counts is not None:
+        scored = scored.drop("n_runs").join(run_counts, KEY, "full")
+    df = W.active(runners).join(scored, KEY, "left")
     df = df.join(record_columns(records), KEY, "left")
     df = own_box_stats(df, box_stats)
     return with_raw_scores(df, negate_default)
@@ -80,21 +82,30 @@ def score_field(df: DataFrame, g: Groups, alpha: float = K.MARKET_ALPHA) -> Data
     return explain_text(W.classify(W.fair_and_ev(df)))
 
 
-def predict_components(df: DataFrame, alpha: float = K.MARKET_ALPHA, *, bounded: bool = False) -> DataFrame:
-    """Score rows that already carry raw components. ``bounded`` says that the source keeps
-    races small (pages hold at most ten tabs), so group sizes need no counting."""
+def by_race(runners: DataFrame, fn, *, bounded: bool = False) -> DataFrame:
+    """``fn(active runners, groups)`` with the plan that fits the field sizes.
+
+    Sizes are counted on the runners alone, before history is joined. ``bounded`` says that
+    the source keeps races small (a page holds at most ten tabs), so nothing is counted.
+    """
+    live = W.active(runners)
     if bounded:
-        return score_field(df, Groups(["race_id"]), alpha)
-    return by_group_size(df, ["race_id"], lambda d, g: score_field(d, g, alpha), LISTED_RUNNERS)
+        return fn(live, Groups(["race_id"]))
+    return by_group_size(live, ["race_id"], fn, LISTED_RUNNERS)
 
 
 def predict(
     runners: DataFrame, records: DataFrame, box_stats: DataFrame, runs: DataFrame, races: DataFrame,
-    alpha: float = K.MARKET_ALPHA, *, negate_default: bool = False, bounded: bool = False,
+    alpha: float = K.MARKET_ALPHA, *, run_counts: DataFrame | None = None, negate_default: bool = False,
+    bounded: bool = False,
 ) -> DataFrame:
     """Predictions of every race that has at least two active runners."""
-    df = raw_components(runners, records, box_stats, runs, races, negate_default)
-    return predict_components(df, alpha, bounded=bounded)
+    def run(live, g):
+        return score_field(
+            raw_components(live, records, box_stats, runs, races, run_counts, negate_default), g, alpha
+        )
+
+    return by_race(runners, run, bounded=bounded)
 
 
 def predict_forms(forms: DataFrame, alpha: float = K.MARKET_ALPHA) -> DataFrame:

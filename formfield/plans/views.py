@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formfield import constants as K
+from formfield.functions.numbers import finite, fixed_point
 
 KEY = ["race_id", "tab"]
 
@@ -30,29 +31,25 @@ def race_labels(races: DataFrame) -> DataFrame:
     })
 
 
-def signed(x: Column) -> Column:
-    return F.format_string("%+.2f", x)
-
-
 def explain_text(df: DataFrame) -> DataFrame:
     """One paragraph per runner on why it is rated as it is."""
     parts = [
         F.format_string("Projected early position %d of %d.", "early_rank", "n_active"),
         F.format_string(
             "Current box %d history: %.1f%% win, %.1f%% top-3 equivalent over %d starts.",
-            "box", F.col("box_win_rate") * 100, F.col("box_place_rate") * 100, "box_starts",
+            "box", fixed_point(_percent("box_win_rate"), 1), fixed_point(_percent("box_place_rate"), 1), "box_starts",
         ),
         F.format_string(
             "Market %.1f%% vs fundamental %.1f%%; blended win %.1f%%.",
-            F.col("p_mkt") * 100, F.col("p_fund") * 100, F.col("p_win") * 100,
+            *[fixed_point(_percent(c), 1) for c in ("p_mkt", "p_fund", "p_win")],
         ),
         F.when(
             (F.col("quick") > 0) | (F.col("slow") > 0),
             F.format_string("Recent steward starts: %d quick / %d slow to begin.", "quick", "slow"),
         ),
         F.format_string(
-            "Model fair odds $%.2f; listed exchange odds $%.2f; EV %+.2f.", "fair",
-            F.coalesce("bf_odds", F.lit(K.NO_PRICE)), "ev_win",
+            "Model fair odds $%.2f; listed exchange odds $%.2f; EV %+.2f.",
+            *[fixed_point(x, 2) for x in ("fair", finite("bf_odds", K.NO_PRICE), "ev_win")],
         ),
     ]
     return df.withColumn("why", F.concat_ws(" ", *parts))
@@ -133,7 +130,8 @@ def speed_map_view(predictions: DataFrame, ordered: bool = True) -> DataFrame:
 
 def explain_view(predictions: DataFrame, ordered: bool = True) -> DataFrame:
     heading = F.format_string(
-        "%d. Box %d · %s — Win %.1f%% · %s", "pred_rank", "box", "horse", _percent("p_win"), "rec"
+        "%d. Box %d · %s — Win %.1f%% · %s", "pred_rank", "box", "horse",
+        fixed_point(_percent("p_win"), 1), "rec",
     )
     out = predictions.select(
         "race_id", F.col("pred_rank").alias("Pred"), heading.alias("Heading"),
