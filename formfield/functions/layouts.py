@@ -12,14 +12,13 @@ from pyspark.sql import functions as F
 from formfield import constants as K
 from formfield.functions import patterns as P
 from formfield.functions.text import (
-    extract, normalise_name, segment_between, split_cells, split_lines, strip, to_number,
+    normalise_name, one_line_ends, segment_between, split_cells, split_lines, strip, to_number,
 )
 
 RUNNER = (
     "array<struct<tab:int,box:int,horse:string,weight:double,trainer:string,"
     "scratched:boolean,tab_odds:double>>"
 )
-HEADER = "struct<line:int,name:int,trainer:int,weight:int>"
 
 
 def _runner(tab, horse, weight, trainer, scratched, price) -> Column:
@@ -58,32 +57,30 @@ def _from(cells: Column, index: Column) -> Column:
     return F.slice(cells, index + 1, F.greatest(F.size(cells) - index, F.lit(0)))
 
 
-def find_table_columns(lines: Column) -> Column:
-    """Line and column numbers of the first ``Tab | Runner | … | Trainer`` header, by label."""
-    def found(line, i):
-        low = F.transform(split_cells(line), lambda c: F.lower(c))
-
-        def first_of(labels):
-            hits = F.array_compact(F.array(*[
-                F.nullif(F.array_position(low, F.lit(x)).cast("int"), F.lit(0)) for x in labels
-            ]))
-            return (F.array_min(hits) - 1).cast("int")
-
-        return F.struct(
-            i.cast("int").alias("line"), first_of(P.NAME_HEADERS).alias("name"),
-            first_of(("trainer",)).alias("trainer"), first_of(P.WEIGHT_HEADERS).alias("weight"),
-            ((F.size(low) >= 3) & (F.get(low, 0) == "tab")).alias("ok"),
-        )
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, also inside another lambda."""
+    return F.get(F.transform(F.array(value), use), 0)
 
-    numbered = F.filter(
-        F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
-        lambda r: F.lower(F.substring(r["x"], 1, 3)) == "tab",
-    )
-    headers = F.filter(
-        F.transform(numbered, lambda r: found(r["x"], r["i"])), lambda h: h["ok"] & h["name"].isNotNull()
-    )
-    first = F.get(headers, 0)
-    return F.struct(first["line"], first["name"], first["trainer"], first["weight"]).cast(HEADER)
+
+def _first_of(cells: Column, labels) -> Column:
+    """0-based place of the first cell that is one of the labels."""
+    hits = F.filter(F.transform(cells, lambda c, i: F.when(c.isin(*labels), i)), lambda i: i.isNotNull())
+    return F.get(hits, 0)
+
+
+def find_table_columns(lines: Column, text: Column) -> Column:
+    """Line and column numbers of the first ``Tab | Runner | … | Trainer`` header, by label."""
+    candidates = F.regexp_extract_all(text, F.lit(r"(?mid)^tab(?:\t| {2}).*$"), F.lit(0))
+    cells = F.transform(candidates, lambda x: F.struct(
+        x.alias("x"), F.transform(split_cells(x), lambda c: F.lower(c)).alias("low")))
+    valid = F.filter(cells, lambda h: (F.size(h["low"]) >= 3) & (F.get(h["low"], 0) == "tab")
+                     & F.exists(h["low"], lambda c: c.isin(*P.NAME_HEADERS)))
+    return F.get(F.transform(F.slice(valid, 1, 1), lambda h: F.struct(
+        (F.array_position(lines, h["x"]) - 1).cast("int").alias("line"),
+        _first_of(h["low"], P.NAME_HEADERS).alias("name"),
+        _first_of(h["low"], ("trainer",)).alias("trainer"),
+        _first_of(h["low"], P.WEIGHT_HEADERS).alias("weight"),
+    )), 0)
 
 
 def field_table(lines: Column, header: Column) -> Column:
@@ -105,10 +102,12 @@ def field_table(lines: Column, header: Column) -> Column:
     return F.coalesce(found, F.array().cast(RUNNER))
 
 
-def pipe_table(raw_lines: Column) -> Column:
+def pipe_table(raw: Column) -> Column:
     """Markdown rows ``| 1 | [NAME](…) | weight | [TRAINER](…) | …`` of uncleaned text."""
-    rows = F.filter(F.transform(raw_lines, strip), lambda x: x.rlike(P.PIPE_ROW))
-    rows = F.transform(rows, lambda x: F.transform(F.split(F.btrim(x, F.lit("|")), r"\|"), strip))
+    rows = F.regexp_extract_all(one_line_ends(raw), F.lit(P.PIPE_ROW), F.lit(0))
+    rows = F.transform(
+        rows, lambda x: F.transform(F.split(F.btrim(strip(x), F.lit("|")), r"\|"), strip)
+    )
 
     def label(cell):
         linked = F.regexp_extract(cell, P.PIPE_LINK, 1)

@@ -38,7 +38,7 @@ WORD_SCRATCH = r"(?i)\bscr\b"
 WEIGHT_CELL = r"^\d{2}(?:\.\d+)?$"
 PRICE_CELL = r"^\$?\d+(?:\.\d+)?$"
 PLAIN_NUMBER = r"^\d+(?:\.\d+)?$"
-PIPE_ROW = r"^\|\s*\d{1,2}\s*\|"
+PIPE_ROW = rf"(?md)^[{NOT_NL_WS}]*\|[{NOT_NL_WS}]*\d{{1,2}}[{NOT_NL_WS}]*\|[^\n]*$"
 PIPE_LINK = r"\[\**([^\]]+?)\**\]\("
 GLUED_HEADER = r"(?mid)^\|?\s*TabRunnerWTTrainer\b.*$"
 SPLIT_HEADER = r"(?mid)^Tab\s*Runner\s*WT\s*Trainer\b.*$"
@@ -46,6 +46,7 @@ TABLE_END = r"(?mid)^Explanations\s*$"
 RULE_LINE = r"^[|\- ]+$"
 
 # --- Fixed values: runner blocks --------------------------------------------------
+BLOCK_MARK = r"(?i)\dyo\b"
 BLOCK_HEADER = r"(?i)^(.+?)\s+\d+yo\b"
 FORM_AND_PRICE = (
     r"(?mid)^\s*([fFxX0-9]{3,10})\s*$\s*^\s*(betfair|tab)?\s*\$?\s*([0-9]+(?:\.[0-9]+)?)\s*$"

@@ -163,18 +163,24 @@ def extract_facts(col) -> Column:
     )
 
 
+def captured_number(col, pattern: str, group: int = 1) -> Column:
+    """A captured run of digits and dots as a number: NULL if absent, 0 if malformed."""
+    text = extract(col, pattern, group)
+    return F.when(text.isNotNull(), F.coalesce(text.try_cast("double"), F.lit(0.0)))
+
+
 _METRIC_TYPES = {
-    "number": lambda x: F.when(x.isNotNull(), to_number(x)),
-    "int": lambda x: F.when(x.isNotNull(), to_int(x)),
-    "time": lambda x: F.when(x.isNotNull(), to_seconds(x)),
-    "text": strip,
+    "number": captured_number,
+    "int": lambda line, pattern: F.regexp_extract(line, pattern, 1).try_cast("int"),
+    "time": lambda line, pattern: to_seconds(extract(line, pattern)),
+    "text": lambda line, pattern: F.btrim(extract(line, pattern)),
 }
 
 
 def extract_metrics(col, specs: dict[str, tuple[str, str]] = P.RUN_METRICS) -> Column:
     """Struct of typed values found by one pattern each."""
     return F.struct(*[
-        _METRIC_TYPES[kind](extract(col, pattern)).alias(name) for name, (pattern, kind) in specs.items()
+        _METRIC_TYPES[kind](_col(col), pattern).alias(name) for name, (pattern, kind) in specs.items()
     ])
 
 

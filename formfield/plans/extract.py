@@ -60,8 +60,8 @@ def read_fields(pages: DataFrame) -> DataFrame:
     yields any."""
     df = pages.withColumn("body", clean_text("text"))
     df = df.withColumn("lines", F.split("body", "\n"))
-    df = df.withColumn("listed", L.pipe_table(split_lines("text")))
-    df = df.withColumn("columns", L.find_table_columns(F.col("lines")))
+    df = df.withColumn("listed", L.pipe_table(F.col("text")))
+    df = df.withColumn("columns", L.find_table_columns(F.col("lines"), F.col("body")))
     none = F.size("listed") == 0
     df = df.withColumn("listed", F.when(none, L.field_table(F.col("lines"), F.col("columns"))).otherwise(F.col("listed")))
     df = df.withColumn("listed", F.when(none, L.anchored_rows(F.col("lines"))).otherwise(F.col("listed")))
@@ -73,11 +73,15 @@ def read_fields(pages: DataFrame) -> DataFrame:
 
 def find_block_starts(lines: Column, runners: Column) -> Column:
     """``(tab, line)`` of the first ``NAME <n>yo`` line of each runner, in page order."""
-    names = F.transform(lines, lambda x: F.upper(F.regexp_extract(x, P.BLOCK_HEADER, 1)))
+    marked = F.filter(
+        F.transform(lines, lambda x, i: F.struct(x.alias("name"), i.alias("line"))), lambda h: h["name"].rlike(P.BLOCK_MARK)
+    )
+    heads = F.transform(marked, lambda h: F.struct(
+        F.upper(F.regexp_extract(h["name"], P.BLOCK_HEADER, 1)).alias("name"), h["line"].alias("line")))
     starts = F.transform(runners, lambda r: F.struct(
-        (F.array_position(names, r["horse"]) - 1).cast("int").alias("line"), r["tab"].alias("tab")
+        F.get(F.filter(heads, lambda h: h["name"] == r["horse"]), 0)["line"].alias("line"), r["tab"].alias("tab")
     ))
-    return F.array_sort(F.filter(starts, lambda s: s["line"] >= 0))
+    return F.array_sort(F.filter(starts, lambda s: s["line"].isNotNull()))
 
 
 def assign_blocks(df: DataFrame, key: str = "page_id") -> DataFrame:
@@ -152,17 +156,14 @@ def profile(block: Column) -> Column:
     )
 
 
-def records(block: Column, strip_values: Column) -> Column:
-    """Eight career records: from the glued strip, else from the line after the label."""
+def record_values(block: Column, strip_values: Column) -> Column:
+    """Kind and written value of eight records: from the glued strip, else from the line after
+    the label."""
     rows = []
     for i, label in enumerate(K.RECORD_LABELS):
         if label in K.RECORD_KINDS:
             value = F.coalesce(F.nullif(F.get(strip_values, i), F.lit("")), first_line_after(block, label))
-            parsed = parse_record(value)
-            rows.append(F.struct(
-                F.lit(K.RECORD_KINDS[label]).alias("kind"),
-                *[parsed[c].alias(c) for c in ("display", "wins", "places23", "starts")],
-            ))
+            rows.append(F.struct(F.lit(K.RECORD_KINDS[label]).alias("kind"), value.alias("value")))
     return F.array(*rows)
 
 
@@ -220,26 +221,26 @@ def run_lines(lines: Column, lookback: int = K.RUN_LOOKBACK) -> Column:
     return F.transform(numbered, with_context)
 
 
-def past_run(r: Column) -> Column:
-    """Typed fields of one past run."""
-    line = r["line"]
-    metrics = extract_metrics(line)
-    notes = extract_comments(line)
-    return F.struct(
-        r["k"].alias("k"),
+def past_runs(df: DataFrame, keep: list[str]) -> DataFrame:
+    """Typed fields of past runs, one row per entry of ``run_lines``."""
+    df = df.select(*keep, F.inline("run_lines"))
+    line = F.col("line")
+    df = df.withColumns({"metrics": extract_metrics(line), "notes": extract_comments(line)})
+    return df.select(
+        *keep, "k",
         extract(line, P.RUN_DATE).alias("run_date"),
         F.upper(strip(extract(line, P.RUN_TRACK))).alias("track"),
-        extract(r["finish_line"], P.FINISH_LINE, 1).try_cast("int").alias("finish"),
-        extract(r["finish_line"], P.FINISH_LINE, 2).try_cast("int").alias("field"),
-        extract(r["mark_line"], P.MARK_LINE, 1).try_cast("int").alias("mrk_rank"),
-        to_number(extract(r["mark_line"], P.MARK_LINE, 2), None).alias("mrk_delta"),
-        *[metrics[name].alias(name) for name in P.RUN_METRICS],
-        *[notes[name].alias(name) for name in ("stewards", "settle_pos", "turn_pos", "split_rank")],
+        F.regexp_extract("finish_line", P.FINISH_LINE, 1).try_cast("int").alias("finish"),
+        F.regexp_extract("finish_line", P.FINISH_LINE, 2).try_cast("int").alias("field"),
+        F.regexp_extract("mark_line", P.MARK_LINE, 1).try_cast("int").alias("mrk_rank"),
+        F.regexp_extract("mark_line", P.MARK_LINE, 2).try_cast("double").alias("mrk_delta"),
+        "metrics.*", "notes.*",
     )
 
 
 def runner_forms(pages: DataFrame) -> DataFrame:
-    """One row per listed runner: header, market, profile, records, box counts and past runs.
+    """One row per listed runner: header, market, profile, records, box counts and the lines of
+    its past runs.
 
     A page without a field table keeps one row with a NULL tab.
     """
@@ -276,13 +277,13 @@ def runner_forms(pages: DataFrame) -> DataFrame:
         F.coalesce("fresh.dls", F.lit(K.DEFAULTS["dls"])).alias("dls"),
         "fresh.dlw", "fresh.runs_this_prep", "facts.roi", "facts.career_pm", "facts.pm_12m",
         known.alias("has_detail"),
-        records(block, F.col("strip_values")).alias("records"),
+        record_values(block, F.col("strip_values")).alias("record_values"),
         unpivot_counts(block).alias("box_stats"),
-        F.transform(F.coalesce(F.col("run_lines"), F.array().cast("array<struct<k:int,line:string,finish_line:string,mark_line:string>>")), past_run).alias("recent_runs"),
+        "run_lines",
     )
 
 
-NESTED = ("captured_at", "race", "listed_no", "records", "box_stats", "recent_runs")
+NESTED = ("captured_at", "race", "listed_no", "record_values", "box_stats", "run_lines")
 
 
 def races(forms: DataFrame) -> DataFrame:
@@ -299,7 +300,8 @@ def _tall(forms: DataFrame, column: str) -> DataFrame:
 
 
 def runner_records(forms: DataFrame) -> DataFrame:
-    return _tall(forms, "records")
+    tall = _tall(forms, "record_values").withColumn("record", parse_record("value"))
+    return tall.select("race_id", "tab", "kind", "record.*")
 
 
 def box_stats(forms: DataFrame) -> DataFrame:
@@ -307,7 +309,7 @@ def box_stats(forms: DataFrame) -> DataFrame:
 
 
 def recent_runs(forms: DataFrame) -> DataFrame:
-    return _tall(forms, "recent_runs")
+    return past_runs(forms, ["race_id", "tab"])
 
 
 def extract_tables(forms: DataFrame) -> dict[str, DataFrame]:

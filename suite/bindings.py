@@ -99,7 +99,6 @@ def races(spark, sf_dir) -> DataFrame:
 
 def run_columns(o: DataFrame) -> DataFrame:
     key = F.col("o_orderkey")
-    none = F.lit(None)
     return o.select(
         F.expr(f"o_custkey div {FIELD}").alias("race_id"),
         (F.col("o_custkey") % FIELD + 1).cast("int").alias("tab"),
@@ -111,7 +110,7 @@ def run_columns(o: DataFrame) -> DataFrame:
         (300 + 50 * (F.month("o_orderdate") % 6)).cast("int").alias("distance"),
         F.col("o_orderstatus").alias("track"),
         F.when(key % 7 != 0, key % 90 / 100.0 - 0.2).alias("bom_adj"),
-        F.when(key % 11 != 0, F.floor(F.col("o_totalprice")) % 150 / 100.0).alias("mrk_delta"),
+        (F.floor(F.col("o_totalprice")) % 150 / 100.0).alias("mrk_delta"),
         F.when(key % 5 != 0, (key % 8 + 1)).cast("int").alias("settle_pos"),
         F.when(key % 6 == 0, "Quick to begin")
         .when(key % 6 == 1, "Slow to begin; checked turn")

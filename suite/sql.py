@@ -47,7 +47,7 @@ BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {
                cast(o_orderkey % 150 / 10.0 as double) as margin,
                cast(300 + 50 * (month(o_orderdate) % 6) as integer) as distance, o_orderstatus as track,
                cast(case when o_orderkey % 7 <> 0 then o_orderkey % 90 / 100.0 - 0.2 end as double) as bom_adj,
-               cast(case when o_orderkey % 11 <> 0 then floor(o_totalprice) % 150 / 100.0 end as double) as mrk_delta,
+               cast(floor(o_totalprice) % 150 / 100.0 as double) as mrk_delta,
                cast(case when o_orderkey % 5 <> 0 then o_orderkey % 8 + 1 end as integer) as settle_pos,
                case o_orderkey % 6 when 0 then 'Quick to begin' when 1 then 'Slow to begin; checked turn'
                     when 2 then 'Slowly away' when 3 then 'Raced wide' end as stewards,
