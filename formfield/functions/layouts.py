@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from formfield import constants as K
 from formfield.functions import patterns as P
 from formfield.functions.text import (
-    normalise_name, one_line_ends, segment_between, split_cells, split_lines, strip, to_number,
+    let, normalise_name, one_line_ends, segment_between, split_cells, split_lines, strip, to_number,
 )
 
 RUNNER = (
@@ -57,11 +57,6 @@ def _from(cells: Column, index: Column) -> Column:
     return F.slice(cells, index + 1, F.greatest(F.size(cells) - index, F.lit(0)))
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, also inside another lambda."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
 def _first_of(cells: Column, labels) -> Column:
     """0-based place of the first cell that is one of the labels."""
     hits = F.filter(F.transform(cells, lambda c, i: F.when(c.isin(*labels), i)), lambda i: i.isNotNull())
@@ -86,7 +81,7 @@ def find_table_columns(lines: Column, text: Column) -> Column:
 def field_table(lines: Column, header: Column) -> Column:
     """Rows under a header row: name, trainer and weight by label, price by position."""
     below = F.slice(lines, header["line"] + 2, F.greatest(F.size(lines) - header["line"] - 1, F.lit(0)))
-    rows = F.transform(F.filter(below, lambda x: x.rlike(r"^\d{1,2}(\s|$)")), lambda x: split_cells(x))
+    rows = F.transform(F.filter(below, lambda x: x.rlike(P.TABLE_ROW)), lambda x: split_cells(x))
     after = F.coalesce(header["trainer"], header["name"]) + 1
 
     def runner(cells):
@@ -124,15 +119,16 @@ def pipe_table(raw: Column) -> Column:
         )
 
     runners = F.transform(F.filter(rows, lambda c: F.size(c) >= 5), runner)
-    return F.filter(
+    found = F.filter(
         runners,
         lambda r: r["tab"].between(1, K.MAX_TAB) & (r["horse"] != "") & ~F.startswith(r["horse"], F.lit("HTTP")),
     ).cast(RUNNER)
+    return F.when(raw.rlike(P.PIPE_NUMBER), found).otherwise(F.array().cast(RUNNER))
 
 
 def anchored_rows(lines: Column) -> Column:
     """Rows without a header: the first two-digit weight cell anchors trainer and price."""
-    rows = F.transform(F.filter(lines, lambda x: x.rlike(r"^\d{1,2}\s")), lambda x: split_cells(x, keep_empty=False))
+    rows = F.transform(F.filter(lines, lambda x: x.rlike(P.TABLE_ROW)), lambda x: split_cells(x, keep_empty=False))
 
     def anchor(cells):
         at = F.filter(
@@ -157,15 +153,18 @@ def anchored_rows(lines: Column) -> Column:
 def group_records(lines: Column) -> Column:
     """One cell per line: a number line opens a record of name, weight, trainer and then any
     scratch mark or price up to the next number line."""
-    lines = F.filter(lines, lambda x: (x != "") & ~x.rlike(P.RULE_LINE))
+    filled = F.filter(lines, lambda x: (x != "") & ~x.rlike(P.RULE_LINE))
+    found = let(filled, lambda cells: let(F.transform(cells, lambda x, i: i), lambda places: _records(cells, places)))
+    return F.coalesce(found.cast(RUNNER), F.array().cast(RUNNER))
+
 
+def _records(lines: Column, positions: Column) -> Column:
     def opens(i):
         return (
             _tab(F.get(lines, i)).between(1, K.MAX_TAB) & (i + 3 < F.size(lines))
             & F.upper(F.get(lines, i + 1)).rlike("[A-Z]") & F.get(lines, i + 2).rlike(P.WEIGHT_CELL)
         )
 
-    positions = F.transform(lines, lambda x, i: i)
     starts = F.filter(positions, opens)
     # a record owns the three lines after its number, so none of them opens another one
     starts = F.aggregate(
@@ -184,7 +183,7 @@ def group_records(lines: Column) -> Column:
             normalise_name(F.get(lines, i + 3)), scratched, _last_price(tail, P.PRICE_CELL),
         )
 
-    return F.coalesce(F.transform(starts, runner).cast(RUNNER), F.array().cast(RUNNER))
+    return F.transform(starts, runner)
 
 
 def table_segment(text: Column) -> Column:

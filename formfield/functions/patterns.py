@@ -7,6 +7,11 @@ Flags: (?d) makes only a newline end a line, (?m) anchors at lines, (?i) ignores
 # --- Fixed values: white space and line ends of the input text ----------------
 WS = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 NOT_NL_WS = r"\t\x0b\f\r \x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WS_CHARS = (
+    "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+RARE_WS = r"[\r\x0b\f\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 LINE_END = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029]"
 
 # --- Fixed values: markup ------------------------------------------------------
@@ -31,6 +36,7 @@ CONDITIONS = r"(?mid)^(\d{3,4})m\s+([A-Z ]+?)\s+(FAST|GOOD|SLOW|WET|HEAVY)\s*$"
 # --- Fixed values: field table ---------------------------------------------------
 NAME_HEADERS = ("runner", "greyhound", "dog")
 WEIGHT_HEADERS = ("wt", "weight")
+TABLE_ROW = rf"^\d{{1,2}}(?:[{WS}]*\t|[{WS}]{{2}})"
 TAB_CELL = r"^\d{1,2}$"
 LETTER = r"[A-Za-z]"
 WHOLE_SCRATCH = r"(?i)^scr(atched)?$"
@@ -38,6 +44,7 @@ WORD_SCRATCH = r"(?i)\bscr\b"
 WEIGHT_CELL = r"^\d{2}(?:\.\d+)?$"
 PRICE_CELL = r"^\$?\d+(?:\.\d+)?$"
 PLAIN_NUMBER = r"^\d+(?:\.\d+)?$"
+PIPE_NUMBER = rf"\|[{NOT_NL_WS}]*\d{{1,2}}[{NOT_NL_WS}]*\|"
 PIPE_ROW = rf"(?md)^[{NOT_NL_WS}]*\|[{NOT_NL_WS}]*\d{{1,2}}[{NOT_NL_WS}]*\|[^\n]*$"
 PIPE_LINK = r"\[\**([^\]]+?)\**\]\("
 GLUED_HEADER = r"(?mid)^\|?\s*TabRunnerWTTrainer\b.*$"

@@ -21,34 +21,53 @@ def extract(col, pattern: str, group: int = 1) -> Column:
 
 
 def strip(col) -> Column:
-    return F.regexp_replace(_col(col), rf"\A[{P.WS}]++|(?<![{P.WS}])[{P.WS}]++\z", "")
+    return F.btrim(_col(col), F.lit(P.WS_CHARS))
 
 
-def one_line_ends(col) -> Column:
-    """Every line end as a newline, without the one that ends the text."""
-    return F.regexp_replace(F.regexp_replace(_col(col), P.LINE_END, "\n"), r"\n\z", "")
+def _if_rare(text: Column, handled: Column) -> Column:
+    """Skip the handling of rare white space for texts that have none."""
+    return F.when(text.rlike(P.RARE_WS), handled).otherwise(text)
 
 
-def strip_lines(col) -> Column:
-    ws = P.NOT_NL_WS
-    return F.regexp_replace(one_line_ends(col), rf"(?md)^[{ws}]++|(?<![{ws}])[{ws}]++(?=\n|\z)", "")
+def one_line_ends(col) -> Column:
+    """Every line end as a newline, without the one that ends the text."""
+    text = _if_rare(_col(col), F.regexp_replace(_col(col), P.LINE_END, "\n"))
+    return F.when(F.endswith(text, F.lit("\n")), F.regexp_replace(text, r"\n\z", "")).otherwise(text)
 
 
 def split_lines(col) -> Column:
     return F.split(one_line_ends(col), "\n")
 
 
-def clean_text(col) -> Column:
-    """Text without common Markdown marks, every line stripped; lines and pipes are kept."""
-    t = F.translate(_col(col), P.WIDE_SPACES, " " * len(P.WIDE_SPACES))
+def unmark(col) -> Column:
+    """Text without link targets, emphasis, heading marks and bullets."""
+    t = _if_rare(_col(col), F.translate(_col(col), P.WIDE_SPACES, " " * len(P.WIDE_SPACES)))
     for old, new in P.ESCAPED.items():
         t = F.replace(t, F.lit(old), F.lit(new))
     t = F.regexp_replace(t, P.LINK, "$1")
     for mark in P.EMPHASIS:
         t = F.replace(t, F.lit(mark), F.lit(""))
     t = F.regexp_replace(t, P.LINE_MARK, "")
-    t = F.regexp_replace(t, P.BULLET, "")
-    return strip_lines(t)
+    return F.regexp_replace(t, P.BULLET, "")
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once. A plain reuse of an expression computes it
+    again wherever a lambda or a branch keeps Spark from sharing it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def strip_lines(text: Column) -> Column:
+    """Every line stripped; texts without rare white space need only look for blanks and tabs."""
+    ws = P.NOT_NL_WS
+    general = F.regexp_replace(one_line_ends(text), rf"(?md)^[{ws}]++|(?<![{ws}])[{ws}]++(?=\n|\z)", "")
+    simple = F.regexp_replace(text, r"\n\z|(?md)^[ \t]++|(?<![ \t])[ \t]++(?=\n|\z)", "")
+    return F.when(text.rlike(P.RARE_WS), general).otherwise(simple)
+
+
+def clean_text(col) -> Column:
+    """Text without common Markdown marks, every line stripped; lines and pipes are kept."""
+    return let(unmark(col), strip_lines)
 
 
 def split_cells(col, keep_empty: bool = True) -> Column:
@@ -163,25 +182,35 @@ def extract_facts(col) -> Column:
     )
 
 
-def captured_number(col, pattern: str, group: int = 1) -> Column:
-    """A captured run of digits and dots as a number: NULL if absent, 0 if malformed."""
-    text = extract(col, pattern, group)
-    return F.when(text.isNotNull(), F.coalesce(text.try_cast("double"), F.lit(0.0)))
+def _captured_number(text: Column) -> Column:
+    """A run of digits and dots: NULL if absent, 0 if malformed."""
+    return F.when(text != "", F.coalesce(text.try_cast("double"), F.lit(0.0)))
 
 
 _METRIC_TYPES = {
-    "number": captured_number,
-    "int": lambda line, pattern: F.regexp_extract(line, pattern, 1).try_cast("int"),
-    "time": lambda line, pattern: to_seconds(extract(line, pattern)),
-    "text": lambda line, pattern: F.btrim(extract(line, pattern)),
+    "number": _captured_number,
+    "int": lambda text: text.try_cast("int"),
+    "time": lambda text: to_seconds(F.nullif(text, F.lit(""))),
+    "text": lambda text: F.nullif(strip(text), F.lit("")),
 }
 
 
-def extract_metrics(col, specs: dict[str, tuple[str, str]] = P.RUN_METRICS) -> Column:
-    """Struct of typed values found by one pattern each."""
-    return F.struct(*[
-        _METRIC_TYPES[kind](_col(col), pattern).alias(name) for name, (pattern, kind) in specs.items()
-    ])
+def metric_texts(col, specs: dict[str, tuple[str, str]] = P.RUN_METRICS) -> dict[str, Column]:
+    """The written value of each metric, '' if absent."""
+    return {name: F.regexp_extract(_col(col), pattern, 1) for name, (pattern, _) in specs.items()}
+
+
+def metric_values(texts: dict[str, Column], specs: dict[str, tuple[str, str]] = P.RUN_METRICS) -> dict[str, Column]:
+    """Typed values of written metrics."""
+    return {name: _METRIC_TYPES[kind](texts[name]) for name, (_, kind) in specs.items()}
+
+
+def extract_metrics(df, line: str, specs: dict[str, tuple[str, str]] = P.RUN_METRICS):
+    """Add typed columns found by one pattern each. The written values form a projection of
+    their own, so that each pattern runs once per line."""
+    texts = {f"__{name}": text for name, text in metric_texts(line, specs).items()}
+    values = metric_values({name: F.col(f"__{name}") for name in specs}, specs)
+    return df.withColumns(texts).withColumns(values).drop(*texts)
 
 
 def extract_comments(col) -> Column:
@@ -221,11 +250,11 @@ def segment_between(text, start: str, end: str) -> Column:
     may capture groups.
     """
     text = _col(text)
-    before = F.regexp_extract(text, rf"\A((?s:.*?)){start}", 1)
+    upto = F.regexp_extract(text, rf"\A(?s:.*?){start}", 0)
     after = F.regexp_extract(text, rf"{start}((?s:.*))\z", 1)
     cut = F.regexp_extract(after, rf"\A((?s:.*?)){end}", 1)
     return F.when(
-        text.rlike(start), F.when(after.rlike(end) & ~before.rlike(end), cut).otherwise(after)
+        text.rlike(start), F.when(after.rlike(end) & ~upto.rlike(end), cut).otherwise(after)
     )
 
 

@@ -16,7 +16,7 @@ from formfield.functions import layouts as L
 from formfield.functions import patterns as P
 from formfield.functions.text import (
     clean_text, count_rows, extract, extract_comments, extract_facts, extract_metrics,
-    first_line_after, parse_record, section, split_glued_pairs, split_lines, strip, to_number, to_seconds,
+    first_line_after, let, parse_record, section, split_glued_pairs, split_lines, strip, to_number, to_seconds,
 )
 
 
@@ -78,40 +78,34 @@ def find_block_starts(lines: Column, runners: Column) -> Column:
     )
     heads = F.transform(marked, lambda h: F.struct(
         F.upper(F.regexp_extract(h["name"], P.BLOCK_HEADER, 1)).alias("name"), h["line"].alias("line")))
-    starts = F.transform(runners, lambda r: F.struct(
-        F.get(F.filter(heads, lambda h: h["name"] == r["horse"]), 0)["line"].alias("line"), r["tab"].alias("tab")
-    ))
-    return F.array_sort(F.filter(starts, lambda s: s["line"].isNotNull()))
 
+    def of_runners(heads):
+        return F.transform(runners, lambda r: F.struct(
+            F.get(F.filter(heads, lambda h: h["name"] == r["horse"]), 0)["line"].alias("line"), r["tab"].alias("tab")
+        ))
 
-def assign_blocks(df: DataFrame, key: str = "page_id") -> DataFrame:
-    """One row per listed runner with its own block: text from its header to the next one's,
-    the text before it (for form and price), and NULLs where the page has no block."""
+    return F.array_sort(F.filter(let(heads, of_runners), lambda s: s["line"].isNotNull()))
+
+
+def assign_blocks(df: DataFrame) -> DataFrame:
+    """One row per listed runner with its own block: the text from its header to the next
+    one's, the text before it (for form and price), and NULLs where the page has no block."""
     df = df.withColumn("starts", find_block_starts(F.col("lines"), F.col("listed")))
-    df = df.withColumn("start_lines", F.transform("starts", lambda s: s["line"]))
-    keep = [c for c in df.columns if c not in ("text", "listed", "starts", "body")]
-    df = df.select(*keep, "starts", F.posexplode_outer("listed").alias("listed_no", "runner"))
-    df = df.withColumn("first", F.get(F.filter("starts", lambda s: s["tab"] == F.col("runner")["tab"]), 0)["line"])
-    df = df.withColumn("next", F.array_min(F.filter("start_lines", lambda i: i > F.col("first"))))
-    size = F.size("lines")
+    keep = [c for c in df.columns if c not in ("text", "body", "lines", "listed", "starts")]
+    df = df.select(*keep, "lines", "starts", F.posexplode_outer("listed").alias("listed_no", "runner"))
+    own = F.get(F.filter("starts", lambda s: s["tab"] == F.col("runner")["tab"]), 0)["line"]
+    df = df.withColumn("first", own)
+    later = F.get(F.filter("starts", lambda s: s["line"] > F.col("first")), 0)["line"]
     df = df.withColumns({
-        "block_lines": F.slice("lines", F.col("first") + 1, F.coalesce("next", size) - F.col("first")),
-        "before_lines": F.when(F.col("first") > 0, F.slice("lines", F.lit(1), F.col("first"))),
-    })
-    return df.drop("lines", "starts", "start_lines", "next", "first").withColumns({
+        "block_lines": F.slice("lines", F.col("first") + 1, F.coalesce(later, F.size("lines")) - F.col("first")),
+        "above": F.array_join(F.slice("lines", F.lit(1), F.col("first")), "\n"),
+    }).drop("lines", "starts", "first")
+    df = df.withColumn("filled", F.rtrim("above", F.lit("\n")))
+    return df.withColumns({
         "block": F.array_join("block_lines", "\n"),
-        "before": F.concat(strip_tail(F.array_join("before_lines", "\n")), F.lit("\n")),
-        "blank_lines": F.size("before_lines") - F.coalesce(last_filled("before_lines"), F.lit(0)),
-    }).drop("before_lines")
-
-
-def strip_tail(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?<![{P.WS}])[{P.WS}]++\z", "")
-
-
-def last_filled(lines: str) -> Column:
-    """1-based number of the last non-blank line."""
-    return F.array_max(F.transform(lines, lambda x, i: F.when(x != "", i + 1)))
+        "before": F.concat("filled", F.lit("\n")),
+        "blank_lines": F.length("above") - F.length("filled"),
+    }).drop("above", "filled")
 
 
 def form_and_price(before: Column, block: Column, blank_lines: Column) -> Column:
@@ -120,8 +114,7 @@ def form_and_price(before: Column, block: Column, blank_lines: Column) -> Column
     def pairs(text):
         return F.regexp_extract_all(text, F.lit(P.FORM_AND_PRICE), F.lit(0))
 
-    reach = F.when(before.isNotNull(), F.right(before, F.lit(K.PREFIX_CHARS)))
-    last = F.try_element_at(pairs(reach), F.lit(-1))
+    last = F.try_element_at(pairs(F.right(before, F.lit(K.PREFIX_CHARS))), F.lit(-1))
     room = F.greatest(K.FALLBACK_CHARS - F.coalesce(blank_lines, F.lit(0)), F.lit(0))
     near = F.get(pairs(F.substr(block, F.lit(1), room)), 0)
     pair = F.coalesce(last, near)
@@ -129,7 +122,7 @@ def form_and_price(before: Column, block: Column, blank_lines: Column) -> Column
         F.lower(extract(pair, P.FORM_AND_PRICE, 1)).alias("form"),
         F.lower(extract(pair, P.FORM_AND_PRICE, 2)).alias("market"),
         to_number(extract(pair, P.FORM_AND_PRICE, 3), None).alias("price"),
-        (last.isNull() & near.isNotNull()).alias("fallback"),
+        (last.isNull() & pair.isNotNull()).alias("fallback"),
     )
 
 
@@ -225,7 +218,7 @@ def past_runs(df: DataFrame, keep: list[str]) -> DataFrame:
     """Typed fields of past runs, one row per entry of ``run_lines``."""
     df = df.select(*keep, F.inline("run_lines"))
     line = F.col("line")
-    df = df.withColumns({"metrics": extract_metrics(line), "notes": extract_comments(line)})
+    df = extract_metrics(df, "line").withColumn("notes", extract_comments(line))
     return df.select(
         *keep, "k",
         extract(line, P.RUN_DATE).alias("run_date"),
@@ -234,7 +227,7 @@ def past_runs(df: DataFrame, keep: list[str]) -> DataFrame:
         F.regexp_extract("finish_line", P.FINISH_LINE, 2).try_cast("int").alias("field"),
         F.regexp_extract("mark_line", P.MARK_LINE, 1).try_cast("int").alias("mrk_rank"),
         F.regexp_extract("mark_line", P.MARK_LINE, 2).try_cast("double").alias("mrk_delta"),
-        "metrics.*", "notes.*",
+        *P.RUN_METRICS, "notes.*",
     )
 
 
