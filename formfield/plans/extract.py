@@ -4,6 +4,10 @@ A page is one row, so everything that belongs to it is found inside that row: it
 the field table, the block of each runner and the runs in a block. The plan is a scan,
 projections and one explode per output level. ``runner_forms`` is the nested result; write
 it once and take the tall tables from it by column-pruned scans.
+
+Arrays are opened by the outer generators, and empty ones are dropped by a filter on what
+they produce. The inner generators imply a filter on their input, which would be pushed
+down through every projection and compute the whole extraction once more.
 """
 
 from __future__ import annotations
@@ -22,7 +26,8 @@ from formfield.functions.text import (
 
 def explode_lines(df: DataFrame, col: str, key: str) -> DataFrame:
     """Numbered lines of a text column."""
-    return df.select(key, F.posexplode(split_lines(col)).alias("line_no", "line"))
+    lines = df.select(key, F.posexplode_outer(split_lines(col)).alias("line_no", "line"))
+    return lines.filter("line_no is not null")
 
 
 def race_header(text: Column) -> Column:
@@ -216,7 +221,7 @@ def run_lines(lines: Column, lookback: int = K.RUN_LOOKBACK) -> Column:
 
 def past_runs(df: DataFrame, keep: list[str]) -> DataFrame:
     """Typed fields of past runs, one row per entry of ``run_lines``."""
-    df = df.select(*keep, F.inline("run_lines"))
+    df = df.select(*keep, F.inline_outer("run_lines")).filter("k is not null")
     line = F.col("line")
     df = extract_metrics(df, "line").withColumn("notes", extract_comments(line))
     return df.select(
@@ -289,7 +294,7 @@ def runners(forms: DataFrame) -> DataFrame:
 
 
 def _tall(forms: DataFrame, column: str) -> DataFrame:
-    return forms.filter("tab is not null").select("race_id", "tab", F.inline(column))
+    return forms.filter("tab is not null").select("race_id", "tab", F.inline_outer(column))
 
 
 def runner_records(forms: DataFrame) -> DataFrame:

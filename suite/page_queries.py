@@ -251,7 +251,7 @@ def t6_extract_race_header(spark, d):
 
 
 @register("t7_find_table_columns", over("races", query="""
-    select race_id, case when race_id % 5 < 2 then 18 end as line, case when race_id % 5 < 2 then 1 end as name,
+    select race_id, case when race_id % 5 < 2 then 17 end as line, case when race_id % 5 < 2 then 1 end as name,
            case when race_id % 5 < 2 then 3 end as trainer, case when race_id % 5 = 0 then 2 end as weight from races"""))
 def t7_find_table_columns(spark, d):
     df = pages(spark, d).withColumn("body", X.clean_text("text")).withColumn("lines", F.split("body", "\n"))
@@ -260,7 +260,7 @@ def t7_find_table_columns(spark, d):
 
 
 def _listed(df: DataFrame) -> DataFrame:
-    df = df.select(F.col("page_id").cast("long").alias("race_id"), F.inline("listed"))
+    df = df.select(F.col("page_id").cast("long").alias("race_id"), F.inline_outer("listed")).filter("tab is not null")
     return tidy(df.select("race_id", "tab", "horse", "weight", "trainer", "scratched", "tab_odds"))
 
 
@@ -283,9 +283,12 @@ def t9_extract_pipe_table(spark, d):
     return _listed(pages(spark, d).withColumn("listed", L.pipe_table(F.col("text"))))
 
 
-@register("t10_extract_rows_by_anchor", _layout_sql("0, 4"))
+@register("t10_extract_rows_by_anchor", _layout_sql("4"))
 def t10_extract_rows_by_anchor(spark, d):
-    return _listed(_lines(spark, d).withColumn("listed", L.anchored_rows(F.col("lines"))))
+    # the layout is a fallback for pages that have no header row
+    df = _lines(spark, d).withColumn("columns", L.find_table_columns(F.col("lines"), F.col("body")))
+    rows = F.when(F.col("columns").isNull(), L.anchored_rows(F.col("lines")))
+    return _listed(df.withColumn("listed", rows))
 
 
 @register("t12_group_records", _layout_sql("3"))
@@ -297,15 +300,15 @@ def t12_group_records(spark, d):
 @register("t13_first_non_empty", over("page_runners", extra=PAGE, query=f"""
     select race_id, tab, box, horse, {rounded('weight')}, trainer, scratched, {rounded('tab_odds')}, tab > 8 and box > 0 as reserve_into_box from page_runners"""))
 def t13_first_non_empty(spark, d):
-    df = fields(spark, d).select(F.col("page_id").cast("long").alias("race_id"), F.inline("listed"))
-    return tidy(df)
+    df = fields(spark, d).select(F.col("page_id").cast("long").alias("race_id"), F.inline_outer("listed"))
+    return tidy(df.filter("tab is not null"))
 
 
 @register("t14_find_block_starts", over("page_runners", extra=PAGE, query="""
     select race_id, tab, row_number() over (partition by race_id order by tab) as nth from page_runners where shown"""))
 def t14_find_block_starts(spark, d):
     df = fields(spark, d).withColumn("starts", E.find_block_starts(F.col("lines"), F.col("listed")))
-    df = df.select(F.col("page_id").cast("long").alias("race_id"), F.posexplode("starts").alias("n", "s"))
+    df = df.select(F.col("page_id").cast("long").alias("race_id"), F.posexplode_outer("starts").alias("n", "s")).filter("n is not null")
     return df.select("race_id", "s.tab", (F.col("n") + 1).cast("long").alias("nth"))
 
 
