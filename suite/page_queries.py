@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import uuid
 
 from pyspark.sql import DataFrame
@@ -57,7 +56,6 @@ def forms(spark, d) -> DataFrame:
 
 # --- what the pages must yield, from the tables ------------------------------------------------------
 
-_SHOWN = "cents % 100000 % 50 <> 7"
 PAGE = {
     "page_runners": (("runners",), f"""
         select r.race_id, r.tab,
@@ -77,12 +75,6 @@ PAGE = {
         select * from (select *, cast(row_number() over (partition by race_id, tab order by run_day desc, o_orderkey desc) - 1 as integer) as k
         from shown_runs) where k < 6"""),
 }
-ENDING = {  # the model's blocks, fed by what a page shows
-    **PAGE,
-    "listed": PAGE["page_runners"],
-}
-
-
 def _end_to_end(query: str) -> str:
     """The prediction SQL with runners and runs replaced by what the pages show."""
     from suite.sql import BLOCKS
@@ -216,7 +208,7 @@ def s3_write_view(spark, d):
     qualify row_number() over (partition by user_id order by ts desc) = 1""")
 def s4_stream_captures(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
-    stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet").select(
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(d).select(
         F.col("user_id").cast("string").alias("page_id"), F.col("ts").alias("captured_at"), F.col("event_type").alias("text"))
     log = shared_folder(spark, "captures")
     ingest(stream, f"{log}/log", f"{log}/checkpoint", min_chars=0).awaitTermination()
@@ -363,7 +355,7 @@ _STRIPS = {
         case when in_percent then cast(wa as integer) else w end as wins,
         case when in_percent then cast(greatest(greatest(wa, least(wb, s)) - wa, 0) as integer) else p end as places23, s as starts
     from (select *, round_even(s * a / 100.0, 0) as wa, round_even(s * b / 100.0, 0) as wb
-          from (select *, cast(round(w * 100 / s) as integer) as a, cast(round((w + p) * 100 / s) as integer) as b from shown_records))"""))
+          from (select *, cast(round(w * 100 / greatest(s, 1)) as integer) as a, cast(round((w + p) * 100 / greatest(s, 1)) as integer) as b from shown_records))"""))
 def t19_split_glued_pairs(spark, d):
     return E.runner_records(forms(spark, d))
 
@@ -371,7 +363,7 @@ def t19_split_glued_pairs(spark, d):
 @register("t20_extract_facts", over("page_runners", extra=PAGE, query=f"""
     select race_id, tab, case when shown then strip_dls end as dls, case when shown then 20 end as dlw,
            {rounded('roi')}, {rounded('pm_12m')} from (
-        select *, case when shown then roi_percent / 100 end as roi, case when shown then 1196.0 end as pm_12m from page_runners)"""))
+        select *, case when shown then roi_percent / 100 end as roi, cast(null as double) as pm_12m from page_runners)"""))
 def t20_extract_facts(spark, d):
     facts = X.extract_facts(X.section("block", E.P.FACTS))
     df = blocks(spark, d).withColumn("f", facts).select("race_id", "tab", "f.dls", "f.dlw", "f.roi", "f.pm_12m")
