@@ -24,6 +24,19 @@ def devig(df: DataFrame, g: Groups, price: str, out: str = "p") -> DataFrame:
     return df.withColumn(out, F.col("__inv") / F.greatest(F.col("__total"), F.lit(1e-12))).drop("__inv", "__total")
 
 
+def _market_parts(tab: str, bf: str, weights: tuple[float, float]):
+    """Columns before, aggregates over and columns after the pass that pools two markets."""
+    price = finite(bf, K.NO_PRICE)
+    usable = F.when((price > K.MIN_PRICE) & (price < 500), 1.0).otherwise(0.0)
+    before = {"__it": _implied(tab), "__ib": _implied(bf), "__usable": usable}
+    aggs = {"__st": F.sum("__it"), "__sb": F.sum("__ib"), "__ok": F.avg("__usable")}
+    p_tab = F.col("__it") / F.greatest(F.col("__st"), F.lit(1e-12))
+    p_bf = F.col("__ib") / F.greatest(F.col("__sb"), F.lit(1e-12))
+    pooled = (weights[0] * p_tab + weights[1] * p_bf) / sum(weights)
+    after = {"p_tab": p_tab, "p_bf": p_bf, "p_mkt": F.when(F.col("__ok") < 0.5, p_tab).otherwise(pooled)}
+    return before, aggs, after
+
+
 @group_operator
 def blend_markets(
     df: DataFrame,
@@ -33,18 +46,9 @@ def blend_markets(
     weights: tuple[float, float] = (K.MARKET_TAB_WEIGHT, K.MARKET_BF_WEIGHT),
 ) -> DataFrame:
     """``p_tab``, ``p_bf`` and their pool ``p_mkt``; the pool needs half the field priced in both."""
-    price = finite(bf, K.NO_PRICE)
-    usable = F.when((price > K.MIN_PRICE) & (price < 500), 1.0).otherwise(0.0)
-    df = df.withColumns({"__it": _implied(tab), "__ib": _implied(bf)})
-    df = g.stats(df, __st=F.sum("__it"), __sb=F.sum("__ib"), __ok=F.avg(usable))
-    df = df.withColumns({
-        "p_tab": F.col("__it") / F.greatest(F.col("__st"), F.lit(1e-12)),
-        "p_bf": F.col("__ib") / F.greatest(F.col("__sb"), F.lit(1e-12)),
-    })
-    pooled = (weights[0] * F.col("p_tab") + weights[1] * F.col("p_bf")) / sum(weights)
-    return df.withColumn(
-        "p_mkt", F.when(F.col("__ok") < 0.5, F.col("p_tab")).otherwise(pooled)
-    ).drop("__it", "__ib", "__st", "__sb", "__ok")
+    before, aggs, after = _market_parts(tab, bf, weights)
+    df = g.stats(df.withColumns(before), **aggs)
+    return df.withColumns(after).drop(*before, *aggs)
 
 
 @group_operator
@@ -67,19 +71,22 @@ def log_pool(df: DataFrame, g: Groups, first: str, second: str, out: str = "p_wi
     return softmax(df, g, "__score", out).drop("__score")
 
 
-@group_operator
-def zscores(df: DataFrame, g: Groups, columns: dict[str, str]) -> DataFrame:
-    """Standardise finite, non-NULL columns (``source -> output``) in one pass over the group."""
-    aggs = {}
-    for i, src in enumerate(columns):
+def _z_parts(columns: dict[str, str]):
+    """Aggregates over and columns after the pass that standardises columns."""
+    aggs, after = {}, {}
+    for i, (src, dst) in enumerate(columns.items()):
         aggs[f"__m{i}"] = F.avg(src)
         aggs[f"__s{i}"] = F.stddev_pop(src)
-    df = g.stats(df, **aggs)
-    out = {}
-    for i, (src, dst) in enumerate(columns.items()):
         sd = F.col(f"__s{i}")
-        out[dst] = (F.col(src) - F.col(f"__m{i}")) / F.when(sd > 1e-9, sd).otherwise(1.0)
-    return df.withColumns(out).drop(*aggs)
+        after[dst] = (F.col(src) - F.col(f"__m{i}")) / F.when(sd > 1e-9, sd).otherwise(1.0)
+    return aggs, after
+
+
+@group_operator
+def zscores(df: DataFrame, g: Groups, columns: dict[str, str]) -> DataFrame:
+    """Standardise finite, non-NULL columns (``source -> output``) in one pass over the group."""
+    aggs, after = _z_parts(columns)
+    return g.stats(df, **aggs).withColumns(after).drop(*aggs)
 
 
 @group_operator
@@ -97,17 +104,30 @@ def component_zs(df: DataFrame, g: Groups) -> DataFrame:
     return zscores(df, g, dict(zip(RAW_COLUMNS, Z_COLUMNS)))
 
 
+@group_operator
+def market_and_components(df: DataFrame, g: Groups, n: int = 2, size: str = "n_active") -> DataFrame:
+    """Field size (groups below ``n`` are dropped), market pool and component z scores: the
+    steps that do not depend on each other share one pass over the group."""
+    before, market, probabilities = _market_parts("tab_odds", "bf_odds", (K.MARKET_TAB_WEIGHT, K.MARKET_BF_WEIGHT))
+    spread, scores = _z_parts(dict(zip(RAW_COLUMNS, Z_COLUMNS)))
+    df = g.stats(df.withColumns(before), **{size: F.count("*")}, **market, **spread)
+    df = df.filter(F.col(size) >= n).withColumns({**probabilities, **scores})
+    return df.drop(*before, *market, *spread)
+
+
 @group_operator
 def coverage_blend(df: DataFrame, g: Groups, best: str = "tra_dist_best", z: str = "trackdist_z") -> DataFrame:
     """Mix best times into the track/distance score where enough of the field has one."""
     time = finite(best, None)
-    df = df.withColumn("__best", F.when(time != 0, time))
+    df = g.settle(df.withColumn("__best", F.when(time != 0, time)))
+    df = g.median(df, "__mid", F.col("__best"))
     df = g.stats(df, __known=F.count("__best"), __n=F.count("*"))
-    df = zscore(df, g, "__best", "__best_z")
+    df = df.withColumn("__best", F.coalesce("__best", "__mid", F.lit(0.0)))
+    df = zscores(df, g, {"__best": "__best_z"})
     enough = F.col("__known") >= F.greatest(F.lit(3), F.floor(F.col("__n") / 2))
     blended = 0.70 * F.col(z) + 0.30 * -F.col("__best_z")
     return df.withColumn(z, F.when(enough, blended).otherwise(F.col(z))).drop(
-        "__best", "__known", "__n", "__best_z"
+        "__best", "__mid", "__known", "__n", "__best_z"
     )
 
 

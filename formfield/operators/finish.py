@@ -57,14 +57,19 @@ def _finish(df: DataFrame) -> DataFrame:
     )
 
 
-def _share(df: DataFrame, g: Groups, p: str) -> DataFrame:
-    df = g.stats(df, __sum=F.sum(p), __count=F.count("*"))
+def _share(df: DataFrame, g: Groups, p: str, size: str | None) -> DataFrame:
+    if size is None:
+        df = g.stats(df, __sum=F.sum(p), __count=F.count("*"))
+        share = F.col(p) / F.col("__sum")
+    else:
+        df = df.withColumn("__count", F.col(size))
+        share = F.col(p)
     # a lone runner has r = 1; its pair terms are unused but must stay finite
-    return df.withColumn("__share", F.when(F.col("__count") == 1, 0.5).otherwise(F.col(p) / F.col("__sum")))
+    return df.withColumn("__share", F.when(F.col("__count") == 1, 0.5).otherwise(share))
 
 
-def _in_field(df: DataFrame, g: Groups, p: str) -> DataFrame:
-    df = _share(df, g, p)
+def _in_field(df: DataFrame, g: Groups, p: str, size: str | None) -> DataFrame:
+    df = _share(df, g, p, size)
     r = F.col("__share")
     df = g.stats(df, __firsts=F.sum(r / (1.0 - r)), __field=F.collect_list(r))
     df = df.withColumn("__others", _without_self(F.col("__field"), r))
@@ -75,8 +80,8 @@ def _in_field(df: DataFrame, g: Groups, p: str) -> DataFrame:
     return _finish(g.stats(df, __pairs=F.sum("__own_pairs")).drop("__field", "__others"))
 
 
-def _in_large_group(df: DataFrame, g: Groups, p: str, tie: str) -> DataFrame:
-    df = g.settle(_share(g.settle(df), g, p))
+def _in_large_group(df: DataFrame, g: Groups, p: str, tie: str, size: str | None) -> DataFrame:
+    df = g.settle(_share(g.settle(df), g, p, size))
     r = F.col("__share")
 
     top = df.select(*g.by, "__share", tie).withColumn("__place", F.row_number().over(
@@ -134,8 +139,11 @@ def _in_large_group(df: DataFrame, g: Groups, p: str, tie: str) -> DataFrame:
 
 
 @group_operator(limit=LISTED_RUNNERS)
-def finish_order_probs(df: DataFrame, g: Groups, p: str = "p_win", tie: str = "tab") -> DataFrame:
-    """Add ``top2``, ``top3`` and ``exp_pos`` from win probabilities."""
+def finish_order_probs(
+    df: DataFrame, g: Groups, p: str = "p_win", tie: str = "tab", size: str | None = None
+) -> DataFrame:
+    """Add ``top2``, ``top3`` and ``exp_pos`` from win probabilities. ``size`` names a column
+    with the group's row count where ``p`` already sums to one, which saves a pass."""
     if g.spread:
-        return _in_large_group(df, g, p, tie)
-    return _in_field(df, g, p)
+        return _in_large_group(df, g, p, tie, size)
+    return _in_field(df, g, p, size)

@@ -68,17 +68,14 @@ def with_raw_scores(df: DataFrame, negate_default: bool = False) -> DataFrame:
 
 def score_field(df: DataFrame, g: Groups, alpha: float = K.MARKET_ALPHA) -> DataFrame:
     """Raw component scores to predictions, inside each race."""
-    df = W.require_field(df, g, 2)
-    df = W.blend_markets(df, g)
-    df = W.component_zs(df, g)
+    df = W.market_and_components(df, g)
     df = W.coverage_blend(df, g)
     df = W.pace_adjust(df, g)
     df = W.fundamental_probs(df, g)
     df = W.log_pool(df, g, "p_mkt", "p_fund", "p_win", alpha)
     df = W.rank_field(g.settle(df), g, "p_win", "pred_rank")
-    df = finish_order_probs(df, g, "p_win")
+    df = finish_order_probs(df, g, "p_win", size="n_active")
     df = W.confidence(g.settle(df), g)
-    df = g.stats(df, n_active=F.count("*"))
     return explain_text(W.classify(W.fair_and_ev(df)))
 
 

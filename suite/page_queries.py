@@ -13,7 +13,7 @@ from formfield.groups import durable
 from formfield.plans import extract as E
 from formfield.plans import predict as PR
 from formfield.operators import relational as R
-from formfield.sources.pages import gate_pages, read_pages, write_view
+from formfield.sources.pages import gate_pages, read_pages, spread, write_view
 from formfield.plans import views as V
 from formfield.streaming.captures import current_pages, ingest
 from suite import bindings as B
@@ -28,7 +28,7 @@ def pages(spark, d) -> DataFrame:
     """Rendered pages, written once per application and read by every query."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _PAGES:
-        _PAGES[key] = durable(render.pages(spark, d))
+        _PAGES[key] = spread(durable(render.pages(spark, d)))
     return _PAGES[key]
 
 
@@ -103,14 +103,14 @@ _CLEAN = f"regexp_replace({_CLEAN}, '(?m)^[ \\t]+|[ \\t]+$', '', 'g')"
 @register("t1_clean_text", f"select page_id, {_CLEAN} as clean from (select page_id, replace(replace(html, '<p>', chr(10) || ' - '), '<a href=\"', '[x]( ') as html from pages)")
 def t1_clean_text(spark, d):
     html = F.replace(F.replace("html", F.lit("<p>"), F.lit("\n - ")), F.lit('<a href="'), F.lit("[x]( "))
-    return B.table(spark, d, "pages").select("page_id", X.clean_text(html).alias("clean"))
+    return spread(B.table(spark, d, "pages")).select("page_id", X.clean_text(html).alias("clean"))
 
 
 @register("t2_explode_lines", """
     select doc_id, cast(i - 1 as integer) as line_no, lines[i] as line
     from (select doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) as lines from documents), range(1, len(lines) + 1) t(i)""")
 def t2_explode_lines(spark, d):
-    return E.explode_lines(B.table(spark, d, "documents"), "text", "doc_id")
+    return E.explode_lines(spread(B.table(spark, d, "documents").select("doc_id", "text")), "text", "doc_id")
 
 
 @register("t3_split_cells", """
@@ -162,7 +162,7 @@ def t5_to_number(spark, d):
           from (select doc_id, string_split(text, chr(10)) as lines from documents))""")
 def t11_segment_between(spark, d):
     part = X.segment_between("text", r"(?md)^[^\n]*\.$", r"(?md)^[^\n]*,[^\n]*$")
-    return B.table(spark, d, "documents").select("doc_id", F.regexp_replace(part, r"\A\n|\n\z", "").alias("segment"))
+    return spread(B.table(spark, d, "documents")).select("doc_id", F.regexp_replace(part, r"\A\n|\n\z", "").alias("segment"))
 
 
 @register("t18_parse_record", over("career", query="""
@@ -190,7 +190,7 @@ def t21_to_seconds(spark, d):
 @register("s2_gate_pages", """
     select doc_id, length(trim(text, ' ' || chr(10) || chr(9))) >= 300 as kept from documents""")
 def s2_gate_pages(spark, d):
-    kept, rejected = gate_pages(B.table(spark, d, "documents"))
+    kept, rejected = gate_pages(spread(B.table(spark, d, "documents").select("doc_id", "text")))
     return kept.select("doc_id", F.lit(True).alias("kept")).unionByName(rejected.select("doc_id", F.lit(False).alias("kept")))
 
 
@@ -233,7 +233,7 @@ def s1_read_pages(spark, d):
         case when day(day) in (11, 12, 13) then 'th' when day(day) % 10 = 1 then 'st' when day(day) % 10 = 2 then 'nd' when day(day) % 10 = 3 then 'rd' else 'th' end
         || strftime(day, ' %B %Y') as date, day as race_date, printf('%d:%02d', race_id % 10 + 10, race_id % 60) as time,
         'CUP NUMBER ' || race_id as race_name, 'Grade ' || race_id % 7 as race_type, printf('0:%.2f', 22 + race_id % 300 / 100.0) as fastest_time,
-        round(22 + race_id % 300 / 100.0, 8) + 0.0 as fastest_time_s, 'AUD $' || (race_id % 9 + 1) || ',530' as prize,
+        round(22 + race_id % 300 / 100.0 + 1e-11, 8) + 0.0 as fastest_time_s, 'AUD $' || (race_id % 9 + 1) || ',530' as prize,
         cast((race_id % 9 + 1) * 1000 + 530 as double) as prize_amount, distance_m, 'ALL WEATHER' as surface,
         case when race_id % 2 = 0 then 'SLOW' else 'GOOD' end as going
     from (select *, cast(date '2026-01-01' + cast(race_id % 365 as integer) as date) as day from races)"""))
@@ -390,14 +390,14 @@ def t23_extract_runs(spark, d):
         select *, o_orderkey % 2 * 60 + 20 + o_orderkey % 500 / 100.0 as race_time, 19 + o_orderkey % 700 / 100.0 as bom,
                21 + o_orderkey % 600 / 100.0 as runner_time, 1 + o_orderkey % 3000 / 100.0 as sp, 25 + o_orderkey % 90 / 10.0 as weight from all_runs)"""))
 def t24_extract_metrics(spark, d):
-    lines = B.all_runs(spark, d).select("o_orderkey", render.run_line().alias("line"))
+    lines = spread(B.all_runs(spark, d)).select("o_orderkey", render.run_line().alias("line"))
     return tidy(X.extract_metrics(lines, "line").drop("line"))
 
 
 @register("t25_extract_comments", over("all_runs", query="""
     select o_orderkey, stewards, settle_pos, case when settle_pos is not null and o_orderkey % 3 = 0 then field end as turn_pos, prior_box as split_rank from all_runs"""))
 def t25_extract_comments(spark, d):
-    lines = B.all_runs(spark, d).select("o_orderkey", X.extract_comments(render.run_line()).alias("c"))
+    lines = spread(B.all_runs(spark, d)).select("o_orderkey", X.extract_comments(render.run_line()).alias("c"))
     return lines.select("o_orderkey", "c.*")
 
 

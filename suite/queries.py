@@ -39,10 +39,11 @@ def register(name: str, sql: str | None = None):
 
 
 def tidy(df: DataFrame, *columns: str, digits: int = 8) -> DataFrame:
-    """The named columns, doubles rounded and without a negative zero."""
+    """The named columns, doubles rounded and without a negative zero. The small shift keeps
+    exact ties of the last digit from falling to either side by summation order."""
     fields = {f.name: f.dataType for f in df.schema.fields}
     return df.select(*[
-        (F.round(F.col(f"`{c}`"), digits) + F.lit(0.0)).alias(c) if isinstance(fields[c], T.DoubleType) else F.col(f"`{c}`")
+        (F.round(F.col(f"`{c}`") + F.lit(1e-11), digits) + F.lit(0.0)).alias(c) if isinstance(fields[c], T.DoubleType) else F.col(f"`{c}`")
         for c in (columns or df.columns)
     ])
 
@@ -393,7 +394,7 @@ def _upto(*steps):
 
 
 @register("w5_component_zs", over("standard", query="select race_id, tab, " + ", ".join(
-    f"round({c}_z0, 8) + 0.0 as {c}_z" for c in K.COMPONENT_WEIGHTS) + " from standard"))
+    f"round({c}_z0 + 1e-11, 8) + 0.0 as {c}_z" for c in K.COMPONENT_WEIGHTS) + " from standard"))
 def w5_component_zs(spark, d):
     return tidy(_in_races(spark, d, _upto(W.component_zs)), *RUNNER, *W.Z_COLUMNS)
 
@@ -467,14 +468,14 @@ _VIEW = {"p": (("predicted",), "select * from predicted")}
 
 
 def _times100(**columns: str) -> str:
-    return ", ".join(f'round({c} * 100, 8) + 0.0 as "{name}"' for name, c in columns.items())
+    return ", ".join(f'round({c} * 100 + 1e-11, 8) + 0.0 as "{name}"' for name, c in columns.items())
 
 
 @register("f4_prediction_view", over("predicted", query="""
     select race_id, pred_rank as "Pred", tab as "Tab", box as "Box", horse as "Greyhound", early_rank as "Early", """
     + _times100(**{"Market%": "p_mkt", "Fund%": "p_fund", "Win%": "p_win", "Top2%": "top2", "Top3%": "top3"}) + """,
-    round(exp_pos, 8) as "E[pos]", round(fair, 8) as "Fair$", bf_odds as "BF$", round(ev_win, 8) + 0.0 as "EV", conf as "Conf", """
-    + ", ".join(f'round({c}, 8) + 0.0 as "{n}"' for n, c in (("Speed Z", "speed_z"), ("Early Z", "early_z"), ("Box Z", "box_z"),
+    round(exp_pos + 1e-11, 8) as "E[pos]", round(fair + 1e-11, 8) as "Fair$", bf_odds as "BF$", round(ev_win + 1e-11, 8) + 0.0 as "EV", conf as "Conf", """
+    + ", ".join(f'round({c} + 1e-11, 8) + 0.0 as "{n}"' for n, c in (("Speed Z", "speed_z"), ("Early Z", "early_z"), ("Box Z", "box_z"),
                                                              ("C&D Z", "trackdist_z"), ("Form Z", "form_z")))
     + ', rec as "Recommendation" from predicted'))
 def f4_prediction_view(spark, d):
@@ -482,7 +483,7 @@ def f4_prediction_view(spark, d):
 
 
 @register("f5_speed_map_view", over("predicted", query="""
-    select race_id, early_rank as "Early Rank", box as "Box", horse as "Greyhound", round(early_raw, 8) + 0.0 as "Early Score", """
+    select race_id, early_rank as "Early Rank", box as "Box", horse as "Greyhound", round(early_raw + 1e-11, 8) + 0.0 as "Early Score", """
     + _times100(**{"Win%": "p_win"}) + " from predicted"))
 def f5_speed_map_view(spark, d):
     return tidy(V.speed_map_view(predictions(spark, d)))
@@ -491,7 +492,7 @@ def f5_speed_map_view(spark, d):
 @register("f6_explain_view", over("predicted", query="""
     select race_id, pred_rank as "Pred", rec as "Recommendation", pred_rank || '. Box ' || box || ' · ' || horse || ' — Win '
         || """ + _fixed("p_win * 100") + """ || '% · ' || rec as "Heading", """
-    + ", ".join(f'round({c}, 8) + 0.0 as "{n}"' for n, c in (
+    + ", ".join(f'round({c} + 1e-11, 8) + 0.0 as "{n}"' for n, c in (
         ("Speed Z", "speed_z"), ("Early Z", "early_z"), ("Box Z", "box_z"), ("Track/Dist Z", "trackdist_z"),
         ("Form Z", "form_z"), ("Trainer Z", "trainer_z"), ("Freshness Z", "freshness_z")))
     + " from predicted"))
@@ -511,12 +512,12 @@ def f7_race_metrics(spark, d):
 @register("f3_parsed_view", over("runners", "records", "box_counts", "recent", query="""
     select r.race_id, r.tab as "Tab", nullif(r.box, 0) as "Box", horse as "Greyhound", case when scratched then 'Y' else '' end as "Scr",
         weight as "Wt", trainer as "Trainer", tab_odds as "TAB$", bf_odds as "BF$", form as "Form",
-        round(trainer_win * 100, 8) as "Tra W%", round(trainer_place * 100, 8) as "Tra P%", nullif(tra_dist_best, 0) as "Tra/Dist Best",
+        round(trainer_win * 100 + 1e-11, 8) as "Tra W%", round(trainer_place * 100 + 1e-11, 8) as "Tra P%", nullif(tra_dist_best, 0) as "Tra/Dist Best",
         '0-0-0' as "Career", """ + ", ".join(
         f"coalesce((select wins || '-' || places23 || '-' || starts from records c where c.race_id = r.race_id and c.tab = r.tab and kind = '{k}'), '0-0-0') as \"{n}\""
         for k, n in (("course", "Course"), ("distance", "Dist"), ("course_distance", "C&D"))) + """,
         dls as "DLS", coalesce(b.wins || '-' || b.starts, '0-0') as "Box W-S", finish as "Last Fin", margin as "Last Mgn",
-        round(mrk_delta, 8) as "Last MRKΔ", round(first_split, 8) as "Last Split", settle_pos as "Last Settle", coalesce(stewards, '') as "Last Note"
+        round(mrk_delta + 1e-11, 8) as "Last MRKΔ", round(first_split + 1e-11, 8) as "Last Split", settle_pos as "Last Settle", coalesce(stewards, '') as "Last Note"
     from runners r left join box_counts b on b.race_id = r.race_id and b.tab = r.tab and b.box = r.box
     left join (select * from recent where k = 0) l on l.race_id = r.race_id and l.tab = r.tab"""))
 def f3_parsed_view(spark, d):

@@ -234,4 +234,4 @@ def over(*needed: str, query: str, extra: dict | None = None) -> str:
 
 
 def rounded(*columns: str, digits: int = 8) -> str:
-    return ", ".join(f"round(cast({c} as double), {digits}) + 0.0 as {c.split('.')[-1]}" for c in columns)
+    return ", ".join(f"round(cast({c} as double) + 1e-11, {digits}) + 0.0 as {c.split('.')[-1]}" for c in columns)
