@@ -195,7 +195,7 @@ def s2_gate_pages(spark, d):
 
 
 @register("s3_write_view", over("contest_raw", query="""
-    select race_id, count(*) as listed, count_if(not scratched) as active, count_if(scratched) as scratched
+    select race_id, count(*) as listed, cast(count_if(not scratched) as bigint) as active, cast(count_if(scratched) as bigint) as scratched
     from contest_raw group by race_id"""))
 def s3_write_view(spark, d):
     path = shared_folder(spark, "view")

@@ -154,14 +154,14 @@ def f2_require_field(spark, d):
 
 
 @register("f2_rejected_races", over("contest_raw", query="""
-    select race_id, count_if(not scratched) as n_active, 'fewer than 2 active runners' as reason
+    select race_id, cast(count_if(not scratched) as bigint) as n_active, 'fewer than 2 active runners' as reason
     from contest_raw group by race_id having count_if(not scratched) < 2"""))
 def f2_rejected_races(spark, d):
     return W.rejected_races(B.contest_raw(spark, d), RACE)
 
 
 @register("f7_listing_metrics", over("contest_raw", query="""
-    select race_id, count(*) as listed, count_if(not scratched) as active, count_if(scratched) as scratched
+    select race_id, count(*) as listed, cast(count_if(not scratched) as bigint) as active, cast(count_if(scratched) as bigint) as scratched
     from contest_raw group by race_id"""))
 def f7_listing_metrics(spark, d):
     return V.listing_metrics(B.contest_raw(spark, d))
@@ -502,7 +502,7 @@ def f6_explain_view(spark, d):
 
 @register("f7_race_metrics", over("runners", "predicted", query="""
     select race_id, listed, active, scratched, leader, top_pick from (
-        select race_id, count(*) as listed, count_if(not scratched) as active, count_if(scratched) as scratched from runners group by race_id)
+        select race_id, count(*) as listed, cast(count_if(not scratched) as bigint) as active, cast(count_if(scratched) as bigint) as scratched from runners group by race_id)
     left join (select race_id, min_by(horse, early_rank) as leader, min_by(horse, pred_rank) as top_pick from predicted group by race_id)
     using (race_id)"""))
 def f7_race_metrics(spark, d):
