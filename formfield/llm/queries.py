@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formfield.llm import decontaminate, quality, simhash
+from formfield.llm import decontaminate, line_spread, mixing, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,28 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document."""
     documents = _table(spark, sf_dir, "documents")
     return quality.score_documents(documents, quality.fit(documents, _table(spark, sf_dir, "labels")))
+
+
+@query(f"""
+    WITH line AS (
+        SELECT doc_id, site, trim(raw) AS ln, raw, at FROM (
+            SELECT doc_id, coalesce('=' || source, '') AS site, unnest(string_split(text, chr(10))) AS raw,
+                   generate_subscripts(string_split(text, chr(10)), 1) AS at
+            FROM documents)),
+    wide AS (SELECT ln FROM line WHERE ln <> '' GROUP BY ln HAVING count(DISTINCT site) >= {line_spread.MIN_SITES}),
+    cut AS (
+        SELECT doc_id, count(*) FILTER (WHERE line.ln <> '') AS n_lines, count(wide.ln) AS n_wide,
+               string_agg(raw, chr(10) ORDER BY at) FILTER (WHERE wide.ln IS NULL) AS remaining
+        FROM line LEFT JOIN wide USING (ln) GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_lines, 0) AS n_lines, CASE WHEN n_wide < n_lines THEN n_wide ELSE 0 END AS n_removed,
+           CASE WHEN n_wide > 0 AND n_wide < n_lines THEN remaining ELSE text END AS text
+    FROM documents LEFT JOIN cut USING (doc_id)""")
+def op9_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that many sites carry."""
+    return line_spread.remove_boilerplate(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+@query()
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix to target weights takes of every document."""
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
