@@ -139,7 +139,8 @@ def mix(
     # Rows of a class are listed in two steps, so no array grows with a class
     spread = rounded.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / 4096))))
     here = F.least(F.lit(4096).cast("long"), F.col("rows") - F.col("from") * 4096) - 1
-    spread = spread.withColumn("at", F.col("from") * 4096 + F.explode(F.sequence(F.lit(0).cast("long"), here)))
+    first = F.col("from") * 4096
+    spread = spread.withColumn("at", F.explode(F.sequence(first, first + here)))
     own = F.floor(F.col("all") / F.col("rows")) + (F.col("at") < F.col("all") % F.col("rows")).cast("long")
     return spread.select(
         "key.doc_id", "key.source", "key.size", F.col("total").alias("source_size"), "target", own.alias("copies"),

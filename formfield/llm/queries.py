@@ -72,14 +72,14 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
     WITH line AS (
-        SELECT doc_id, site, trim(raw) AS ln, raw, at FROM (
+        SELECT doc_id, site, trim(raw) AS ln, raw, pos FROM (
             SELECT doc_id, coalesce('=' || source, '') AS site, unnest(string_split(text, chr(10))) AS raw,
-                   generate_subscripts(string_split(text, chr(10)), 1) AS at
+                   generate_subscripts(string_split(text, chr(10)), 1) AS pos
             FROM documents)),
     wide AS (SELECT ln FROM line WHERE ln <> '' GROUP BY ln HAVING count(DISTINCT site) >= {line_spread.MIN_SITES}),
     cut AS (
         SELECT doc_id, count(*) FILTER (WHERE line.ln <> '') AS n_lines, count(wide.ln) AS n_wide,
-               string_agg(raw, chr(10) ORDER BY at) FILTER (WHERE wide.ln IS NULL) AS remaining
+               string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE wide.ln IS NULL) AS remaining
         FROM line LEFT JOIN wide USING (ln) GROUP BY doc_id)
     SELECT doc_id, coalesce(n_lines, 0) AS n_lines, CASE WHEN n_wide < n_lines THEN n_wide ELSE 0 END AS n_removed,
            CASE WHEN n_wide > 0 AND n_wide < n_lines THEN remaining ELSE text END AS text
