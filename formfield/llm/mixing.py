@@ -95,6 +95,21 @@ def _reduce(items: DataFrame, level: int, seed: int, fan_in: int, key_type: str)
     ).select("source", "n", "folded.done", "folded.left")
 
 
+def _tree(items: DataFrame, level: int, seed: int, fan_in: int, key_type: str) -> tuple[DataFrame, DataFrame]:
+    """Decisions ``(key, up)`` on ``items(source, key, s, p)``, and the one item per source left over with its ``p``."""
+    counts = items.groupBy("source").agg(F.count("*").alias("n")).withColumnRenamed("source", "of")
+    counts = checkpointed(counts)
+    largest = counts.agg(F.max("n")).first()[0] or 0
+    items = items.join(counts, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    decided = None
+    for depth in range(max(1, ceil(log(max(largest, 2)) / log(fan_in)))):
+        folded = checkpointed(_reduce(items, level + depth, seed, fan_in, key_type))
+        done = folded.select(F.explode("done").alias("d")).select("d.key", "d.up")
+        decided = done if decided is None else decided.union(done)
+        items = folded.where("left is not null").select("source", "left.key", "left.s", "left.p", "n")
+    return decided, items.select("source", "key", "s", "p")
+
+
 def mix(
     documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
     weights: tuple[int, ...] = (1, 2, 3), most: int = MOST, seed: int = 1, fan_in: int = FAN_IN,
@@ -103,12 +118,13 @@ def mix(
 
     ``size`` counts a text's words and ``copies`` says how often the mix takes it, 0 to ``most``. A source's
     expected copies per document are its target over its words; the fraction above whole copies is rounded by the
-    pivotal method, which keeps the source's words at its target up to the last document. Draws depend on ids, sizes
+    pivotal method, which keeps the source's words at its target. Draws depend on ids, sizes
     and the seed alone, so a rerun agrees.
 
     Null and blank texts have size 0 and nothing to take. Rows that agree in source, id and size are counted together
-    first, so that no group holds more than about ``fan_in`` items, and share their copies evenly. A null source is a
-    source of its own. An empty table gives an empty result; other columns are ignored.
+    first, so that no group holds more than about ``fan_in`` items, and share their copies evenly. Documents above a
+    source's mean size are rounded first; what their last one takes too much or too little is given back by the
+    smaller ones, so a source misses its target by a small document. A null source is a source of its own. An empty table gives an empty result; other columns are ignored.
     """
     sized = documents.select(
         quoted(doc_id).alias("doc_id"), quoted(source).cast("string").alias("source"), word_count(quoted(text)).alias("size")
@@ -122,18 +138,24 @@ def mix(
     priced = checkpointed(priced.withColumn("key", F.struct("source", "doc_id", "size")).drop("source", "doc_id", "size", "each"))
     key_type = priced.schema["key"].dataType.simpleString()
     open_items = priced.where("p > 0 and key.size > 0").select("key.source", "key", F.col("key.size").cast("double").alias("s"), "p")
-    counts = open_items.groupBy("source").agg(F.count("*").alias("n")).withColumnRenamed("source", "of")
-    counts = checkpointed(counts)
-    largest = counts.agg(F.max("n")).first()[0] or 0
-    items = open_items.join(counts, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    decided = None
-    for level in range(max(1, ceil(log(max(largest, 2)) / log(fan_in)))):
-        folded = checkpointed(_reduce(items, level, seed, fan_in, key_type))
-        done = folded.select(F.explode("done").alias("d")).select("d.key", "d.up")
-        decided = done if decided is None else decided.union(done)
-        items = folded.where("left is not null").select("source", "left.key", "left.s", "left.p", "n")
-    last = items.select("key", (_uniform(F.lit(seed), F.lit(-1), "key") < F.col("p")).alias("up"))
-    decided = decided.union(last).withColumnRenamed("key", "of")
+    light = F.col("s") <= F.col("mean")
+    shape = checkpointed(open_items.groupBy("source").agg(F.avg("s").alias("mean")).withColumnRenamed("source", "of"))
+    sided = open_items.join(shape, F.col("source").eqNullSafe(F.col("of"))).withColumn("light", light).drop("of", "mean")
+    heavy, last = _tree(sided.where("not light").drop("light"), 0, seed, fan_in, key_type)
+    # Words that the last heavy document takes above or below its part are given back by the light ones
+    last = last.withColumn("up", _uniform(F.lit(seed), F.lit(-1), "key") < F.col("p"))
+    rest = sided.where("light").drop("light")
+    slack = rest.groupBy("source").agg(F.sum("s").alias("slack")).withColumnRenamed("source", "of")
+    over = last.select(F.col("source").alias("by"), ((F.col("up").cast("double") - F.col("p")) * F.col("s")).alias("over"))
+    owed = slack.join(over, F.col("of").eqNullSafe(F.col("by")), "left").select("of", (F.coalesce("over", F.lit(0.0)) / F.col("slack")).alias("owed"))
+    rest = rest.join(owed, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn(
+        "p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p") - F.col("owed")))
+    ).drop("owed")
+    rest = checkpointed(rest)
+    fixed = rest.where("p <= 0 or p >= 1").select("key", (F.col("p") >= 1).alias("up"))
+    fine, end = _tree(rest.where("p > 0 and p < 1"), 100, seed, fan_in, key_type)
+    end = end.select("key", (_uniform(F.lit(seed), F.lit(-1), "key") < F.col("p")).alias("up"))
+    decided = heavy.union(last.select("key", "up")).union(fixed).union(fine).union(end).withColumnRenamed("key", "of")
     copies = F.col("whole") + F.coalesce(F.col("up").cast("long"), F.lit(0))
     rounded = priced.join(decided, priced["key"].eqNullSafe(decided["of"]), "left").withColumn("all", copies)
     # Rows of a class are listed in two steps, so no array grows with a class
