@@ -1,26 +1,73 @@
-"""The corpus pipeline: each stage reads what its predecessor kept."""
+"""The corpus pipeline: quality filter, line dedup, near-dedup, decontamination, mixing.
+
+Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor kept. All but the last return the
+columns of ``documents``; the last returns the mix. Null and blank texts pass the stages as their operators define;
+an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formfield.llm import simhash
+from formfield.llm import decontaminate, line_spread, mixing, quality, simhash
+from formfield.llm.common import checkpoint_folder, fresh
+
+#: Documents whose quality score is lower go.
+LOWEST_QUALITY = 0.3
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that the line labels make good."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.where(quality.score_column(spark, model) >= LOWEST_QUALITY)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes lines that many sites carry out of the texts; ``n_chars`` follows the text."""
+    cleaned = line_spread.remove_boilerplate(docs).select(docs.columns)
+    return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate group."""
+    """Keeps the document with the smallest id of each near-duplicate group; rows that repeat an id are one document."""
     groups = simhash.near_duplicates(docs)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of which a twentieth or more is benchmark text."""
+    into = fresh(docs, "found")
+    found = decontaminate.annotate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), into)
+    return found.where(~decontaminate.contaminated(F.col(into))).drop(into)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How often each document that is left enters the mix."""
+    return mixing.mix(docs)
+
 
+STAGES = [
+    ("quality_filter", quality_filter),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", near_dedup),
+    ("decontamination", drop_contaminated),
+    ("source_mixing", mix_sources),
+]
 
-STAGES = [("simhash_near_dedup", near_dedup)]
+#: The chain's marginals can't be stated in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``. Between stages the rows are written to the shared checkpoint folder and reread."""
+    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,21 +6,27 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder, with its lineage cut.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder: ``spark.checkpoint.dir``, or the one that the session was given by call.
 
-    The folder is ``spark.checkpoint.dir``. Only a local session without that setting gets a folder of its own.
+    Only a local session without either gets a folder of its own.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared checkpoint folder, with its lineage cut."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
