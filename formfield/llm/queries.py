@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formfield.llm import decontaminate, line_spread, mixing, quality, simhash
+from formfield.llm import decontaminate, line_spread, mixing, quality, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +93,27 @@ def op9_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix to target weights takes of every document."""
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+URL_RULES = [
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+@query(f"""
+    WITH rules(r_host, r_path, verdict) AS (VALUES {', '.join(str(r) for r in URL_RULES)}),
+    part AS (
+        SELECT page_id, row_number() OVER () AS n,
+               CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    site AS (
+        SELECT page_id, n, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM part),
+    best AS (
+        SELECT n, arg_max({{'rule': r_host || r_path, 'verdict': verdict}}, length(r_host || r_path)) AS b
+        FROM site JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path) GROUP BY n)
+    SELECT page_id, host, path, b.rule AS rule, coalesce(b.verdict, 'allow') AS verdict FROM site LEFT JOIN best USING (n)""")
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of the longest fitting rule for every page's url."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, url_filter.rule_table(spark, URL_RULES)).drop("url")
