@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formfield.llm import decontaminate, line_spread, mixing, quality, simhash, url_filter
+from formfield.llm import decontaminate, licenses, line_spread, mixing, quality, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +117,47 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of the longest fitting rule for every page's url."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(pages, url_filter.rule_table(spark, URL_RULES)).drop("url")
+
+
+def _license_sql() -> str:
+    phrases = " UNION ALL ".join(
+        f"SELECT doc_id, label, CAST(s - 1 AS BIGINT) AS start FROM (SELECT doc_id, w, '{label}' AS label FROM doc WHERE len(w) >= {len(parts)}), "
+        f"unnest(range(1, len(w) - {len(parts) - 1} + 1)) AS t(s) WHERE " + " AND ".join(f"w[s + {k}] = '{p}'" for k, p in enumerate(parts))
+        for label, parts in ((label, phrase.split()) for phrase, label in licenses.PHRASES)
+    )
+    known = ", ".join(
+        f"({n}, '{label}', '{token}', {len(tokens)})"
+        for n, (label, tokens) in enumerate(licenses.template_tokens(licenses.TEMPLATES)) for token in tokens
+    )
+    return f"""
+    WITH doc AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
+    base AS ({phrases}),
+    based AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word FROM base GROUP BY doc_id),
+    known(template, label, token, n) AS (VALUES {known}),
+    line AS (SELECT doc_id, pos, {_WORDS.format('ln')} AS w FROM (
+        SELECT doc_id, unnest(string_split(text, chr(10))) AS ln, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
+    token AS (SELECT DISTINCT doc_id, pos, u.token FROM line, unnest(w) AS u(token)),
+    fit AS (
+        SELECT doc_id, pos, label, count(*) / any_value(n) AS c FROM token JOIN known USING (token)
+        GROUP BY doc_id, pos, template, label HAVING count(*) >= {licenses.THRESHOLD} * any_value(n) - 1e-9),
+    best AS (SELECT doc_id, max(c) AS c FROM fit GROUP BY doc_id),
+    names AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (
+        SELECT doc_id, label FROM fit UNION SELECT doc_id, label FROM base) GROUP BY doc_id),
+    base_names AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT DISTINCT doc_id, label FROM base) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+           coalesce(base_names.labels, '') AS base_labels, coalesce(names.labels, '') AS labels,
+           CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(c, 0.0) END::DOUBLE AS score
+    FROM doc LEFT JOIN based USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN names USING (doc_id)
+    LEFT JOIN base_names USING (doc_id)"""
+
+
+@query(_license_sql())
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    starts = F.transform("places", lambda p: p["start"])
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), F.concat_ws(",", "base_labels").alias("base_labels"),
+        F.concat_ws(",", "labels").alias("labels"), "score",
+    )
