@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formfield.llm import decontaminate, licenses, line_spread, mixing, quality, simhash, url_filter
+from formfield.llm import decontaminate, fingerprints, licenses, line_spread, mixing, quality, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -161,3 +161,9 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_max(starts).alias("last_word"), F.concat_ws(",", "base_labels").alias("base_labels"),
         F.concat_ws(",", "labels").alias("labels"), "score",
     )
+
+
+@query()
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.fingerprint_edits(_table(spark, sf_dir, "documents"))
