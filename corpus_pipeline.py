@@ -22,7 +22,7 @@ LOWEST_QUALITY = 0.3
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the line labels make good."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.where(quality.score_column(spark, model) >= LOWEST_QUALITY)
+    return docs.where(quality.score_column(model) >= LOWEST_QUALITY)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -213,7 +213,7 @@ def fit(
     return fit_model([(bytes(r["text"]), r["label"]) for r in found.limit(fit_documents).collect()])
 
 
-def score_column(spark, model: Model, text: str = "text") -> Column:
+def score_column(model: Model, text: str = "text") -> Column:
     """The score of a text column, from 0 to 1; a null or blank text scores as such texts in the sample did."""
 
     @F.arrow_udf("double")
@@ -235,6 +235,6 @@ def score_documents(
     """
     scored = documents.select(
         quoted(doc_id).alias("doc_id"), held_out(doc_id, folds, fold).alias("held_out"),
-        score_column(documents.sparkSession, model, text).alias("score"),
+        score_column(model, text).alias("score"),
     )
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formfield.llm import decontaminate, fingerprints, licenses, line_spread, mixing, quality, simhash, url_filter
+from formfield.llm import decontaminate, fingerprints, licenses, line_spread, mixing, quality, simhash, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -167,3 +167,10 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return fingerprints.fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    documents = _table(spark, sf_dir, "documents")
+    return toxicity.score_documents(documents, toxicity.fit(documents, _table(spark, sf_dir, "labels")))
