@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formfield.llm import decontaminate, fingerprints, licenses, line_spread, mixing, quality, simhash, toxicity, url_filter
+from formfield.llm import (
+    decontaminate, fingerprints, licenses, line_spread, mixing, quality, simhash, token_counts, toxicity, url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -174,3 +176,17 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     documents = _table(spark, sf_dir, "documents")
     return toxicity.score_documents(documents, toxicity.fit(documents, _table(spark, sf_dir, "labels")))
+
+
+@query()
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, before and after a replacement, an insertion and a deletion."""
+    documents = _table(spark, sf_dir, "documents")
+    n = F.length(F.coalesce("text", F.lit("")))
+    part = lambda share: F.floor(n / share).cast("long")
+    edits = F.array(
+        F.struct(part(2).alias("start"), (part(2) + part(20)).alias("end"), F.substr("text", F.lit(1), part(25).cast("int")).alias("new")),
+        F.struct(part(4).alias("start"), part(4).alias("end"), F.concat(F.lit("\n\nEdited: "), F.coalesce("source", F.lit("")), F.lit("'s  ")).alias("new")),
+        F.struct((part(4) * 3).alias("start"), (part(4) * 3 + part(50)).alias("end"), F.lit("").alias("new")),
+    )
+    return token_counts.count_with_edits(documents.select("doc_id", "text", edits.alias("edits")), "edits")
