@@ -31,18 +31,17 @@ TEMPLATES = [
     ("reserved", "All rights reserved."),
 ]
 THRESHOLD = 0.8
-_NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_BREAKS = "".join(map(chr, range(128))).translate(str.maketrans("", "", _UPPER + _LOWER + "0123456789\n"))
 
 
-def spaced(text: Column) -> Column:
-    """The text's words in lower case with one blank between them; null gives an empty text."""
-    return F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _NO_WORD, " "))
+def _plain(text: Column, breaks: str = _BREAKS + "\n") -> Column:
+    """A-Z lower-cased and each ASCII character that is no letter or digit turned into a blank; null gives an empty text."""
+    return F.translate(F.coalesce(text, F.lit("")), _UPPER + breaks, _LOWER + " " * len(breaks))
 
 
 def words(text: Column) -> Column:
-    found = spaced(text)
-    return F.when(found == "", F.expr("cast(array() as array<string>)")).otherwise(F.split(found, " "))
+    return F.array_remove(F.split(_plain(text), " "), "")
 
 
 def template_tokens(templates: list[tuple[str, str]]) -> list[tuple[str, list[str]]]:
@@ -57,12 +56,10 @@ def template_tokens(templates: list[tuple[str, str]]) -> list[tuple[str, list[st
 
 
 def blocks(documents: DataFrame, text: str = "text") -> DataFrame:
-    """``(a, b, words)``: the words of each non-blank line, under a 128-bit hash of the text it stands in."""
+    """``(a, b, line)``: each line with blanks between its words, under a 128-bit hash of the text it stands in."""
     own = quoted(text).cast("string")
-    lines = documents.select(
-        F.xxhash64(own).alias("a"), F.xxhash64(own, F.lit(1)).alias("b"), F.explode(F.split(own, "\n")).alias("line")
-    )
-    return lines.select("a", "b", words(F.col("line")).alias("words")).where("size(words) > 0")
+    lines = F.split(_plain(own, _BREAKS), "\n")
+    return documents.select(F.xxhash64(own).alias("a"), F.xxhash64(own, F.lit(1)).alias("b"), F.explode(lines).alias("line"))
 
 
 def notices(
@@ -70,39 +67,36 @@ def notices(
 ) -> DataFrame:
     """``(a, b, label, containment)``: every block that holds at least ``threshold`` of a template's tokens.
 
-    Tokens are ordered by how many blocks of the whole corpus hold them, rarest first. Only a template's first
+    Tokens are ordered by how often the whole corpus has them, rarest first. Only a template's first
     ``n - ceil(threshold * n) + 1`` tokens are joined with, as a block that meets the threshold holds one of them.
     Of a pair's common prefix tokens only the first makes a candidate. It must have enough tokens (length filter) and
     enough left on both sides from the joined position on (positional filter) before the sets are compared.
-    The templates are a rule table written down in code, so their vocabulary is small by nature.
+    The templates are a rule table written down in code, so what is broadcast of them does not grow with the data.
     """
     spark = documents.sparkSession
     known = template_tokens(templates)
-    kind = "a long, b long, label string, containment double"
     if not known:
-        return spark.createDataFrame([], kind)
+        return spark.createDataFrame([], "a long, b long, label string, containment double")
     vocabulary = sorted({t for _, tokens in known for t in tokens})
     corpus = blocks(documents, text)
-    held = corpus.select(F.explode(F.array_intersect(F.array(*map(F.lit, vocabulary)), "words")).alias("token"))
-    frequency = {r["token"]: r["n"] for r in held.groupBy("token").agg(F.count("*").alias("n")).collect()}
+    asked = corpus.select("a", "b", "line", F.explode(F.split("line", " ")).alias("token"))
+    wanted = spark.createDataFrame([(t,) for t in vocabulary], "token string")
+    counted = asked.select("token").join(F.broadcast(wanted), "token").groupBy("token").agg(F.count("*").alias("n"))
+    frequency = {r["token"]: r["n"] for r in counted.collect()}
     order = sorted(vocabulary, key=lambda t: (frequency.get(t, 0), t))
     place = {t: n for n, t in enumerate(order)}
     prefixes = []
-    for number, (label, tokens) in enumerate(known):
+    for label, tokens in known:
         tokens = sorted(tokens, key=place.__getitem__)
         need = ceil(round(threshold * len(tokens), 9))
         for i in range(len(tokens) - need + 1):
-            prefixes.append((tokens[i], number, label, tokens, need, i, tokens[:i]))
-    side = spark.createDataFrame(
-        prefixes, "token string, template int, label string, tokens array<string>, need int, i int, earlier array<string>"
-    )
-    least = min(p[4] for p in prefixes)
-    # In the order of the vocabulary, that is by frequency
-    ordered = corpus.select("a", "b", F.array_intersect(F.array(*map(F.lit, order)), "words").alias("held"))
-    asked = ordered.where(F.size("held") >= least).select("a", "b", "held", F.posexplode("held").alias("j", "token"))
-    pairs = asked.join(side, "token").where(
+            prefixes.append((tokens[i], label, tokens, need, i, tokens[:i]))
+    side = spark.createDataFrame(prefixes, "token string, label string, tokens array<string>, need int, i int, earlier array<string>")
+    # The block's template tokens, in the order of the vocabulary, that is by frequency
+    held = F.array_intersect(F.array(*map(F.lit, order)), F.split("line", " "))
+    pairs = asked.join(F.broadcast(side), "token").select("*", held.alias("held")).where(
         (F.size("held") >= F.col("need")) & ~F.arrays_overlap("earlier", "held")
-        & (1 + F.least(F.size("tokens") - F.col("i"), F.size("held") - F.col("j")) - 1 >= F.col("need"))
+        & (F.least(F.size("tokens") - F.col("i"), F.size("held") - F.array_position("held", F.col("token")) + 1) >= F.col("need"))
     )
     share = F.size(F.array_intersect("tokens", "held"))
     return pairs.where(share >= F.col("need")).select("a", "b", "label", (share / F.size("tokens")).alias("containment"))
