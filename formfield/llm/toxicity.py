@@ -33,7 +33,7 @@ def words_of(text: str) -> list[bytes]:
 
 
 def terms_of(word: bytes) -> list[bytes]:
-    """The word and its beginnings, which end in ``*``."""
+    """The word and its true beginnings, which end in ``*``."""
     plain = word.decode(errors="replace")
     return [word, *(plain[:n].encode() + b"*" for n in BEGINNINGS if len(plain) > n)]
 
@@ -111,7 +111,7 @@ def find_terms(samples: list[tuple[list[bytes], int]]) -> list[bytes]:
             scored.append((-n * odds, t))
     chosen: set[bytes] = set()
     for _, t in sorted(scored):
-        if not any(plain[t][:n].encode() + b"*" in chosen for n in BEGINNINGS) and len(chosen) < VOTERS:
+        if not any(n < len(plain[t]) and plain[t][:n].encode() + b"*" in chosen for n in BEGINNINGS) and len(chosen) < VOTERS:
             chosen.add(t)
     return sorted(chosen)
 
@@ -154,7 +154,7 @@ def _slots(word: bytes) -> tuple[int, ...]:
     return tuple({xxhash.xxh32_intdigest(t) % FEATURES for t in (word, word[:5] + b"*", word[:4] + b"*")})
 
 
-def train(documents: list[tuple[list[int], np.ndarray]], target: np.ndarray, rounds: int = 90, ridge: float = 1e-3):
+def train(documents: list[tuple[list[int], np.ndarray]], target: np.ndarray, rounds: int = 120, ridge: float = 1e-3):
     """Logistic regression on posterior labels; returns word weights, dense weights and the offset.
 
     Votes are held less small than hashed words, which are many and mostly noise.
@@ -174,7 +174,7 @@ def train(documents: list[tuple[list[int], np.ndarray]], target: np.ndarray, rou
         slope[FEATURES:-1] -= 0.1 * ridge * w[FEATURES:-1]
         first = 0.9 * first + 0.1 * slope
         second = 0.99 * second + 0.01 * slope**2
-        w = w + 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+        w = w + 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
     return w[:FEATURES], w[FEATURES:-1], float(w[-1])
 
 

@@ -62,7 +62,9 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
     # As many numbers as the longest rule path has characters, at most
     lengths = sorted(r[0] for r in known.select(F.length("r_path")).distinct().collect())
     small = (known.agg(F.sum(F.length("r_host") + F.length("r_path"))).first()[0] or 0) <= SMALL_RULES
-    judged_host, judged_path, judged = (fresh(urls, n) for n in ("url_host", "url_path", "url_rule"))
+    judged_host, judged_path, judged, of_host, of_path = (
+        fresh(urls, n) for n in ("url_host", "url_path", "url_rule", "of_host", "of_path")
+    )
     parts = urls.withColumn(judged_host, host).withColumn(judged_path, path)
     sites = parts.select(F.col(judged_host).alias("host"), F.col(judged_path).alias("path")).distinct()
     prefixes = F.transform(
@@ -78,8 +80,8 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
         (F.length("r_host") + F.length("r_path")).alias("length"), (F.col("r_verdict") == "block").alias("blocks"),
         F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict"),
     )
-    best = fits.groupBy(F.col("host").alias("b_host"), F.col("path").alias("b_path")).agg(F.max(rank).alias(judged))
-    joined = parts.join(best, (F.col(judged_host) == F.col("b_host")) & (F.col(judged_path) == F.col("b_path")), "left")
+    best = fits.groupBy(F.col("host").alias(of_host), F.col("path").alias(of_path)).agg(F.max(rank).alias(judged))
+    joined = parts.join(best, (F.col(judged_host) == F.col(of_host)) & (F.col(judged_path) == F.col(of_path)), "left")
     own = ("host", "path", "rule", "verdict")
     return joined.select(
         *[quoted(c) for c in urls.columns if c.lower() not in own], F.col(judged_host).alias("host"),
