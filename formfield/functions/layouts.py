@@ -65,7 +65,7 @@ def _first_of(cells: Column, labels) -> Column:
 
 def find_table_columns(lines: Column, text: Column) -> Column:
     """Line and column numbers of the first ``Tab | Runner | … | Trainer`` header, by label."""
-    candidates = F.regexp_extract_all(text, F.lit(r"(?mid)^tab(?:\t| {2}).*$"), F.lit(0))
+    candidates = F.regexp_extract_all(text, F.lit(P.TABLE_HEADER), F.lit(0))
     cells = F.transform(candidates, lambda x: F.struct(
         x.alias("x"), F.transform(split_cells(x), lambda c: F.lower(c)).alias("low")))
     valid = F.filter(cells, lambda h: (F.size(h["low"]) >= 3) & (F.get(h["low"], 0) == "tab")

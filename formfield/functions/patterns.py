@@ -36,6 +36,7 @@ CONDITIONS = r"(?mid)^(\d{3,4})m\s+([A-Z ]+?)\s+(FAST|GOOD|SLOW|WET|HEAVY)\s*$"
 # --- Fixed values: field table ---------------------------------------------------
 NAME_HEADERS = ("runner", "greyhound", "dog")
 WEIGHT_HEADERS = ("wt", "weight")
+TABLE_HEADER = rf"(?mid)^tab(?:[{NOT_NL_WS}]*\t|[{NOT_NL_WS}]{{2}}).*$"
 TABLE_ROW = rf"^\d{{1,2}}(?:[{WS}]*\t|[{WS}]{{2}})"
 TAB_CELL = r"^\d{1,2}$"
 LETTER = r"[A-Za-z]"

@@ -7,26 +7,24 @@ With win probabilities ``r`` (scaled to sum to one), ordered pairs collapse to s
     T(i,k)    = r_i r_k (1/(1-r_i) + 1/(1-r_k)) / (1 - r_i - r_k)
     mean position(i) = 1/2 + sum_j r_j / (r_i + r_j)
 
-so no pair of runners is ever emitted as a row. A race field reads its own short list of
-``r``. In a group too large for that, ``T`` is summed exactly over the 64 largest ``r`` and
-by a power series over the others (its terms fall by 1/64 or more), and the mean position
-by the integral  s/(r+s) = int r e^{-rt} (1 - e^{-st}) dt  on a log grid, where the
-trapezoid rule is exact to about 1e-11. Both need only sums over the group.
+so no pair of runners is ever emitted as a row. A race field reads its own short list of ``r``. A group of more than
+LISTED_RUNNERS rows is summed the same way over arrays of CHUNK values: each row meets each array of its group, which
+spreads the group over many tasks and costs n / CHUNK rows per row, n values in all. Both give the same values.
+
+Limits: where a share lies below TINY, all shares of the group are lifted by it. A share of zero then comes last, several of
+them in any order; behind a certain winner the others follow their shares; a group without any chance is uniform.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formfield.groups import Groups, group_operator, join_back
 
 LISTED_RUNNERS = 64
-SERIES_TERMS = 8
-GRID_STEP = 0.4
-GRID = [math.exp(-13.0 + GRID_STEP * i) for i in range(131)]
+CHUNK = 1024
+TINY = 1e-9
 
 
 def _pair(r: Column, s: Column) -> Column:
@@ -58,14 +56,17 @@ def _finish(df: DataFrame) -> DataFrame:
 
 
 def _share(df: DataFrame, g: Groups, p: str, size: str | None) -> DataFrame:
+    aggs = {"__sum": F.sum(p), "__least": F.min(p)}
     if size is None:
-        df = g.stats(df, __sum=F.sum(p), __count=F.count("*"))
-        share = F.col(p) / F.col("__sum")
+        df = g.stats(df, __count=F.count("*"), **aggs)
     else:
-        df = df.withColumn("__count", F.col(size))
-        share = F.col(p)
+        df = g.stats(df, **aggs).withColumn("__count", F.col(size))
+    total, n = F.col("__sum"), F.col("__count")
+    plain = F.col(p) / F.when(total > 0, total)
+    lifted = (F.coalesce(plain, 1.0 / n) + TINY) / (1.0 + n * TINY)
+    share = F.when((total > 0) & (F.col("__least") >= TINY * total), plain).otherwise(lifted)
     # a lone runner has r = 1; its pair terms are unused but must stay finite
-    return df.withColumn("__share", F.when(F.col("__count") == 1, 0.5).otherwise(share))
+    return df.withColumn("__share", F.when(n == 1, 0.5).otherwise(share)).drop("__least")
 
 
 def _in_field(df: DataFrame, g: Groups, p: str, size: str | None) -> DataFrame:
@@ -83,59 +84,20 @@ def _in_field(df: DataFrame, g: Groups, p: str, size: str | None) -> DataFrame:
 def _in_large_group(df: DataFrame, g: Groups, p: str, tie: str, size: str | None) -> DataFrame:
     df = g.settle(_share(g.settle(df), g, p, size))
     r = F.col("__share")
-
-    top = df.select(*g.by, "__share", tie).withColumn("__place", F.row_number().over(
-        g.window.orderBy(r.desc(), F.col(tie).asc())
-    )).filter(F.col("__place") <= LISTED_RUNNERS)
-    listed = top.groupBy(*g.by).agg(
-        F.collect_list("__share").alias("__top"),
-        F.min("__share").alias("__edge"),
-        F.max_by(tie, "__place").alias("__edge_tie"),
-    )
-    df = join_back(df, listed, g.by, small=g.listed)
-    in_top = (r > F.col("__edge")) | ((r == F.col("__edge")) & (F.col(tie) <= F.col("__edge_tie")))
-    df = df.withColumn("__heavy", in_top)
-
-    light = F.when(~F.col("__heavy"), r)
-    grid = F.array(*[F.lit(t) for t in GRID])
-    aggs = {"__firsts": F.sum(r / (1.0 - r))}
-    for m in range(1, SERIES_TERMS + 2):
-        aggs[f"__powers{m}"] = F.sum(F.pow(light, F.lit(m)))
-        aggs[f"__ratios{m}"] = F.sum(F.pow(light, F.lit(m)) / (1.0 - light))
-    for q, t in enumerate(GRID):
-        aggs[f"__grid{q}"] = F.sum(-F.expm1(-r * t))
-    table = df.groupBy(*g.by).agg(*[a.alias(n) for n, a in aggs.items()])
-    terms = range(1, SERIES_TERMS + 2)
-    table = table.select(
-        *g.by, "__firsts",
-        F.array(*[F.coalesce(F.col(f"__powers{m}"), F.lit(0.0)) for m in terms]).alias("__powers"),
-        F.array(*[F.coalesce(F.col(f"__ratios{m}"), F.lit(0.0)) for m in terms]).alias("__ratios"),
-        F.array(*[F.col(f"__grid{q}") for q in range(len(GRID))]).alias("__grid"),
+    pieces = F.ceil(F.col("__count") / CHUNK).cast("int")
+    own = F.pmod(F.xxhash64(tie), pieces).cast("int")
+    rows = df.select(*g.by, F.col(tie).alias("__tie"), "__share", own.alias("__own"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("__piece"))
+    fields = df.groupBy(*g.by, own.alias("__piece")).agg(F.collect_list("__share").alias("__field"))
+    met = join_back(rows, fields, [*g.by, "__piece"], small=False)
+    others = F.when(F.col("__own") == F.col("__piece"), _without_self(F.col("__field"), r)).otherwise(F.col("__field"))
+    met = met.withColumn("__others", others)
+    sums = met.groupBy(*g.by, F.col("__tie").alias(tie)).agg(
+        F.sum(_sum_over(F.col("__others"), lambda s: _pair(r, s))).alias("__own_pairs"),
+        (1.0 + F.sum(_sum_over(F.col("__others"), lambda s: s / (r + s)))).alias("__mean"),
     )
-    df = join_back(df, table, g.by, small=g.listed)
-
-    others = F.when(F.col("__heavy"), _without_self(F.col("__top"), r)).otherwise(F.col("__top"))
-    # sum over light k of r_k^(m+1) (1/(1-r_i) + 1/(1-r_k)) / (1-r_i)^(m+1), m = 0, 1, …
-    series = F.aggregate(
-        F.arrays_zip(F.col("__powers").alias("M"), F.col("__ratios").alias("N")),
-        F.struct(F.lit(0.0).alias("total"), (1.0 / (1.0 - r)).alias("factor")),
-        lambda acc, x: F.struct(
-            (acc["total"] + acc["factor"] * (x["M"] / (1.0 - r) + x["N"])).alias("total"),
-            (acc["factor"] / (1.0 - r)).alias("factor"),
-        ),
-        lambda acc: acc["total"],
-    )
-    own = F.when(F.col("__heavy"), 0.0).otherwise(_pair(r, r))
-    integral = F.aggregate(
-        F.arrays_zip(grid.alias("t"), F.col("__grid").alias("K")),
-        F.lit(0.0),
-        lambda acc, x: acc + r * x["t"] * F.exp(-r * x["t"]) * x["K"],
-    )
-    df = df.withColumns({
-        "__own_pairs": _sum_over(others, lambda s: _pair(r, s)) + r * series - own,
-        "__mean": 0.5 + GRID_STEP * integral,
-    }).drop("__top", "__edge", "__edge_tie", "__heavy", "__powers", "__ratios", "__grid")
-    return _finish(g.stats(g.settle(df), __pairs=F.sum("__own_pairs")))
+    df = join_back(df, sums, [*g.by, tie], small=False)
+    df = g.settle(g.stats(df, __firsts=F.sum(r / (1.0 - r))))
+    return _finish(g.stats(df, __pairs=F.sum("__own_pairs")))
 
 
 @group_operator(limit=LISTED_RUNNERS)
@@ -143,7 +105,7 @@ def finish_order_probs(
     df: DataFrame, g: Groups, p: str = "p_win", tie: str = "tab", size: str | None = None
 ) -> DataFrame:
     """Add ``top2``, ``top3`` and ``exp_pos`` from win probabilities. ``size`` names a column
-    with the group's row count where ``p`` already sums to one, which saves a pass."""
+    with the group's row count. ``tie`` must be unique in a group."""
     if g.spread:
         return _in_large_group(df, g, p, tie, size)
     return _in_field(df, g, p, size)

@@ -131,14 +131,12 @@ def early_score(df: DataFrame, by: list[str]) -> DataFrame:
     return _aggregate(df, by, early_aggregates())
 
 
+def history_aggregates(negate_default: bool = False) -> dict[str, Column]:
+    return {
+        "n_runs": F.count("*"), **speed_aggregates(negate_default), **form_aggregates(), **early_aggregates(),
+    }
+
+
 def history_scores(df: DataFrame, by: list[str], negate_default: bool = False) -> DataFrame:
     """All run-based scores and the run count in one aggregate."""
-    return _aggregate(
-        df, by,
-        {
-            "n_runs": F.count("*"),
-            **speed_aggregates(negate_default),
-            **form_aggregates(),
-            **early_aggregates(),
-        },
-    )
+    return _aggregate(df, by, history_aggregates(negate_default))

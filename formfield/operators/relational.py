@@ -26,23 +26,21 @@ def zip_assign(
     slot: Column,
     taker_order: str,
     slot_value: str,
-    slots: int = K.MAX_BOX,
     out: str = "box",
     flag: str = "reserve_into_box",
 ) -> DataFrame:
     """Give the k-th ``taker`` row (by ``taker_order``) the k-th smallest ``slot_value``.
 
-    At most ``slots`` distinct slot values exist, so only that many takers can be served
-    and both numberings stay small however large the group is. ``taker_order`` must be
-    unique among the takers of a group.
+    Every taker is served while slots last. Both sides are numbered in their group, so a group's takers and its
+    distinct slots are each ordered in one task; the rows themselves are joined by key. ``taker_order`` must be unique
+    among the takers of a group.
     """
     takers = df.filter(taker).select(*by, F.col(taker_order).alias("__id"))
     takers = takers.withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy("__id")))
     vacant = df.filter(slot).select(*by, F.col(slot_value).alias("__slot")).distinct()
     vacant = vacant.withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy("__slot")))
     pairs = (
-        takers.filter(F.col("__k") <= slots)
-        .join(vacant.filter(F.col("__k") <= slots), [*by, "__k"])
+        takers.join(vacant, [*by, "__k"])
         .select(*[F.col(c).alias(f"__{c}") for c in by], "__id", "__slot")
     )
     match = F.col("__id") == F.when(taker, F.col(taker_order))
@@ -56,17 +54,21 @@ def zip_assign(
 
 
 def sequence_gaps(df: DataFrame, by: list[str], key: str = "tab") -> DataFrame:
-    """Numbers missing from 1..max(key) in each group; the range is produced in chunks."""
-    top = df.groupBy(*by).agg(F.max(key).cast("long").alias("__max")).filter(F.col("__max") >= 1)
-    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(__max - 1) div {GAP_CHUNK}")))
-    expected = top.withColumn("__chunk", chunk).select(
-        *by,
-        F.explode(F.sequence(
-            F.col("__chunk") * GAP_CHUNK + 1,
-            F.least(F.col("__max"), (F.col("__chunk") + 1) * GAP_CHUNK),
-        )).alias(key),
-    ).withColumn(key, F.col(key).cast(df.schema[key].dataType))
-    return expected.join(df.select(*by, key).distinct(), [*by, key], "left_anti")
+    """Numbers missing from 1..max(key) in each group.
+
+    Each present number is compared with the one before it, so what is made is the gaps alone, at most GAP_CHUNK numbers
+    per row of the plan.
+    """
+    before = F.lag(key, 1, 0).over(Window.partitionBy(*by).orderBy(key))
+    present = df.select(*by, F.col(key).cast("long").alias(key)).filter(F.col(key) >= 1).distinct()
+    holes = present.withColumn("__before", before).filter(F.col(key) - F.col("__before") > 1)
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({key} - __before - 2) div {GAP_CHUNK * GAP_CHUNK}")))
+    wide = holes.withColumn("__wide", chunk).withColumn("__from", F.col("__before") + 1 + F.col("__wide") * GAP_CHUNK * GAP_CHUNK)
+    inner = F.sequence(F.col("__from"), F.least(F.col(key) - 1, F.col("__from") + GAP_CHUNK * GAP_CHUNK - 1), F.lit(GAP_CHUNK).cast("long"))
+    starts = wide.withColumn("__start", F.explode(inner))
+    last = F.least(F.col(key) - 1, F.col("__start") + GAP_CHUNK - 1, F.col("__from") + GAP_CHUNK * GAP_CHUNK - 1)
+    numbers = starts.select(*by, F.explode(F.sequence(F.col("__start"), last)).alias(key))
+    return numbers.withColumn(key, F.col(key).cast(df.schema[key].dataType))
 
 
 def dim_lookup(df: DataFrame, box: str = "box", out: str = "prior") -> DataFrame:

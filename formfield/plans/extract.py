@@ -12,7 +12,7 @@ down through every projection and compute the whole extraction once more.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formfield import constants as K
@@ -219,9 +219,10 @@ def run_lines(lines: Column, lookback: int = K.RUN_LOOKBACK) -> Column:
     return F.transform(numbered, with_context)
 
 
-def past_runs(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Typed fields of past runs, one row per entry of ``run_lines``."""
-    df = df.select(*keep, F.inline_outer("run_lines")).filter("k is not null")
+def past_runs(df: DataFrame, keep: list[str], without: bool = False) -> DataFrame:
+    """Typed fields of past runs, one row per entry of ``run_lines``; with ``without`` also one of NULLs where there is none."""
+    df = df.select(*keep, F.inline_outer("run_lines"))
+    df = df if without else df.filter("k is not null")
     line = F.col("line")
     df = extract_metrics(df, "line").withColumn("notes", extract_comments(line))
     return df.select(
@@ -243,7 +244,7 @@ def runner_forms(pages: DataFrame) -> DataFrame:
     A page without a field table keeps one row with a NULL tab.
     """
     df = read_fields(pages)
-    df = df.withColumn("race", race_header(F.col("body")))
+    df = df.withColumns({"race": race_header(F.col("body")), "page_hash": F.xxhash64("body")})
     df = assign_blocks(df)
     block = F.col("block")
     df = df.withColumn("pair", form_and_price(F.col("before"), block, F.col("blank_lines")))
@@ -260,7 +261,7 @@ def runner_forms(pages: DataFrame) -> DataFrame:
     tab_odds = F.when(listed_price >= K.NO_PRICE, F.coalesce(tab_price, listed_price)).otherwise(listed_price)
     bf_price = F.when(F.coalesce(pair["market"], F.lit("")) != "tab", pair["price"])
     return df.select(
-        F.col("page_id").alias("race_id"), "captured_at", "race", "listed_no", "runner.tab", "runner.box",
+        F.col("page_id").alias("race_id"), "captured_at", "page_hash", "race", "listed_no", "runner.tab", "runner.box",
         "runner.horse", "runner.weight", "runner.trainer", "runner.scratched", "runner.reserve_into_box",
         F.when(runner["scratched"], K.NO_PRICE).otherwise(tab_odds).alias("tab_odds"),
         F.when(runner["scratched"], K.NO_PRICE).otherwise(F.coalesce(bf_price, tab_odds)).alias("bf_odds"),
@@ -281,7 +282,19 @@ def runner_forms(pages: DataFrame) -> DataFrame:
     )
 
 
-NESTED = ("captured_at", "race", "listed_no", "record_values", "box_stats", "run_lines")
+NESTED = ("captured_at", "page_hash", "race", "listed_no", "record_values", "box_stats", "run_lines")
+
+
+def latest_forms(forms: DataFrame) -> DataFrame:
+    """The rows of the newest capture of each page, each listed runner once.
+
+    One exchange on ``race_id``, which whatever works inside a race shares. Of captures of the same time one is taken.
+    """
+    capture = F.struct("captured_at", "page_hash")
+    page, runner = Window.partitionBy("race_id"), Window.partitionBy("race_id", "listed_no", "tab").orderBy("captured_at")
+    dealt = forms.repartition("race_id").withColumns({"__newest": F.max(capture).over(page), "__this": capture})
+    newest = dealt.filter(F.col("__this").eqNullSafe(F.col("__newest"))).drop("__newest", "__this")
+    return newest.withColumn("__copy", F.row_number().over(runner)).filter("__copy = 1").drop("__copy")
 
 
 def races(forms: DataFrame) -> DataFrame:
@@ -311,7 +324,8 @@ def recent_runs(forms: DataFrame) -> DataFrame:
 
 
 def extract_tables(forms: DataFrame) -> dict[str, DataFrame]:
-    """The tall tables of the nested result."""
+    """The tall tables of the nested result, of the newest capture of each page."""
+    forms = latest_forms(forms)
     return {
         "races": races(forms), "runners": runners(forms), "runner_records": runner_records(forms),
         "box_stats": box_stats(forms), "recent_runs": recent_runs(forms),

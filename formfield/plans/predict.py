@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from formfield import constants as K
 from formfield.functions.numbers import box_rates, finite, freshness_score, trainer_score, trackdist_score
+from formfield.functions.text import parse_record
 from formfield.groups import Groups, by_group_size
 from formfield.operators import field as W
 from formfield.operators.finish import LISTED_RUNNERS, finish_order_probs
-from formfield.operators.history import history_scores, with_targets
+from formfield.operators.history import history_aggregates, history_scores, with_targets
 from formfield.operators.relational import own_box_stats
 from formfield.plans.views import explain_text
 
@@ -105,14 +106,52 @@ def predict(
     return by_race(runners, run, bounded=bounded)
 
 
-def predict_forms(forms: DataFrame, alpha: float = K.MARKET_ALPHA) -> DataFrame:
-    """Predictions straight from the nested extraction: history is reduced inside each row's
-    runs, so the only exchange is the one that brings a race together."""
-    from formfield.plans.extract import box_stats, races, recent_runs, runner_records, runners
+def rejected_forms(forms: DataFrame) -> DataFrame:
+    """Races that :func:`predict_forms` leaves out: fewer than two active runners in the newest capture."""
+    from formfield.plans.extract import latest_forms, runners
+
+    return W.rejected_races(runners(latest_forms(forms)), ["race_id"])
+
 
-    return predict(
-        runners(forms), runner_records(forms), box_stats(forms), recent_runs(forms), races(forms), alpha, bounded=True
+def form_components(forms: DataFrame) -> DataFrame:
+    """Active runners of nested forms with their raw component scores.
+
+    Records and box counts are picked out of the runner's own arrays. Past runs are opened beside the race's distance
+    and track and reduced again within the partitioning by race that ``forms`` has, so nothing is joined.
+    """
+    from formfield.plans.extract import NESTED, past_runs
+
+    live = W.active(forms.filter("tab is not null"))
+    facts = [c for c in live.columns if c not in NESTED and c not in KEY]
+    own = F.filter("box_stats", lambda b: b["box"] == F.col("box"))
+    counts = {f"box_{c}": F.coalesce(F.get(own, 0)[c], F.lit(0)) for c in ("wins", "places23", "starts")}
+    texts = {k: F.get(F.filter("record_values", lambda r: r["kind"] == k), 0)["value"] for k in SCORED_RECORDS}
+    live = live.select(
+        *KEY, F.struct(*facts).alias("facts"), F.struct(*[v.alias(k) for k, v in counts.items()]).alias("own_box"),
+        F.struct(*[v.alias(k) for k, v in texts.items()]).alias("texts"),
+        F.col("race.distance_m").alias("target_distance"), F.col("race.track").alias("target_track"), "run_lines",
+    )
+    runs = past_runs(live, [*KEY, "facts", "own_box", "texts", "target_distance", "target_track"], without=True)
+    whole = {c: F.first(c).alias(c) for c in ("facts", "own_box", "texts")}
+    scores = {**history_aggregates(), "n_runs": F.count("k")}
+    scored = runs.groupBy(*KEY).agg(*whole.values(), *[a.alias(n) for n, a in scores.items()])
+    records = {k: parse_record(F.col(f"texts.{k}")) for k in SCORED_RECORDS}
+    df = scored.withColumns(records).select(
+        *KEY, "facts.*", "own_box.*", *scores,
+        *[F.col(f"{k}.{p}").alias(f"{k}_{p}") for k in SCORED_RECORDS for p in ("wins", "places23", "starts")],
     )
+    return with_raw_scores(df)
+
+
+def predict_forms(forms: DataFrame, alpha: float = K.MARKET_ALPHA) -> DataFrame:
+    """Predictions straight from the nested extraction, of the newest capture of each page.
+
+    The forms are read once, and the one exchange is the one that brings a race together: choosing the capture, reducing
+    the history and all steps across the field work within it. A page lists at most ten tabs, so races are small.
+    """
+    from formfield.plans.extract import latest_forms
+
+    return score_field(form_components(latest_forms(forms)), Groups(["race_id"]), alpha)
 
 
 def race_summary(predictions: DataFrame) -> DataFrame:

@@ -444,5 +444,15 @@ def pages_to_warnings(spark, d):
 
 @register("pages_to_predictions", _end_to_end(f"select race_id, tab, box, horse, pred_rank, early_rank, conf, rec, {rounded(*_NUMBERS)} from predicted"))
 def pages_to_predictions(spark, d):
-    df = PR.predict_forms(durable(forms(spark, d)))
+    df = PR.predict_forms(forms(spark, d))
+    return tidy(df, "race_id", "tab", "box", "horse", "pred_rank", "early_rank", "conf", "rec", *_NUMBERS)
+
+
+@register("pages_to_predictions_repeated", _end_to_end(f"select race_id, tab, box, horse, pred_rank, early_rank, conf, rec, {rounded(*_NUMBERS)} from predicted"))
+def pages_to_predictions_repeated(spark, d):
+    """Every page was captured before with other prices, and once more as it is."""
+    now = pages(spark, d)
+    before = now.withColumn("captured_at", F.col("captured_at") - F.expr("interval 1 hour")).withColumn(
+        "text", F.regexp_replace("text", r"(?m)\$(\d+)", r"\$1$1"))
+    df = PR.predict_forms(E.runner_forms(now.union(before).union(now)).withColumn("race_id", F.col("race_id").cast("long")))
     return tidy(df, "race_id", "tab", "box", "horse", "pred_rank", "early_rank", "conf", "rec", *_NUMBERS)

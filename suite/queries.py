@@ -123,7 +123,8 @@ def d3_rank_field(spark, d):
     select race_id, tab, bf_odds from active_contest
     qualify row_number() over (partition by race_id order by bf_odds, tab) = 1"""))
 def d4_top1_per_race(spark, d):
-    return R.first_by_key(B.active_contest(spark, d), RACE, F.col("bf_odds"), F.col("tab")).select("race_id", "tab", "bf_odds")
+    ranked = W.rank_field(B.active_contest(spark, d).withColumn("score", -F.col("bf_odds")), RACE, "score")
+    return V.top1_per_race(ranked, "rank").select("race_id", "tab", "bf_odds")
 
 
 @register("j7_finish_order_probs", over("finish", extra={**_POOL, **finish_blocks("pool_p")}, query=f"""
@@ -205,7 +206,7 @@ def j3_zip_assign(spark, d):
     })
     out = R.zip_assign(
         df, RACE, taker=(tab > 4) & ~F.col("scratched"), slot=(tab <= 4) & F.col("scratched"),
-        taker_order="line", slot_value="tab", slots=4,
+        taker_order="line", slot_value="tab",
     )
     return out.select("race_id", "tab", "box", "reserve_into_box")
 
@@ -452,14 +453,16 @@ def _fixed(x: str, digits: int = 1, sign: str = "") -> str:
     return f"printf('%{sign}.{digits}f', {x})"
 
 
-@register("t30_explain_text", over("predicted", query=f"""
-    select race_id, tab, 'Projected early position ' || early_rank || ' of ' || n_active || '. Current box ' || box || ' history: '
+_WHY = f"""'Projected early position ' || early_rank || ' of ' || n_active || '. Current box ' || box || ' history: '
         || {_fixed('box_win_rate * 100')} || '% win, ' || {_fixed('box_place_rate * 100')} || '% top-3 equivalent over ' || box_starts
         || ' starts. Market ' || {_fixed('p_mkt * 100')} || '% vs fundamental ' || {_fixed('p_fund * 100')} || '%; blended win '
         || {_fixed('p_win * 100')} || '%.' || case when quick > 0 or slow > 0
            then ' Recent steward starts: ' || quick || ' quick / ' || slow || ' slow to begin.' else '' end
         || ' Model fair odds $' || {_fixed('fair', 2)} || '; listed exchange odds $' || {_fixed('bf_odds', 2)} || '; EV '
-        || {_fixed('ev_win', 2, '+')} || '.' as why from predicted"""))
+        || {_fixed('ev_win', 2, '+')} || '.'"""
+
+
+@register("t30_explain_text", over("predicted", query=f"select race_id, tab, {_WHY} as why from predicted"))
 def t30_explain_text(spark, d):
     return predictions(spark, d).select(*RUNNER, "why")
 
@@ -495,9 +498,9 @@ def f5_speed_map_view(spark, d):
     + ", ".join(f'round({c} + 1e-11, 8) + 0.0 as "{n}"' for n, c in (
         ("Speed Z", "speed_z"), ("Early Z", "early_z"), ("Box Z", "box_z"), ("Track/Dist Z", "trackdist_z"),
         ("Form Z", "form_z"), ("Trainer Z", "trainer_z"), ("Freshness Z", "freshness_z")))
-    + " from predicted"))
+    + f', {_WHY} as "Why" from predicted'))
 def f6_explain_view(spark, d):
-    return tidy(V.explain_view(predictions(spark, d)).drop("Why"))
+    return tidy(V.explain_view(predictions(spark, d)))
 
 
 @register("f7_race_metrics", over("runners", "predicted", query="""

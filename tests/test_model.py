@@ -151,3 +151,52 @@ def test_freshness_pieces(spark):
     df = spark.createDataFrame([(float(d),) for d in days], "d double")
     got = [r[0] for r in df.select(freshness_score("d")).collect()]
     assert got == pytest.approx([.45, .45, 1.0, .8, .7375, .55, .27, .25])
+
+
+def test_zip_assign_serves_every_taker_while_slots_last(spark):
+    rows = [(1, n, 0, True, n) for n in range(1, 13)] + [(1, n, 0, False, 100 - n) for n in range(21, 33)]
+    df = spark.createDataFrame(rows, "race_id int, tab int, box int, scratched boolean, line int")
+    out = R.zip_assign(df, ["race_id"], taker=~F.col("scratched"), slot=F.col("scratched"), taker_order="line", slot_value="tab")
+    assert {r.tab: r.box for r in out.filter("reserve_into_box").collect()} == {n: 33 - n for n in range(21, 33)}
+
+
+@pytest.mark.parametrize("p", [(1.0, 0.0, 0.0), (0.7, 0.3, 0.0, 0.0), (0.0, 0.0, 0.0), (1.0, 1e-30, 2e-30), (0.0, 1.0)])
+def test_finish_probabilities_of_sure_and_hopeless_runners(spark, p):
+    df = spark.createDataFrame([(1, n, float(x)) for n, x in enumerate(p)], "race_id int, tab int, p_win double")
+    for limit in (64, 1):
+        got = by_group_size_finish(df, limit)
+        n = len(p)
+        assert sum(r.top2 for r in got) == pytest.approx(min(n, 2), abs=1e-5)
+        assert sum(r.top3 for r in got) == pytest.approx(min(n, 3), abs=1e-5)
+        assert sum(r.exp_pos for r in got) == pytest.approx(n * (n + 1) / 2, abs=1e-5)
+        if p[0] == 1.0:
+            assert got[0].exp_pos == pytest.approx(1.0, abs=1e-6)
+        if p == (0.7, 0.3, 0.0, 0.0):
+            assert got[2].top2 < 1e-6 and got[2].exp_pos == pytest.approx(3.5, abs=1e-6)
+            assert got[2].top3 == pytest.approx(0.5, abs=1e-6)
+
+
+def by_group_size_finish(df, limit):
+    out = G.by_group_size(df, ["race_id"], lambda d, g: finish_order_probs(d, g), limit)
+    return out.orderBy("tab").collect()
+
+
+@pytest.mark.parametrize("n", [64, 65, 3000])
+def test_finish_probabilities_are_the_same_in_one_task_and_spread(spark, n):
+    rng = random.Random(n)
+    p = [rng.random() ** 3 + 1e-4 for _ in range(n)]
+    df = spark.createDataFrame([(1, i, x / sum(p)) for i, x in enumerate(p)], "race_id int, tab int, p_win double")
+    spread = by_group_size_finish(df, 10)
+    if n < 1000:
+        for a, b in zip(by_group_size_finish(df, 10_000), spread):
+            assert (a.top2, a.top3, a.exp_pos) == pytest.approx((b.top2, b.top3, b.exp_pos), abs=1e-12)
+    assert sum(r.top2 for r in spread) == pytest.approx(2) and sum(r.top3 for r in spread) == pytest.approx(3)
+    assert sum(r.exp_pos for r in spread) == pytest.approx(n * (n + 1) / 2)
+
+
+def test_sequence_gaps_are_whole(spark):
+    df = spark.createDataFrame([(1, 3), (1, 3), (1, 1_050_000), (2, 1), (2, 2), (3, None), (3, 4), (4, -2)], "race_id int, tab int")
+    got = R.sequence_gaps(df, ["race_id"])
+    counts = {r.race_id: r.n for r in got.groupBy("race_id").agg(F.count("*").alias("n")).collect()}
+    assert counts == {1: 1_050_000 - 2, 3: 3}
+    assert got.distinct().count() == got.count() and got.join(df, ["race_id", "tab"]).count() == 0

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from formfield.plans import extract as E
-from formfield.plans.predict import predict_forms, race_summary
+from formfield.plans.predict import predict_forms, race_summary, rejected_forms
 from formfield.plans.views import parsed_view
 from formfield.operators.relational import quality_warnings
 from tests import page_writer as P
@@ -130,3 +130,50 @@ def test_extraction_needs_no_shuffle(tables, spark):
     pages = spark.createDataFrame([("x", datetime.datetime(2026, 1, 1), "t")], "page_id string, captured_at timestamp, text string")
     plan = E.runner_forms(pages)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("label", ["Runner", "Dog", "GREYHOUND"])
+def test_header_with_blanks_before_the_tab_and_other_labels(spark, label):
+    now = datetime.datetime(2026, 8, 25)
+    rows = []
+    for name, field, layout in (("A", P.FIELD_A, "weight"), ("B", P.FIELD_B, "money")):
+        text = P.page(field, layout)
+        assert "\nTab\tRunner\t" in text
+        rows.append((name, now, text.replace("\nTab\tRunner\t", f"\ntAB \t {label} \t")))
+    forms = E.runner_forms(spark.createDataFrame(rows, "page_id string, captured_at timestamp, text string"))
+    got = by_key(E.runners(forms), "race_id", "tab")
+    for name, field in (("A", P.FIELD_A), ("B", P.FIELD_B)):
+        assert {k[1] for k in got if k[0] == name} == {r["tab"] for r in field}
+        for want in field:
+            runner = got[name, want["tab"]]
+            assert runner.horse == want["name"] and runner.weight == (27.5 if name == "A" else None)
+
+
+def test_only_the_newest_capture_counts(spark):
+    day = datetime.datetime(2026, 8, 25)
+    one = P.page(P.FIELD_A, "weight")
+    old = one.replace("betfair$22", "betfair$2").replace("\nFADE OUT", "\nOLD NAME")
+    kind = "page_id string, captured_at timestamp, text string"
+    plain = spark.createDataFrame([("A", day, one), ("B", day, P.page(P.FIELD_B, "money"))], kind)
+    more = plain.union(spark.createDataFrame([("A", day - datetime.timedelta(hours=1), old), ("A", day, one), ("A", None, old)], kind))
+    a, b = (sorted(predict_forms(E.runner_forms(p)).collect(), key=lambda r: (r.race_id, r.tab)) for p in (plain, more))
+    assert len(a) == 14 and a == b
+    assert {k: d.count() for k, d in E.extract_tables(E.runner_forms(more)).items()} == {
+        k: d.count() for k, d in E.extract_tables(E.runner_forms(plain)).items()
+    }
+
+
+def test_forms_are_predicted_with_one_exchange_and_no_join(spark, tmp_path):
+    pages = spark.createDataFrame([("A", datetime.datetime(2026, 8, 25), P.page(P.FIELD_A, "weight"))], "page_id string, captured_at timestamp, text string")
+    E.runner_forms(pages).write.parquet(str(tmp_path / "forms"))
+    plan = predict_forms(spark.read.parquet(str(tmp_path / "forms")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and plan.count("FileScan") == 1
+
+
+def test_races_that_are_too_small_are_returned(spark):
+    day = datetime.datetime(2026, 8, 25)
+    lone = [dict(r, scratched=n > 0) for n, r in enumerate(P.FIELD_B)]
+    pages = spark.createDataFrame([("A", day, P.page(P.FIELD_A, "weight")), ("one", day, P.page(lone, "money"))], "page_id string, captured_at timestamp, text string")
+    forms = E.runner_forms(pages)
+    assert [(r.race_id, r.n_active) for r in rejected_forms(forms).collect()] == [("one", 1)]
+    assert {r.race_id for r in predict_forms(forms).collect()} == {"A"}

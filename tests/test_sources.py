@@ -67,3 +67,20 @@ def test_numbers_and_times(spark):
     row = spark.createDataFrame([("$1,234.5 sec", "12.9", "0:23.31", "x", "1:00", "nan")], "a string, b string, c string, d string, e string, f string")
     got = row.select(X.to_number("a"), X.to_int("b"), X.to_seconds("c"), X.to_number("d", 7.0), X.to_seconds("e"), X.to_int("f", 3)).first()
     assert tuple(got) == (1234.5, 12, 23.31, 7.0, 60.0, 3)
+
+
+def test_a_new_stream_on_a_compacted_log_keeps_its_pages(spark, tmp_path):
+    t = datetime.datetime
+    schema = "page_id string, captured_at timestamp, text string"
+
+    def push(folder, check, log, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+        ingest(spark.readStream.schema(schema).parquet(str(folder)), log, str(check), min_chars=0).awaitTermination()
+
+    log, small = str(tmp_path / "log"), str(tmp_path / "small")
+    push(tmp_path / "in1", tmp_path / "c1", log, [("a", t(2026, 1, 1), "a1"), ("b", t(2026, 1, 1), "b1")])
+    push(tmp_path / "in1", tmp_path / "c1", log, [("b", t(2026, 1, 2), "b2")])
+    compact(spark, log, small)
+    push(tmp_path / "in2", tmp_path / "c2", small, [("c", t(2026, 1, 3), "c1"), ("b", t(2026, 1, 2), "b2 again")])
+    push(tmp_path / "in2", tmp_path / "c2", small, [("a", t(2026, 1, 4), "a2")])
+    assert {r.page_id: r.text for r in current_pages(spark, small).collect()} == {"a": "a2", "b": "b2 again", "c": "c1"}
