@@ -134,6 +134,18 @@ def j7_finish_order_probs(spark, d):
     return tidy(finish_order_probs(df, RACE), *RUNNER, "top2", "top3", "exp_pos")
 
 
+_SEGMENTS = {"segment": ((), "select c_mktsegment as race_id, c_custkey as tab, c_acctbal + 2000.0 as p_win from customer")}
+
+
+@register("j7_finish_large_groups", over("finish", extra={**_SEGMENTS, **finish_blocks("segment")}, query=f"""
+    select race_id, tab, {rounded('top2', 'top3', 'exp_pos')} from finish"""))
+def j7_finish_large_groups(spark, d):
+    """The customers of a market segment as one field, far larger than a race."""
+    customers = B.table(spark, d, "customer").select(
+        F.col("c_mktsegment").alias("race_id"), F.col("c_custkey").alias("tab"), (F.col("c_acctbal") + 2000.0).alias("p_win"))
+    return tidy(finish_order_probs(customers, RACE), *RUNNER, "top2", "top3", "exp_pos")
+
+
 @register("w10_fair_and_ev", over("active_contest", "pool_p", extra=_POOL, query=f"""
     select race_id, tab, {rounded('fair', 'ev_win')} from (
         select race_id, tab, 1.0 / greatest(p_win, 1e-9) as fair, p_win * bf_odds - 1 as ev_win
