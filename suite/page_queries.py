@@ -326,12 +326,10 @@ def t16_lookback_form_price(spark, d):
 
 @register("t17_value_after_label", over("page_runners", extra=PAGE, query="""
     select race_id, tab, case when shown and tra_dist_best <> 0 then case when tab % 2 = 0 then '0:' else '' end || printf('%.2f', tra_dist_best) end as best,
-           case when shown then printf('$%.1fk12m PM', round(block_weight * 10 / 2) / 10) end as prize from page_runners where round(block_weight * 10) % 2 = 0"""))
+           case when shown then '$' || (p // 10) || '.' || (p % 10) || 'k' || case when tab % 2 = 0 then '12m PM' else '' end end as prize
+    from (select *, (race_id * 7 + tab * 13) % 900 + 100 as p from page_runners)"""))
 def t17_value_after_label(spark, d):
-    # halves of odd tenths are ties of the written format, which engines round differently
-    listed = B.runners(spark, d).filter(F.round(F.col("weight") * 10) % 2 == 0).select("race_id", "tab")
-    df = blocks(spark, d).join(listed, ["race_id", "tab"])
-    return df.select(
+    return blocks(spark, d).select(
         "race_id", "tab", X.first_line_after("block", "Tra/Dist Best Time").alias("best"), X.first_line_after("block", "car pm").alias("prize")
     )
 
@@ -362,11 +360,13 @@ def t19_split_glued_pairs(spark, d):
 
 @register("t20_extract_facts", over("page_runners", extra=PAGE, query=f"""
     select race_id, tab, case when shown then strip_dls end as dls, case when shown then 20 end as dlw,
-           {rounded('roi')}, {rounded('pm_12m')} from (
-        select *, case when shown then roi_percent / 100 end as roi, cast(null as double) as pm_12m from page_runners)"""))
+           {rounded('roi', 'career_pm', 'pm_12m')} from (
+        select *, case when shown then roi_percent / 100 end as roi, case when shown then p * 100.0 end as career_pm,
+               case when shown and tab % 2 = 1 then (p % 7 + 1.5) * 1e6 end as pm_12m
+        from (select *, (race_id * 7 + tab * 13) % 900 + 100 as p from page_runners))"""))
 def t20_extract_facts(spark, d):
     facts = X.extract_facts(X.section("block", E.P.FACTS))
-    df = blocks(spark, d).withColumn("f", facts).select("race_id", "tab", "f.dls", "f.dlw", "f.roi", "f.pm_12m")
+    df = blocks(spark, d).withColumn("f", facts).select("race_id", "tab", "f.dls", "f.dlw", "f.roi", "f.career_pm", "f.pm_12m")
     return tidy(df)
 
 

@@ -230,15 +230,17 @@ def j4_sequence_gaps(spark, d):
     return R.sequence_gaps(B.contest_raw(spark, d), RACE)
 
 
-_DETAIL = {"detail": ((), "select distinct o_custkey // 9 as race_id, cast(o_custkey % 9 + 1 as integer) as tab from orders where o_orderpriority = '1-URGENT'")}
+_DETAIL = {"detail": ((), "select distinct o_custkey // 9 as race_id, cast(o_custkey % 9 + 1 as integer) as tab from orders group by all having bool_or(o_orderpriority = '1-URGENT')")}
 
 
 def _detail(spark, d):
-    o = B.table(spark, d, "orders").filter(F.col("o_orderpriority") == "1-URGENT")
-    return o.groupBy(F.expr("o_custkey div 9").alias("race_id"), (F.col("o_custkey") % 9 + 1).cast("int").alias("tab")).agg(
+    o = B.table(spark, d, "orders")
+    found = o.groupBy(F.expr("o_custkey div 9").alias("race_id"), (F.col("o_custkey") % 9 + 1).cast("int").alias("tab")).agg(
         F.max(F.col("o_orderkey") % 40).cast("int").alias("dls"),
         F.max(F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") % 50 + 2)).cast("double").alias("bf_odds"),
+        F.bool_or(F.col("o_orderpriority") == "1-URGENT").alias("found"),
     )
+    return found.filter("found").drop("found")
 
 
 @register("j1_attach_details", over("runners", query="""
@@ -248,7 +250,7 @@ def _detail(spark, d):
     from runners r left join (
         select o_custkey // 9 as race_id, cast(o_custkey % 9 + 1 as integer) as tab, cast(max(o_orderkey % 40) as integer) as dls,
                cast(max(case when o_orderkey % 3 = 0 then o_orderkey % 50 + 2 end) as double) as bf
-        from orders where o_orderpriority = '1-URGENT' group by all) d using (race_id, tab)"""))
+        from orders group by all having bool_or(o_orderpriority = '1-URGENT')) d using (race_id, tab)"""))
 def j1_attach_details(spark, d):
     listed = B.runners(spark, d).select("race_id", "tab", "scratched", "tab_odds")
     return R.attach_details(listed, _detail(spark, d)).select(

@@ -104,6 +104,7 @@ def _blocks(spark, d) -> DataFrame:
     )
     career = F.when(F.col("tab") % 2 == 0, F.coalesce(percent, zero)).otherwise(counts)
     best = F.col("tra_dist_best")
+    df = df.withColumn("prize", (F.col("race_id") * 7 + F.col("tab") * 13) % 900 + 100)
     block = F.concat_ws(
         "\n",
         F.lit(""),
@@ -126,7 +127,9 @@ def _blocks(spark, d) -> DataFrame:
                  F.coalesce("distance", zero), F.lit("Crs & Dist\n"), F.coalesce("course_distance", zero),
                  F.lit("FU\n0-0-02U\n1-0-13U\n0-1-1ClockW\n0-0-0AClockW\n0-0-0Dirt\n0-0-0Sand\n0-0-0")),
         F.lit("Facts"),
-        F.concat(F.lit("Car PM\n$"), _f("%.1fk", F.col("weight") / 2), F.lit("12m PM\n$1,196DLS\n"), F.col("dls"),
+        F.concat(F.lit("Car PM\n$"), F.expr("prize div 10"), F.lit("."), F.col("prize") % 10,
+                 F.when(F.col("tab") % 2 == 0, F.lit("k12m PM\n$1,196DLS\n")).otherwise(
+                     F.concat(F.lit("k\n12m PM\n$"), F.col("prize") % 7 + 1, F.lit(".5M\nDLS\n"))), F.col("dls"),
                  F.lit("DLW\n20(3)ROI\n"), _f("%.2f%%", "roi_percent"), F.lit("For-Against\n20-17")),
         F.lit("Best Winning Times at Other Tracks"),
         F.when(F.col("tab") % 3 == 0, F.concat(F.lit("Days Since Last Run: "), F.col("dls") + 1, F.lit(" days ("), F.col("age"), F.lit("U)"))),
