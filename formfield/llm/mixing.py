@@ -13,6 +13,8 @@ from formfield.llm.common import checkpointed, quoted
 FAN_IN = 256
 #: Times that a document may be repeated.
 MOST = 3
+#: Sources up to which their table is sent to all tasks; more are joined by an exchange.
+FEW_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -46,6 +48,13 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     ).select("source", "total", "target")
 
 
+def _by_source(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of a table that has one row per source ``of``; a source may hold most of the rows, so its
+    rows are not brought together where the table is small enough to be sent."""
+    side = F.broadcast(table) if table.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES else table
+    return rows.join(side, F.col("source").eqNullSafe(F.col("of")), how).drop("of")
+
+
 def _uniform(*parts: Column) -> Column:
     """A number in [0, 1) that depends on nothing but the parts."""
     return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(1 << 53))
@@ -100,7 +109,7 @@ def _tree(items: DataFrame, level: int, seed: int, fan_in: int, key_type: str) -
     counts = items.groupBy("source").agg(F.count("*").alias("n")).withColumnRenamed("source", "of")
     counts = checkpointed(counts)
     largest = counts.agg(F.max("n")).first()[0] or 0
-    items = items.join(counts, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    items = _by_source(items, counts)
     decided = None
     for depth in range(max(1, ceil(log(max(largest, 2)) / log(fan_in)))):
         folded = checkpointed(_reduce(items, level + depth, seed, fan_in, key_type))
@@ -133,14 +142,14 @@ def mix(
     sources = targets(classes.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("total")), weights, most)
     sources = checkpointed(sources.withColumnRenamed("source", "of"))
     each = F.when(F.col("total") > 0, F.col("rows") * F.col("target") / F.col("total")).otherwise(F.lit(0.0))
-    priced = classes.join(sources, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("each", each)
+    priced = _by_source(classes, sources).withColumn("each", each)
     priced = priced.withColumn("whole", F.floor("each")).withColumn("p", F.col("each") - F.col("whole"))
     priced = checkpointed(priced.withColumn("key", F.struct("source", "doc_id", "size")).drop("source", "doc_id", "size", "each"))
     key_type = priced.schema["key"].dataType.simpleString()
     open_items = priced.where("p > 0 and key.size > 0").select("key.source", "key", F.col("key.size").cast("double").alias("s"), "p")
     light = F.col("s") <= F.col("mean")
     shape = checkpointed(open_items.groupBy("source").agg(F.avg("s").alias("mean")).withColumnRenamed("source", "of"))
-    sided = open_items.join(shape, F.col("source").eqNullSafe(F.col("of"))).withColumn("light", light).drop("of", "mean")
+    sided = _by_source(open_items, shape).withColumn("light", light).drop("mean")
     heavy, last = _tree(sided.where("not light").drop("light"), 0, seed, fan_in, key_type)
     # Words that the last heavy document takes above or below its part are given back by the light ones
     last = last.withColumn("up", _uniform(F.lit(seed), F.lit(-1), "key") < F.col("p"))
@@ -148,7 +157,7 @@ def mix(
     slack = rest.groupBy("source").agg(F.sum("s").alias("slack")).withColumnRenamed("source", "of")
     over = last.select(F.col("source").alias("by"), ((F.col("up").cast("double") - F.col("p")) * F.col("s")).alias("over"))
     owed = slack.join(over, F.col("of").eqNullSafe(F.col("by")), "left").select("of", (F.coalesce("over", F.lit(0.0)) / F.col("slack")).alias("owed"))
-    rest = rest.join(owed, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn(
+    rest = _by_source(rest, checkpointed(owed)).withColumn(
         "p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("p") - F.col("owed")))
     ).drop("owed")
     rest = checkpointed(rest)
