@@ -55,3 +55,11 @@ MIN_PAGE_CHARS = 300
 RUN_LOOKBACK = 18
 PREFIX_CHARS = 320
 FALLBACK_CHARS = 400
+
+# --- Fixed values: wording of the data-quality warnings -----------------------
+WARN_NO_TABLE = "Could not locate the runners table."
+WARN_NO_DETAIL = "No detail block found for #%s %s."
+WARN_UNASSIGNED = "One or more active reserves could not be assigned to a vacant box."
+WARN_DETAILS_MISSING = "Detailed form was not parsed for %s active runner(s)."
+WARN_FEW_RUNS = "%s active runner(s) have fewer than three parsed recent runs; model confidence is reduced."
+WARN_TAB_GAP = "Tab number %s is missing from the parsed field."

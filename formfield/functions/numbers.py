@@ -89,3 +89,9 @@ def trackdist_score(course_distance, distance, course) -> Column:
         + 0.31 * shrunk_rate(*distance)
         + 0.21 * shrunk_rate(*course)
     )
+
+
+def listed_price(listed: Column, tab_price: Column) -> Column:
+    """The listed price, or the bookmaker's price of the detail block where none is listed, or none."""
+    listed = F.coalesce(listed, F.lit(K.NO_PRICE))
+    return F.when(listed >= K.NO_PRICE, F.coalesce(tab_price.cast("double"), listed)).otherwise(listed)

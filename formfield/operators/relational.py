@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formfield import constants as K
-from formfield.functions.numbers import box_prior
+from formfield.functions.numbers import box_prior, listed_price
 
 KEY = ["race_id", "tab"]
 GAP_CHUNK = 1024
@@ -87,9 +87,12 @@ def own_box_stats(runners: DataFrame, box_stats: DataFrame, by: list[str] = KEY,
 
 
 def attach_details(runners: DataFrame, details: DataFrame, by: list[str] = KEY) -> DataFrame:
-    """Left-merge detail fields, fill the defaults and reset prices of scratched runners."""
+    """Left-merge detail fields, fill the defaults and reset prices of scratched runners.
+
+    A bookmaker's price in the details (``tab_price``) stands in for a missing listed one.
+    """
     out = runners.join(details.withColumn("has_detail", F.lit(True)), by, "left")
-    price = F.coalesce(F.col("tab_odds"), F.lit(K.NO_PRICE))
+    price = listed_price(F.col("tab_odds"), F.col("tab_price") if "tab_price" in out.columns else F.lit(None))
     out = out.withColumns({
         "has_detail": F.coalesce("has_detail", F.lit(False)),
         "tab_odds": F.when(F.col("scratched"), K.NO_PRICE).otherwise(price),
@@ -118,10 +121,10 @@ def quality_warnings(runners: DataFrame, races: DataFrame, by: str = "race_id")
         )
 
     empty = races.join(runners.select(by).distinct(), by, "left_anti").select(
-        by, row("no_table", None, F.lit("Could not locate the runners table.")).alias("w")
+        by, row("no_table", None, F.lit(K.WARN_NO_TABLE)).alias("w")
     )
     undetailed = runners.filter(~F.col("has_detail")).select(
-        by, row("no_detail", "tab", F.concat(F.lit("No detail block found for #"), F.col("tab"), F.lit(" "), F.col("horse"), F.lit("."))).alias("w")
+        by, row("no_detail", "tab", F.format_string(K.WARN_NO_DETAIL, F.col("tab").cast("string"), F.col("horse"))).alias("w")
     )
     counts = runners.groupBy(by).agg(
         F.count_if(live & (F.col("box") == 0)).alias("boxless"),
@@ -129,14 +132,10 @@ def quality_warnings(runners: DataFrame, races: DataFrame, by: str = "race_id")
         F.count_if(live & (F.coalesce("n_runs", F.lit(0)) < 3)).alias("few"),
     )
     per_race = F.array(
-        F.when(F.col("boxless") > 0, row("unassigned_reserve", None, F.lit(
-            "One or more active reserves could not be assigned to a vacant box."))),
-        F.when(F.col("undetailed") > 0, row("details_missing", None, F.concat(
-            F.lit("Detailed form was not parsed for "), F.col("undetailed"), F.lit(" active runner(s).")))),
-        F.when(F.col("few") > 0, row("few_runs", None, F.concat(
-            F.col("few"), F.lit(" active runner(s) have fewer than three parsed recent runs; model confidence is reduced.")))),
+        F.when(F.col("boxless") > 0, row("unassigned_reserve", None, F.lit(K.WARN_UNASSIGNED))),
+        F.when(F.col("undetailed") > 0, row("details_missing", None, F.format_string(K.WARN_DETAILS_MISSING, F.col("undetailed").cast("string")))),
+        F.when(F.col("few") > 0, row("few_runs", None, F.format_string(K.WARN_FEW_RUNS, F.col("few").cast("string")))),
     )
     raced = counts.select(by, F.explode(F.array_compact(per_race)).alias("w"))
-    gaps = sequence_gaps(runners, [by]).select(by, row("tab_gap", "tab", F.concat(
-        F.lit("Tab number "), F.col("tab"), F.lit(" is missing from the parsed field."))).alias("w"))
+    gaps = sequence_gaps(runners, [by]).select(by, row("tab_gap", "tab", F.format_string(K.WARN_TAB_GAP, F.col("tab").cast("string"))).alias("w"))
     return empty.unionByName(undetailed).unionByName(raced).unionByName(gaps).select(by, "w.*")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from formfield import constants as K
 from formfield.functions import layouts as L
 from formfield.functions import patterns as P
+from formfield.functions.numbers import listed_price
 from formfield.functions.text import (
     clean_text, count_rows, extract, extract_comments, extract_facts, extract_metrics,
     first_line_after, let, parse_record, section, split_glued_pairs, split_lines, strip, to_number, to_seconds,
@@ -256,9 +257,7 @@ def runner_forms(pages: DataFrame) -> DataFrame:
     df = df.withColumn("run_lines", run_lines(F.col("block_lines")))
     known = block.isNotNull()
     runner, pair = F.col("runner"), F.col("pair")
-    listed_price = F.coalesce(runner["tab_odds"], F.lit(K.NO_PRICE))
-    tab_price = F.when(pair["market"] == "tab", pair["price"])
-    tab_odds = F.when(listed_price >= K.NO_PRICE, F.coalesce(tab_price, listed_price)).otherwise(listed_price)
+    tab_odds = listed_price(runner["tab_odds"], F.when(pair["market"] == "tab", pair["price"]))
     bf_price = F.when(F.coalesce(pair["market"], F.lit("")) != "tab", pair["price"])
     return df.select(
         F.col("page_id").alias("race_id"), "captured_at", "page_hash", "race", "listed_no", "runner.tab", "runner.box",

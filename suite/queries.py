@@ -244,16 +244,19 @@ def _detail(spark, d):
 
 
 @register("j1_attach_details", over("runners", query="""
-    select r.race_id, r.tab, coalesce(d.dls, 14) as dls, case when scratched then 999.0 else tab_odds end as tab_odds,
-           cast(case when scratched then 999.0 else coalesce(d.bf, tab_odds) end as double) as bf_odds,
-           d.dls is not null as has_detail, d.bf is null as bf_is_proxy
-    from runners r left join (
+    select race_id, tab, coalesce(dls, 14) as dls, case when scratched then 999.0 else price end as tab_odds,
+           cast(case when scratched then 999.0 else coalesce(bf, price) end as double) as bf_odds,
+           dls is not null as has_detail, bf is null as bf_is_proxy
+    from (select r.race_id, r.tab, scratched, d.dls, d.bf,
+                 cast(case when r.tab <> 5 then tab_odds when d.dls % 2 = 0 then d.dls + 2.0 else 999.0 end as double) as price
+          from runners r left join (
         select o_custkey // 9 as race_id, cast(o_custkey % 9 + 1 as integer) as tab, cast(max(o_orderkey % 40) as integer) as dls,
                cast(max(case when o_orderkey % 3 = 0 then o_orderkey % 50 + 2 end) as double) as bf
-        from orders group by all having bool_or(o_orderpriority = '1-URGENT')) d using (race_id, tab)"""))
+        from orders group by all having bool_or(o_orderpriority = '1-URGENT')) d using (race_id, tab))"""))
 def j1_attach_details(spark, d):
-    listed = B.runners(spark, d).select("race_id", "tab", "scratched", "tab_odds")
-    return R.attach_details(listed, _detail(spark, d)).select(
+    listed = B.runners(spark, d).select("race_id", "tab", "scratched", F.when(F.col("tab") != 5, F.col("tab_odds")).alias("tab_odds"))
+    details = _detail(spark, d).withColumn("tab_price", F.when(F.col("dls") % 2 == 0, F.col("dls") + 2.0))
+    return R.attach_details(listed, details).select(
         "race_id", "tab", "dls", "tab_odds", "bf_odds", "has_detail", "bf_is_proxy"
     )
 
