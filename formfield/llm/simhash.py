@@ -228,7 +228,8 @@ def near_duplicates(
     members = roots.join(classes, roots["node"] == classes["fp"]).select("node", "root", "first")
     smallest = members.groupBy("root").agg(F.min("first").alias("smallest"))
     linked = members.join(smallest, "root").select(F.col("node").alias("fp"), "smallest")
-    named = classes.join(linked, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component_id"))
+    # Kept, so that the join below reads two plain exchanges and a very common fingerprint can be split
+    named = checkpointed(classes.join(linked, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component_id")))
     return prints.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
