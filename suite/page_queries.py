@@ -24,11 +24,16 @@ from suite.sql import over, rounded
 _PAGES: dict[tuple[str, str], DataFrame] = {}
 
 
+def dealt(scan: DataFrame) -> DataFrame:
+    """The small test tables over all cores."""
+    return spread(scan, scan.sparkSession.sparkContext.defaultParallelism)
+
+
 def pages(spark, d) -> DataFrame:
     """Rendered pages, written once per application and read by every query."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _PAGES:
-        _PAGES[key] = spread(durable(render.pages(spark, d)))
+        _PAGES[key] = dealt(durable(render.pages(spark, d)))
     return _PAGES[key]
 
 
@@ -103,14 +108,14 @@ _CLEAN = f"regexp_replace({_CLEAN}, '(?m)^[ \\t]+|[ \\t]+$', '', 'g')"
 @register("t1_clean_text", f"select page_id, {_CLEAN} as clean from (select page_id, replace(replace(html, '<p>', chr(10) || ' - '), '<a href=\"', '[x]( ') as html from pages)")
 def t1_clean_text(spark, d):
     html = F.replace(F.replace("html", F.lit("<p>"), F.lit("\n - ")), F.lit('<a href="'), F.lit("[x]( "))
-    return spread(B.table(spark, d, "pages")).select("page_id", X.clean_text(html).alias("clean"))
+    return dealt(B.table(spark, d, "pages")).select("page_id", X.clean_text(html).alias("clean"))
 
 
 @register("t2_explode_lines", """
     select doc_id, cast(i - 1 as integer) as line_no, lines[i] as line
     from (select doc_id, string_split(regexp_replace(text, '\\n$', ''), chr(10)) as lines from documents), range(1, len(lines) + 1) t(i)""")
 def t2_explode_lines(spark, d):
-    return E.explode_lines(spread(B.table(spark, d, "documents").select("doc_id", "text")), "text", "doc_id")
+    return E.explode_lines(dealt(B.table(spark, d, "documents").select("doc_id", "text")), "text", "doc_id")
 
 
 @register("t3_split_cells", """
@@ -162,7 +167,7 @@ def t5_to_number(spark, d):
           from (select doc_id, string_split(text, chr(10)) as lines from documents))""")
 def t11_segment_between(spark, d):
     part = X.segment_between("text", r"(?md)^[^\n]*\.$", r"(?md)^[^\n]*,[^\n]*$")
-    return spread(B.table(spark, d, "documents")).select("doc_id", F.regexp_replace(part, r"\A\n|\n\z", "").alias("segment"))
+    return dealt(B.table(spark, d, "documents")).select("doc_id", F.regexp_replace(part, r"\A\n|\n\z", "").alias("segment"))
 
 
 @register("t18_parse_record", over("career", query="""
@@ -190,7 +195,7 @@ def t21_to_seconds(spark, d):
 @register("s2_gate_pages", """
     select doc_id, length(trim(text, ' ' || chr(10) || chr(9))) >= 300 as kept from documents""")
 def s2_gate_pages(spark, d):
-    kept, rejected = gate_pages(spread(B.table(spark, d, "documents").select("doc_id", "text")))
+    kept, rejected = gate_pages(dealt(B.table(spark, d, "documents").select("doc_id", "text")))
     return kept.select("doc_id", F.lit(True).alias("kept")).unionByName(rejected.select("doc_id", F.lit(False).alias("kept")))
 
 
@@ -392,14 +397,14 @@ def t23_extract_runs(spark, d):
         select *, o_orderkey % 2 * 60 + 20 + o_orderkey % 500 / 100.0 as race_time, 19 + o_orderkey % 700 / 100.0 as bom,
                21 + o_orderkey % 600 / 100.0 as runner_time, 1 + o_orderkey % 3000 / 100.0 as sp, 25 + o_orderkey % 90 / 10.0 as weight from all_runs)"""))
 def t24_extract_metrics(spark, d):
-    lines = spread(B.all_runs(spark, d)).select("o_orderkey", render.run_line().alias("line"))
+    lines = dealt(B.all_runs(spark, d)).select("o_orderkey", render.run_line().alias("line"))
     return tidy(X.extract_metrics(lines, "line").drop("line"))
 
 
 @register("t25_extract_comments", over("all_runs", query="""
     select o_orderkey, stewards, settle_pos, case when settle_pos is not null and o_orderkey % 3 = 0 then field end as turn_pos, prior_box as split_rank from all_runs"""))
 def t25_extract_comments(spark, d):
-    lines = spread(B.all_runs(spark, d)).select("o_orderkey", X.extract_comments(render.run_line()).alias("c"))
+    lines = dealt(B.all_runs(spark, d)).select("o_orderkey", X.extract_comments(render.run_line()).alias("c"))
     return lines.select("o_orderkey", "c.*")
 
 
