@@ -66,9 +66,11 @@ def boilerplate(
     """
     lines = site_lines(documents, doc_id, text, site, precision)
     error = band * 1.04 / sqrt(1 << precision)
-    likely = spread(lines, precision).where(F.col("sites") >= min_sites * (1 - error))
-    found = lines.select("doc_id", "site", "h1", "h2").join(likely, ["h1", "h2"]).groupBy("h1", "h2", "doc_id", "site")
-    found = checkpointed(found.agg(F.max("sites").alias("sites")))
+    # Kept, so that the join reads plain exchanges
+    likely = checkpointed(spread(lines, precision).where(F.col("sites") >= min_sites * (1 - error)))
+    # Dealt anew by document, so that a very common line can be split in the join and does not meet in one task after it
+    joined = lines.select("doc_id", "site", "h1", "h2").join(likely, ["h1", "h2"]).repartition("h1", "h2", "doc_id")
+    found = checkpointed(joined.groupBy("h1", "h2", "doc_id", "site").agg(F.max("sites").alias("sites")))
     near = found.where(F.col("sites") <= min_sites * (1 + error)).select("h1", "h2", "site").distinct()
     exact = near.groupBy("h1", "h2").count().where(F.col("count") >= min_sites).select("h1", "h2")
     sure = found.where(F.col("sites") > min_sites * (1 + error)).select("h1", "h2").distinct()
