@@ -154,14 +154,14 @@ def _slots(word: bytes) -> tuple[int, ...]:
     return tuple({xxhash.xxh32_intdigest(t) % FEATURES for t in (word, word[:5] + b"*", word[:4] + b"*")})
 
 
-def train(documents: list[tuple[list[int], np.ndarray]], target: np.ndarray, rounds: int = 120, ridge: float = 1e-3):
+def train(documents: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, rounds: int = 120, ridge: float = 1e-3):
     """Logistic regression on posterior labels; returns word weights, dense weights and the offset.
 
     Votes are held less small than hashed words, which are many and mostly noise.
     """
     n = len(documents)
-    row = np.repeat(np.arange(n), [len(d[0]) for d in documents])
-    col = np.concatenate([np.array(d[0], dtype=np.int64) for d in documents]) if n else np.empty(0, dtype=np.int64)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(d[0]) for d in documents])
+    col = np.concatenate([d[0] for d in documents]) if n else np.empty(0, dtype=np.int32)
     dense = np.vstack([d[1] for d in documents])
     width = FEATURES + dense.shape[1] + 1
     w, first, second = np.zeros(width), np.zeros(width), np.zeros(width)
@@ -208,7 +208,9 @@ class Model:
 
 def fit_model(samples: list[tuple[str, int]]) -> Model:
     """Fits on (text, toxic) pairs: the labels serve to find terms and the share of toxic documents, nothing else."""
-    tokens = [(words_of(text), label) for text, label in samples]
+    one: dict[bytes, bytes] = {}
+    # A word that is met again is the same object, and positions are small arrays: the driver's memory is bounded, but small
+    tokens = [([one.setdefault(w, w) for w in words_of(text)], label) for text, label in samples]
     # Copies of a document would make its words look like terms
     voters = Voters(find_terms([tokens[n] for n in {text: n for n, (text, _) in enumerate(samples)}.values()]))
     share = (sum(label for _, label in samples) + 0.5) / (len(samples) + 1)
@@ -216,8 +218,11 @@ def fit_model(samples: list[tuple[str, int]]) -> Model:
         return Model(voters, np.zeros(FEATURES), np.zeros(voters.patterns), -3.0)
     votes = np.vstack([voters.votes(text, words, voters.hits(words)) for (text, _), (words, _) in zip(samples, tokens, strict=True)])
     target = label_model(votes, share)
-    slots = {w: _slots(w) for w in {w for words, _ in tokens for w in words}}
-    rows = [([k for w in set(words) for k in slots[w]], v.astype(np.float64)) for (words, _), v in zip(tokens, votes, strict=True)]
+    slots = {w: _slots(w) for w in one}
+    rows = [
+        (np.fromiter((k for w in set(words) for k in slots[w]), np.int32), v.astype(np.float32))
+        for (words, _), v in zip(tokens, votes, strict=True)
+    ]
     return Model(voters, *train(rows, target))
 
 
