@@ -31,6 +31,8 @@ TEMPLATES = [
     ("reserved", "All rights reserved."),
 ]
 THRESHOLD = 0.8
+#: Words of a window over wrapped lines, as a multiple of the template's words.
+WINDOW = 2
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAKS = "".join(map(chr, range(128))).translate(str.maketrans("", "", _UPPER + _LOWER + "0123456789\n"))
 
@@ -44,15 +46,20 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(_plain(text), " "), "")
 
 
-def template_tokens(templates: list[tuple[str, str]]) -> list[tuple[str, list[str]]]:
-    """Label and distinct tokens of each template."""
+def template_words(templates: list[tuple[str, str]]) -> list[tuple[str, list[str]]]:
+    """Label and words of each template that has any."""
     known = []
     for label, text in templates:
         plain = "".join(c if c.isalnum() and c.isascii() or ord(c) > 127 else " " for c in text).translate(
             str.maketrans(_UPPER, _LOWER)
         )
-        known.append((label, list(dict.fromkeys(plain.split()))))
-    return [(label, tokens) for label, tokens in known if tokens]
+        known.append((label, plain.split()))
+    return [(label, found) for label, found in known if found]
+
+
+def template_tokens(templates: list[tuple[str, str]]) -> list[tuple[str, list[str]]]:
+    """Label and distinct tokens of each template."""
+    return [(label, list(dict.fromkeys(found))) for label, found in template_words(templates)]
 
 
 def blocks(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -62,11 +69,40 @@ def blocks(documents: DataFrame, text: str = "text") -> DataFrame:
     return documents.select(F.xxhash64(own).alias("a"), F.xxhash64(own, F.lit(1)).alias("b"), F.explode(lines).alias("line"))
 
 
+def wrapped(documents: DataFrame, side: DataFrame, text: str = "text") -> DataFrame:
+    """``(a, b, label, containment)``: templates found in windows of words that may run over line ends.
+
+    A window that meets the threshold holds a prefix token of the template, so only the windows around such tokens are
+    compared: first all words that a window with it can reach, then each window. Texts of one line are left to
+    :func:`notices`.
+    """
+    own = quoted(text).cast("string")
+    several = documents.where(own.contains("\n")).select(
+        F.xxhash64(own).alias("a"), F.xxhash64(own, F.lit(1)).alias("b"), words(own).alias("words")
+    )
+    placed = several.select("a", "b", "words", F.posexplode("words").alias("pos", "token")).join(F.broadcast(side), "token")
+    first = F.greatest(F.col("pos") - F.col("width") + 1, F.lit(0))
+    near = placed.select(
+        "a", "b", "label", "tokens", "need", "width",
+        F.slice("words", first + 1, F.col("pos") + F.col("width") - first).alias("near"),
+    ).where(F.size(F.array_intersect("tokens", "near")) >= F.col("need"))
+    held = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size("near") - F.col("width") + 1, F.lit(1))),
+        lambda start: F.size(F.array_intersect("tokens", F.slice("near", start, F.col("width")))),
+    )
+    # By a generator, as the optimizer would move this filter into the join, which then copied all words for each word
+    best = near.select("a", "b", "label", "tokens", "need", F.explode_outer(F.array(F.array_max(held))).alias("best")).where("best >= need")
+    return best.select("a", "b", "label", (F.col("best") / F.size("tokens")).alias("containment"))
+
+
 def notices(
     documents: DataFrame, text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD,
 ) -> DataFrame:
     """``(a, b, label, containment)``: every block that holds at least ``threshold`` of a template's tokens.
 
+    A block is a line, or in a text of several lines any run of twice a template's words, so that notices wrapped
+    over lines are found too (see :func:`wrapped`).
+
     Tokens are ordered by how often the whole corpus has them, rarest first. Only a template's first
     ``n - ceil(threshold * n) + 1`` tokens are joined with, as a block that meets the threshold holds one of them.
     Of a pair's common prefix tokens only the first makes a candidate. It must have enough tokens (length filter) and
@@ -74,7 +110,7 @@ def notices(
     The templates are a rule table written down in code, so what is broadcast of them does not grow with the data.
     """
     spark = documents.sparkSession
-    known = template_tokens(templates)
+    known = template_words(templates)
     if not known:
         return spark.createDataFrame([], "a long, b long, label string, containment double")
     vocabulary = sorted({t for _, tokens in known for t in tokens})
@@ -86,12 +122,14 @@ def notices(
     order = sorted(vocabulary, key=lambda t: (frequency.get(t, 0), t))
     place = {t: n for n, t in enumerate(order)}
     prefixes = []
-    for label, tokens in known:
-        tokens = sorted(tokens, key=place.__getitem__)
+    for label, whole in known:
+        tokens = sorted(set(whole), key=place.__getitem__)
         need = ceil(round(threshold * len(tokens), 9))
         for i in range(len(tokens) - need + 1):
-            prefixes.append((tokens[i], label, tokens, need, i, tokens[:i]))
-    side = spark.createDataFrame(prefixes, "token string, label string, tokens array<string>, need int, i int, earlier array<string>")
+            prefixes.append((tokens[i], label, tokens, need, i, tokens[:i], WINDOW * len(whole)))
+    side = spark.createDataFrame(
+        prefixes, "token string, label string, tokens array<string>, need int, i int, earlier array<string>, width int"
+    )
     # The block's template tokens, in the order of the vocabulary, that is by frequency
     held = F.array_intersect(F.array(*map(F.lit, order)), F.split("line", " "))
     pairs = asked.join(F.broadcast(side), "token").select("*", held.alias("held")).where(
@@ -99,7 +137,8 @@ def notices(
         & (F.least(F.size("tokens") - F.col("i"), F.size("held") - F.array_position("held", F.col("token")) + 1) >= F.col("need"))
     )
     share = F.size(F.array_intersect("tokens", "held"))
-    return pairs.where(share >= F.col("need")).select("a", "b", "label", (share / F.size("tokens")).alias("containment"))
+    in_lines = pairs.where(share >= F.col("need")).select("a", "b", "label", (share / F.size("tokens")).alias("containment"))
+    return in_lines.union(wrapped(documents, side, text))
 
 
 def scan(

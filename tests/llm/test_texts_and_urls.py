@@ -82,6 +82,28 @@ def test_notices_are_all_found(spark):
         assert found == want
 
 
+def test_wrapped_notices_are_found(spark):
+    """Notices broken over lines, with comment marks, far into a text; tokens strewn over a text are none."""
+    mit, bsd = (next(t for label, t in licenses.TEMPLATES if label == k and len(t) > 60) for k in ("mit", "bsd"))
+    lgpl = next(t for label, t in licenses.TEMPLATES if label == "lgpl")
+
+    def wrap(text, mark="", each=5):
+        parts = text.split()
+        return "\n".join(mark + " ".join(parts[k:k + each]) for k in range(0, len(parts), each))
+
+    rows = [
+        (1, wrap(mit)), (2, "some text\n" * 3000 + wrap(bsd, " * ") + "\nmore text" * 50), (3, wrap(lgpl, "REM ", 7)),
+        (4, "\n".join(f"{w} " + "filler " * 40 for w in bsd.split())), (5, wrap(bsd, each=1)), (6, "first\n" + bsd + "\nlast"),
+        (7, "All\nrights\r\nreserved."), (8, None), (9, "\n\n"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (set(r.labels), r.score) for r in licenses.scan(docs).collect()}
+    assert len(got) == len(rows)
+    assert got[1] == ({"mit"}, 1.0) and got[2] == got[5] == got[6] == ({"bsd"}, 1.0) and got[7] == ({"reserved"}, 1.0)
+    assert "lgpl" in got[3][0] and got[3][1] == 1.0
+    assert got[4] == got[8] == got[9] == (set(), 0.0)
+
+
 RULES = [("org", "/", "allow"), ("b.org", "/x", "block"), ("a.b.org", "", "allow"), ("org", "/same", "block"), ("org", "/same", "allow"), (None, "/", "block"), ("com", None, "block")]
 
 
