@@ -15,6 +15,8 @@ MIN_SITES = 10
 PRECISION = 8
 #: Standard errors around the threshold within which sites are counted exactly.
 BAND = 4.0
+#: Chance at most that a line at the threshold fills too few registers to be counted.
+MISSED = 1e-9
 
 
 def _line_key(line: Column) -> list[Column]:
@@ -41,8 +43,22 @@ def site_lines(documents: DataFrame, doc_id: str, text: str, site: str, precisio
     return sited.where(F.trim("line") != "").select("doc_id", "site", "register", "rank", *_line_key(F.col("line")))
 
 
+def fewest_registers(sites: int, precision: int, missed: float = MISSED) -> int:
+    """Registers that so many sites fill at least, but for a chance of ``missed``."""
+    m = 1 << precision
+    chance = [1.0] + [0.0] * min(sites, m)
+    for _ in range(sites):
+        chance = [0.0] + [chance[n] * n / m + chance[n - 1] * (m - n + 1) / m for n in range(1, len(chance))]
+    fewer = 0.0
+    for n, p in enumerate(chance):
+        fewer += p
+        if fewer > missed:
+            return n
+    return len(chance) - 1
+
+
 def spread(lines: DataFrame, precision: int = PRECISION) -> DataFrame:
-    """``(h1, h2, sites)``: estimated distinct sites of each line.
+    """``(h1, h2, sites, filled)``: estimated distinct sites of each line, and how many registers they fill.
 
     A sketch is kept as rows of (line, register, highest rank), so sketches merge by an ordinary maximum that is
     combined before the exchange; a line never has more rows than registers, however many sites carry it.
@@ -53,7 +69,8 @@ def spread(lines: DataFrame, precision: int = PRECISION) -> DataFrame:
     merged = registers.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.sum(F.pow(F.lit(2.0), -F.col("rank"))).alias("z"))
     raw = F.lit(alpha * m * m) / (F.col("z") + m - F.col("n"))
     few = F.lit(float(m)) * F.log(F.lit(float(m)) / (F.lit(float(m)) - F.col("n")))
-    return merged.select("h1", "h2", F.when((raw <= 2.5 * m) & (F.col("n") < m), few).otherwise(raw).alias("sites"))
+    sites = F.when((raw <= 2.5 * m) & (F.col("n") < m), few).otherwise(raw)
+    return merged.select("h1", "h2", sites.alias("sites"), F.col("n").alias("filled"))
 
 
 def boilerplate(
@@ -62,12 +79,17 @@ def boilerplate(
 ) -> DataFrame:
     """``(doc_id, h1, h2)``: for each document the distinct lines of it that at least ``min_sites`` sites carry.
 
-    Lines whose estimate lies clearly above the threshold are taken, those near it are counted exactly.
+    Lines whose estimate lies clearly above the threshold are taken, those near it are counted exactly. The error model
+    is one of large counts, so with a threshold below the number of registers a line is also counted where it fills as
+    many registers as that many sites fill almost surely.
     """
     lines = site_lines(documents, doc_id, text, site, precision)
     error = band * 1.04 / sqrt(1 << precision)
     # Kept, so that the join reads plain exchanges
-    likely = checkpointed(spread(lines, precision).where(F.col("sites") >= min_sites * (1 - error)))
+    near = F.col("sites") >= min_sites * (1 - error)
+    if min_sites < 1 << precision:
+        near |= F.col("filled") >= fewest_registers(min_sites, precision)
+    likely = checkpointed(spread(lines, precision).where(near).drop("filled"))
     # Dealt anew by document, so that a very common line can be split in the join and does not meet in one task after it
     joined = lines.select("doc_id", "site", "h1", "h2").join(likely, ["h1", "h2"]).repartition("h1", "h2", "doc_id")
     found = checkpointed(joined.groupBy("h1", "h2", "doc_id", "site").agg(F.max("sites").alias("sites")))

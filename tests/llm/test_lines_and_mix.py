@@ -2,6 +2,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from formfield.llm import line_spread, mixing
@@ -48,6 +49,19 @@ def test_sketches_estimate_sites(spark):
     assert abs(row.sites / 20_000 - 1) < 0.15
 
 
+def test_sites_that_share_registers_are_counted(spark):
+    """Ten sites in six registers of 256, and nine of them, which are too few."""
+    register = lambda s: xxhash.xxh64_intdigest(f"={s}".encode(), 42) & 255
+    sites = [next(s for n in range(10**6) if register(s := f"s{n}x{k}") == k % 6) for k in range(10)]
+    rows = [(n, f"own line {n}\non ten sites" + "\non nine sites" * (n < 9), s) for n, s in enumerate(sites)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    (row,) = line_spread.spread(line_spread.site_lines(docs.selectExpr("doc_id", "'x' AS text", "source"), "doc_id", "text", "source", 8), 8).collect()
+    assert row.filled == 6
+    got = line_spread.remove_boilerplate(docs)
+    assert sorted(((r.doc_id, r.n_lines, r.n_removed, r.text) for r in got.collect()), key=str) == plain_removal(rows, 10)
+    assert [line_spread.fewest_registers(k, 8) for k in (1, 2)] == [1, 1] and 4 <= line_spread.fewest_registers(10, 8) <= 5
+
+
 def plain_targets(sizes, weights=(1, 2, 3), most=3):
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: weights[n % len(weights)] for n, s in enumerate(order)}
