@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formfield.llm import decontaminate, line_spread, mixing, quality, simhash
-from formfield.llm.common import checkpoint_folder, fresh
+from formfield.llm.common import checkpoint_folder, fresh, quoted
 
 #: Documents whose quality score is lower go.
 LOWEST_QUALITY = 0.3
@@ -32,10 +32,24 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate group; rows that repeat an id are one document."""
-    groups = simhash.near_duplicates(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """Keeps one row of each near-duplicate group: that of the smallest id, rows without an id last.
+
+    Rows of one id, or of none, are told apart by a hash of all their columns, which also settles ties; of rows that
+    are equal in every column one is kept.
+    """
+    key = fresh(docs, "row_key")
+    own = F.struct(*(quoted(c) for c in docs.columns))
+    nulls = [quoted(c).isNull() for c in docs.columns]  # a hash passes over nulls
+    at = F.struct(
+        F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), F.xxhash64(own, *nulls).alias("a"),
+        F.xxhash64(F.lit(1), own, *nulls).alias("b"),
+    )
+    keyed = docs.withColumn(key, at)
+    groups = simhash.near_duplicates(keyed, key)
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id.a", "doc_id.b").distinct()
+    marked = docs.withColumns({key + "_a": at["a"], key + "_b": at["b"]})
+    found = marked.join(kept, (marked[key + "_a"] == kept["a"]) & (marked[key + "_b"] == kept["b"]), "left_semi")
+    return found.dropDuplicates([key + "_a", key + "_b"]).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

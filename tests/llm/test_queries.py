@@ -110,3 +110,20 @@ def test_pipeline_stages_against_brute_force(spark, sf_dir, tmp_path):
             assert all(abs(r["target"] - float(want[r["source"]])) < 1e-6 * max(1.0, r["target"]) for r in after)
     assert len(kept["decontamination"]) < len(kept["simhash_near_dedup"]) < len(kept["line_dedup"]) == len(kept["quality_filter"])
     assert corpus_pipeline.run(spark, sf_dir).columns == docs.columns
+
+
+def test_near_dedup_keeps_texts_of_null_and_repeated_ids(spark, sf_dir):
+    """One row of each group of texts is left, though ids are null or stand for several texts."""
+    words = lambda seed, n=80: " ".join(f"{seed}w{k * k % 97}x{k}" for k in range(n))
+    rows = [
+        (None, words("a"), "en"), (None, words("b"), "en"), (None, words("b"), None), (5, words("c"), "en"), (5, words("d"), "en"),
+        (7, words("e"), "en"), (7, words("e"), "en"), (3, words("f"), "en"), (None, words("f"), "en"), (9, words("c"), "en"),
+        (5, words("f"), "en"), (None, None, "en"), (None, "", None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = [tuple(r) for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()]
+    again = [tuple(r) for r in corpus_pipeline.near_dedup(spark, docs.repartition(5), sf_dir).collect()]
+    assert sorted(got, key=str) == sorted(again, key=str) and set(got) <= set(rows)
+    assert sorted((r[1] or "")[:1] for r in got) == ["", "a", "b", "c", "d", "e", "f"]
+    assert {(r[0], r[1][0]) for r in got if r[1]} == {(None, "a"), (None, "b"), (5, "c"), (5, "d"), (7, "e"), (3, "f")}
+    assert corpus_pipeline.near_dedup(spark, docs.limit(0), sf_dir).count() == 0
