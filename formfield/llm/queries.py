@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formfield.llm import (
-    decontaminate, fingerprints, licenses, line_spread, mixing, quality, simhash, token_counts, toxicity, url_filter,
+    decontaminate, fingerprints, lexical, licenses, line_spread, mixing, negatives, quality, simhash, token_counts, topk,
+    toxicity, url_filter,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,3 +191,53 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct((part(4) * 3).alias("start"), (part(4) * 3 + part(50)).alias("end"), F.lit("").alias("new")),
     )
     return token_counts.count_with_edits(documents.select("doc_id", "text", edits.alias("edits")), "edits")
+
+
+#: Usable vectors in whole numbers.
+_VECTORS = """SELECT vec_id, {label} AS label, list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE))) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+
+@query(f"""
+    WITH v AS ({_VECTORS.format(label="CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END", scale=256)} AND label IS NOT NULL),
+    pair AS (SELECT a.vec_id AS anchor_id, c.vec_id AS other, a.label = c.label AS friend,
+                    CAST(list_dot_product(a.e, c.e) AS BIGINT) AS score
+             FROM v AS a, v AS c WHERE a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+    friend AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM pair WHERE friend
+               QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+    SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other AS negative_id, positive_score,
+           score AS negative_score
+    FROM friend JOIN (SELECT * FROM pair WHERE NOT friend) USING (anchor_id)
+    WHERE 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= 10""")
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten negatives below each of an anchor's five positives."""
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), label=negatives.mined_label("vec_id", "label"))
+
+
+@query(f"""
+    WITH v AS ({_VECTORS.format(label="label", scale=64)})
+    SELECT q.vec_id AS query_id, CAST(row_number() OVER w AS INTEGER) AS rank, c.vec_id AS vec_id,
+           CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+    FROM v AS q, v AS c WHERE q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+    WINDOW w AS (PARTITION BY q.vec_id ORDER BY list_dot_product(q.e, c.e) DESC, c.vec_id) QUALIFY row_number() OVER w <= 20""")
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest rows of every twentieth one."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+@query(f"""
+    WITH doc AS (SELECT * FROM (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents) WHERE len(w) > 0),
+    norm AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM doc),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM doc) GROUP BY doc_id, term),
+    weight AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+               FROM tf, norm GROUP BY term),
+    length AS (SELECT doc_id, 25 + (75 * len(doc.w) * n_docs) // n_terms AS m FROM doc, norm),
+    item AS (SELECT item_id, unnest({_WORDS.format('text')}) AS term FROM benchmark),
+    score AS (SELECT item_id, doc_id, CAST(sum(weight.w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+              FROM item JOIN tf USING (term) JOIN weight USING (term) JOIN length USING (doc_id) GROUP BY item_id, doc_id)
+    SELECT item_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, score FROM score WHERE score > 0
+    WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= 10""")
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))

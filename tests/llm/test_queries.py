@@ -11,7 +11,7 @@ from formfield.llm.queries import ORACLES, QUERIES
 from tests.llm.test_lines_and_mix import plain_removal, plain_targets
 from tests.llm.test_near_duplicates import plain_components, plain_fingerprint
 
-TABLES = ("documents", "pages", "benchmark", "labels")
+TABLES = ("documents", "pages", "benchmark", "labels", "embeddings")
 
 
 def plain_rows(rows):
@@ -19,7 +19,7 @@ def plain_rows(rows):
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert len(corpus_pipeline.STAGES) in (4, 5)
 
 
