@@ -75,15 +75,25 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
     WITH line AS (
-        SELECT doc_id, site, trim(raw) AS ln, raw, pos FROM (
-            SELECT doc_id, coalesce('=' || source, '') AS site, unnest(string_split(text, chr(10))) AS raw,
-                   generate_subscripts(string_split(text, chr(10)), 1) AS pos
-            FROM documents)),
-    wide AS (SELECT ln FROM line WHERE ln <> '' GROUP BY ln HAVING count(DISTINCT site) >= {line_spread.MIN_SITES}),
+        SELECT *, length(ln) > {2 * line_spread.PASSAGE_WORDS}
+               AND len(regexp_extract_all(ln, '[^\\x20\\x09-\\x0D]+')) > {line_spread.PASSAGE_WORDS} AS passage
+        FROM (
+            SELECT doc_id, site, own, trim(raw) AS ln, raw, pos FROM (
+                SELECT doc_id, coalesce('=' || source, '') AS site, CAST('0x' || substr(md5(text), 1, 15) AS BIGINT) AS own,
+                       unnest(string_split(text, chr(10))) AS raw,
+                       generate_subscripts(string_split(text, chr(10)), 1) AS pos
+                FROM documents))),
+    wide AS (SELECT ln, min(own) AS first FROM line WHERE ln <> '' GROUP BY ln, passage
+             HAVING CASE WHEN passage THEN count(DISTINCT site) >= {line_spread.PASSAGE_SITES} AND count(DISTINCT own) > 1
+                         ELSE count(DISTINCT site) >= {line_spread.MIN_SITES} END),
+    marked AS (SELECT line.*, wide.ln IS NOT NULL AND NOT passage AS furniture, coalesce(passage AND own <> first, false) AS quoted
+               FROM line LEFT JOIN wide USING (ln)),
+    copy AS (SELECT doc_id, 2 * coalesce(sum(length(raw)) FILTER (WHERE quoted), 0) >= sum(length(raw)) FILTER (WHERE ln <> '') AS copied
+             FROM marked GROUP BY doc_id),
     cut AS (
-        SELECT doc_id, count(*) FILTER (WHERE line.ln <> '') AS n_lines, count(wide.ln) AS n_wide,
-               string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE wide.ln IS NULL) AS remaining
-        FROM line LEFT JOIN wide USING (ln) GROUP BY doc_id)
+        SELECT doc_id, count(*) FILTER (WHERE ln <> '') AS n_lines, count(*) FILTER (WHERE furniture OR quoted AND NOT copied) AS n_wide,
+               string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT (furniture OR quoted AND NOT copied)) AS remaining
+        FROM marked JOIN copy USING (doc_id) GROUP BY doc_id)
     SELECT doc_id, coalesce(n_lines, 0) AS n_lines, CASE WHEN n_wide < n_lines THEN n_wide ELSE 0 END AS n_removed,
            CASE WHEN n_wide > 0 AND n_wide < n_lines THEN remaining ELSE text END AS text
     FROM documents LEFT JOIN cut USING (doc_id)""")

@@ -36,7 +36,11 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(g, seed) for g in grams], dtype="<u8")
+    return _majority(np.array([digest(g, seed) for g in grams], dtype="<u8"))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     ones = np.zeros(64, dtype=np.int64)
     for start in range(0, len(hashes), 1 << 14):
         part = hashes[start:start + (1 << 14)].view(np.uint8).reshape(-1, 8)
@@ -199,16 +203,181 @@ def links(prints: DataFrame, radius: int = 3, blocks: tuple[int, ...] = BLOCKS,
     )
     own = F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int")
     placed = sharded.join(counted, "key").withColumn("own", own)
-    grid = F.transform(
+    cells = placed.select("key", "fp", F.explode(_grid()).alias("at")).select("key", "at.i", "at.j", "at.side", "fp")
+    dealt = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(_search_shards(radius), "u long, v long")
+
+
+def shingle_marks(text: bytes | None, shingle: int, keys: int) -> tuple[int, int, int, list[int | None], bytes]:
+    """Two hashes of the text's words, the SimHash of its distinct shingles, ``keys`` least hashes and all shingles.
+
+    Texts of equal words are one class. The least hashes are taken under as many fixed mixings of the shingles' hashes;
+    the shingles are kept as sorted 32-bit hashes.
+    """
+    words = (text or b"").lower().split()
+    joined = b" ".join(words)
+    if len(words) <= shingle:
+        grams = {joined} if words else set()
+    else:
+        grams = set(map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False)))
+    own = [_signed(xxhash.xxh64_intdigest(joined, seed)) for seed in (0, 1)]
+    if not grams:
+        return own[0], own[1], 0, [None] * keys, b""
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([digest(g, 42) for g in grams], dtype="<u8")
+    least = [_signed(int((hashes * np.uint64(digest(b"%d" % k) | 1)).min())) for k in range(keys)]
+    return own[0], own[1], _signed(_majority(hashes)), least, np.unique((hashes >> np.uint64(32)).astype("<u4")).tobytes()
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
+
+
+class Sets:
+    """Shingle sets of a cell, numbered together so that one set can be laid against many at once."""
+
+    def __init__(self, packed: list[bytes]):
+        self.sizes = np.array([len(x) // 4 for x in packed])
+        values, self.flat = np.unique(np.frombuffer(b"".join(packed), dtype="<u4"), return_inverse=True)
+        self.ends = np.cumsum(self.sizes)
+        self.mark = np.zeros(len(values), dtype=bool)
+
+    def jaccard(self, centre: int, others: np.ndarray) -> np.ndarray:
+        own = self.flat[self.ends[centre] - self.sizes[centre]:self.ends[centre]]
+        self.mark[own] = True
+        starts, sizes = self.ends[others] - self.sizes[others], self.sizes[others]
+        first = np.cumsum(sizes) - sizes
+        shared = np.add.reduceat(self.mark[self.flat[np.repeat(starts - first, sizes) + np.arange(sizes.sum())]], first, dtype=np.int64)
+        self.mark[own] = False
+        return shared / (len(own) + sizes - shared)
+
+
+class Groups:
+    """Entries joined by what has been found equal or close enough."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def find(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.find(x), self.find(y)
+        self.parent[max(x, y)] = min(x, y)
+
+
+def _verify_cells(radius: int, similarity: float):
+    """Runs over rows (key, at, i, j, side, node, fp, shingles) sorted by cell: a tree, its lookups, exact checks."""
+
+    def cell(side: np.ndarray, nodes: np.ndarray, prints: np.ndarray, shingles: list[bytes]) -> list[tuple[int, int]]:
+        sets = Sets(shingles)
+        held, asked = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        asked = asked if len(asked) else held
+        tree, groups, found = BKTree(prints[held]), Groups(len(nodes)), []
+        for entry, near in tree.search(prints[asked], radius):
+            centre, others = int(held[entry]), asked[near]
+            own, sizes = groups.find(centre), sets.sizes[others]
+            # Sizes too far apart can't be alike; two in one group need no link of their own
+            fits = np.minimum(sizes, sets.sizes[centre]) >= similarity * np.maximum(sizes, sets.sizes[centre])
+            others = np.array([x for x in others[fits].tolist() if groups.find(x) != own], dtype=np.int64)
+            for start in range(0, len(others), 256):
+                part = others[start:start + 256]
+                for other in part[sets.jaccard(centre, part) >= similarity].tolist():
+                    if groups.find(centre) != groups.find(other):
+                        groups.join(centre, other)
+                        found.append((int(nodes[centre]), int(nodes[other])))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        at = None
+
+        def close() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            numbers = [whole[c].to_numpy() for c in ("side", "node", "fp")]
+            found = cell(numbers[0], numbers[1], numbers[2].view(np.uint64), whole["shingles"].to_pylist())
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.int64())], ["u", "v"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = [batch.column(c).to_numpy() for c in ("place", "key", "i", "j")]
+            cuts = np.zeros(batch.num_rows - 1, dtype=bool)
+            for c in names:
+                cuts |= c[1:] != c[:-1]
+            starts = [0, *(np.flatnonzero(cuts) + 1).tolist(), batch.num_rows]
+            for start, end in zip(starts[:-1], starts[1:], strict=True):
+                own = tuple(int(c[start]) for c in names)
+                if held and own != at:
+                    yield close()
+                at = own
+                held.append(batch.slice(start, end - start))
+        if held:
+            yield close()
+
+    return run
+
+
+def similar_classes(
+    documents: DataFrame, key: str, text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 18,
+    keys: int = 4, tree: int = 1024,
+) -> DataFrame:
+    """``(a, b, first, component)``: each class of texts with equal words, its smallest ``key`` and that of its group.
+
+    Groups join classes whose sets of ``shingle``-word shingles have a Jaccard likeness of at least ``similarity``. At
+    0.8 a pair's SimHash values lie about ten bits apart, too far for blocks of equal bits, so shards come from ``keys``
+    least shingle hashes: two such texts share none of four with a chance under 0.2 percent. A shard's values are
+    BK-trees of at most ``tree`` entries, searched within ``radius`` bits (at 0.8 about one pair in a hundred lies
+    further apart); every pair found is checked by its shingles. A shard of many trees is a grid of cells. Cells
+    return no link between entries that others already join.
+
+    Null and empty texts are one class. Rows with a null key count, but never name a group that has another.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows(batches, 256):
+            found = [shingle_marks(t.as_py(), shingle, keys) for t in batch.column(1)]
+            longs = [[a, b, fp, *low] for a, b, fp, low, _ in found]
+            columns = [pa.array(c, pa.int64()) for c in zip(*longs, strict=True)] or [pa.array([], pa.int64())] * (3 + keys)
+            shingles = pa.array([f[-1] for f in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, shingles], ["own", "a", "b", "fp", *least, "shingles"])
+
+    least = [f"least_{k}" for k in range(keys)]
+    kept = documents.select(quoted(key).alias("own"), utf8(text).alias("text"))
+    schema = f"own {kept.schema['own'].dataType.simpleString()}, a long, b long, fp long, {', '.join(f'{c} long' for c in least)}, shingles binary"
+    marked = checkpointed(kept.mapInArrow(run, schema).withColumn("id", F.monotonically_increasing_id()))
+    classes = checkpointed(marked.groupBy("a", "b").agg(
+        F.min("own").alias("first"), F.min("id").alias("node"), *(F.min(c).alias(c) for c in ["fp", *least])
+    ))
+    sharded = classes.select("node", "fp", F.posexplode(F.array(*least)).alias("place", "key")).where("key is not null")
+    counted = sharded.groupBy("place", "key").count().where("count > 1").select(
+        "place", "key", F.ceil(F.col("count") / tree).cast("int").alias("trees")
+    )
+    placed = sharded.join(counted, ["place", "key"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("trees")).cast("int"))
+    cells = checkpointed(placed.select("place", "key", "node", "fp", F.explode(_grid()).alias("at")).select("place", "key", "at.*", "node", "fp"))
+    told = cells.join(marked.select(F.col("id").alias("node"), "shingles"), "node").select(
+        "place", "key", "i", "j", "side", "node", "fp", "shingles"
+    )
+    dealt = told.repartition("place", "key", "i", "j").sortWithinPartitions("place", "key", "i", "j")
+    roots = components(dealt.mapInArrow(_verify_cells(radius, similarity), "u long, v long"))
+    linked = classes.join(roots, "node").select("node", "root", "first")
+    smallest = linked.groupBy("root").agg(F.min("first").alias("component"))
+    named = linked.join(smallest, "root").select("node", "component")
+    return classes.join(named, "node", "left").select("a", "b", "first", F.coalesce("component", "first").alias("component"))
+
+
+def _grid() -> Column:
+    """The cells of a value in the tree ``own`` of ``trees``: its own tree, and as a lookup those of smaller number."""
+    return F.transform(
         F.sequence(F.lit(0), F.col("trees") - 1),
         lambda o: F.struct(
             F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j"),
             (F.col("own") > o).cast("int").alias("side"),
         ),
     )
-    cells = placed.select("key", "fp", F.explode(grid).alias("at")).select("key", "at.i", "at.j", "at.side", "fp")
-    dealt = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(_search_shards(radius), "u long, v long")
 
 
 def near_duplicates(

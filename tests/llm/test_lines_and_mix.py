@@ -1,3 +1,5 @@
+import hashlib
+import re
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -8,24 +10,50 @@ from pyspark.sql import functions as F
 from formfield.llm import line_spread, mixing
 
 
-def plain_removal(rows, least):
-    sites = defaultdict(set)
+def plain_removal(rows, least, words=50, passage_sites=2):
+    sites, texts = defaultdict(set), defaultdict(set)
+    key = lambda text: int(hashlib.md5(text.encode()).hexdigest()[:15], 16)
     for _, text, site in rows:
         for line in (text or "").split("\n"):
             if line.strip(" "):
                 sites[line.strip(" ")].add(site)
-    wide = {line for line, s in sites.items() if len(s) >= least}
+                texts[line.strip(" ")].add(key(text))
+    passage = {line for line in sites if len(re.findall("[^\x20\x09-\x0D]+", line)) > words}
+    wide = {line for line, s in sites.items() if line not in passage and len(s) >= least}
+    repeated = {line: min(texts[line]) for line in passage if len(sites[line]) >= passage_sites and len(texts[line]) > 1}
     out = []
     for doc, text, _ in rows:
         lines = [] if text is None else text.split("\n")
         full = [x for x in lines if x.strip(" ")]
-        left = [x for x in lines if x.strip(" ") not in wide]
-        n = len(full) - sum(x.strip(" ") not in wide for x in full)
+        quoted = {x for x in full if repeated.get(x.strip(" "), key(text)) != key(text)}
+        if 2 * sum(len(x) for x in full if x in quoted) >= sum(map(len, full)):
+            quoted = set()
+        stays = lambda x: x.strip(" ") not in wide and x not in quoted
+        n = len(full) - sum(map(stays, full))
         cut = 0 < n < len(full)
-        out.append((doc, len(full), n if cut else 0, "\n".join(left) if cut else text))
+        out.append((doc, len(full), n if cut else 0, "\n".join(filter(stays, lines)) if cut else text))
     return sorted(out, key=str)
 
 
+def test_passages_stay_in_one_text(spark):
+    """A passage of two sites or more stays in one text and its copies; copies of half a text keep it."""
+    word = lambda k, n: " ".join(f"{k}{j}" for j in range(n))
+    own = lambda k, n=200: f"own {word(f'o{k}x', n)}"
+    shared, short, halved, local = word("s", 51), word("t", 50), word("h", 300), word("l", 80)
+    rows = [(k, f"{own(k)}\n  {shared} \n{short}", f"site{k % 3}") for k in range(6)]
+    rows += [(20, rows[2][1], "site9"), (None, rows[2][1], "site9"), (None, f"{own(30)}\n{shared}", "z"), (None, f"{own(31)}\n{shared}", "z")]
+    rows += [(40 + k, f"{own(40 + k, 20)}\n{halved}", f"site{k}") for k in range(3)]
+    rows += [(50 + k, f"{own(50 + k)}\n{local}", "one site") for k in range(3)]
+    rows += [(60, f"{shared}\n{shared}\n{own(60, 300)}", None), (0, f"{own(0)}\nanother text of this id", "y"), (70, shared, "w")]
+    rows += [(80, own(80), "a"), (81, own(80), "b"), (None, None, "c"), (90, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'x' AS own", "'y' AS passages", "7 AS n_lines")
+    got = line_spread.remove_boilerplate(docs.repartition(4), n_lines="lines", n_removed="gone").collect()
+    assert sorted(((r.doc_id, r.lines, r.gone, r.text) for r in got), key=str) == plain_removal(rows, 10)
+    assert all(r.n_lines == 7 and r.own == "x" for r in got)
+    assert len({r.text for r in got if r.text and shared in r.text and r.text != shared}) == 1
+    assert sum(halved in (r.text or "") for r in got) == sum(local in (r.text or "") for r in got) == 3
+
+
 @pytest.mark.parametrize("precision,least", [(8, 10), (4, 10), (8, 2), (5, 30)])
 def test_lines_of_many_sites_go(spark, precision, least):
     rows = []

@@ -37,6 +37,29 @@ def plain_components(ids, prints):
     return {i: find(i) for i in ids}
 
 
+def plain_shingles(text, size=5):
+    words = (text or "").translate({c: c + 32 for c in range(65, 91)}).encode().split()
+    return {b" ".join(words[i:i + size]) for i in range(max(1, len(words) - size + 1))} if words else {b""}
+
+
+def plain_groups(texts, likeness=0.8):
+    """The smallest id of each one's group, over all pairs."""
+    sets = {i: plain_shingles(t) for i, t in texts.items()}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and min(len(a), len(b)) >= likeness * max(len(a), len(b)) and len(a & b) >= likeness * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text("ab C\t\n\x1c é", max_size=60))
 def test_fingerprint_follows_its_definition(text):
@@ -110,3 +133,39 @@ def test_registered_query_agrees_with_brute_force(spark, sf_dir):
     want = plain_components(sorted(docs), prints)
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in QUERIES["op1_simhash"](spark, sf_dir).collect()}
     assert got == {i: (f"{prints[i]:016x}", want[i]) for i in docs}
+
+
+@pytest.mark.parametrize("tree", [8, 1024])
+def test_similar_classes_against_all_pairs(spark, tree):
+    """Edited copies around the threshold, a crowd of near copies, exact copies, empty and short texts, ids that miss."""
+    draws = random.Random(3)
+    word = lambda: f"w{draws.randrange(4000)}"
+    texts = {}
+    for group in range(25):
+        base = [word() for _ in range(draws.randrange(60, 200))]
+        for _ in range(40 if group == 0 else 3):
+            edited = list(base)
+            for _ in range(draws.choice((0, 1, 2, 3, 5))):
+                edited[draws.randrange(len(edited))] = word()
+            texts[len(texts)] = " ".join(edited)
+    texts |= {900: "", 901: " \n", 902: None, 903: "one two", 904: "One  two", 905: "one", 906: "a b c d e f", 907: "a b c d e f g"}
+    rows = [*texts.items(), (None, texts[0]), (None, "only without an id " * 9), (None, "only without an id " * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS own", "'x' AS a", "2 AS shingles").repartition(5)
+    found = simhash.similar_classes(docs, "doc_id", tree=tree).collect()
+    got = {r.first: r.component for r in found if r.first is not None}
+    want = plain_groups(texts)
+    pairs = [(i, j) for i in got for j in got if i < j and want[i] == want[j]]
+    assert all(want[i] == want[c] for i, c in got.items())
+    assert sum(got[i] == got[j] for i, j in pairs) >= 0.98 * len(pairs) > 500
+    assert [r.component for r in found if r.first is None] == [None]
+    assert simhash.similar_classes(docs.limit(0), "doc_id").count() == 0
+
+
+def test_similar_classes_find_edited_copies(spark):
+    """Recall over all pairs of likeness 0.8 or more in a given table; nothing else is joined."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = plain_groups(texts)
+    found = simhash.similar_classes(docs, "doc_id").collect()
+    assert all(want[r.first] == want[r.component] for r in found)
+    assert len({r.component for r in found}) == len(set(want.values()))

@@ -9,7 +9,7 @@ import corpus_pipeline
 from formfield.llm import decontaminate, token_counts
 from formfield.llm.queries import ORACLES, QUERIES
 from tests.llm.test_lines_and_mix import plain_removal, plain_targets
-from tests.llm.test_near_duplicates import plain_components, plain_fingerprint
+from tests.llm.test_near_duplicates import plain_groups
 
 TABLES = ("documents", "pages", "benchmark", "labels", "embeddings")
 
@@ -83,8 +83,7 @@ def test_pipeline_stages_against_brute_force(spark, sf_dir, tmp_path):
             assert sorted(((d, t) for d, _, _, t in want), key=str) == sorted(((r["doc_id"], r["text"]) for r in after), key=str)
             assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in after)
         elif name == "simhash_near_dedup":
-            prints = {r["doc_id"]: plain_fingerprint(r["text"]) for r in before}
-            root = plain_components(sorted(prints), prints)
+            root = plain_groups({r["doc_id"]: r["text"] for r in before})
             assert sorted(r["doc_id"] for r in after) == sorted(set(root.values()))
         elif name == "decontamination":
             known = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
@@ -117,8 +116,8 @@ def test_near_dedup_keeps_texts_of_null_and_repeated_ids(spark, sf_dir):
     words = lambda seed, n=80: " ".join(f"{seed}w{k * k % 97}x{k}" for k in range(n))
     rows = [
         (None, words("a"), "en"), (None, words("b"), "en"), (None, words("b"), None), (5, words("c"), "en"), (5, words("d"), "en"),
-        (7, words("e"), "en"), (7, words("e"), "en"), (3, words("f"), "en"), (None, words("f"), "en"), (9, words("c"), "en"),
-        (5, words("f"), "en"), (None, None, "en"), (None, "", None),
+        (7, words("e"), "en"), (7, words("e"), "en"), (3, words("f"), "en"), (None, words("f"), "en"), (9, words("c") + " tail", "en"),
+        (5, "head " + words("f"), "en"), (None, None, "en"), (None, "", None),
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = [tuple(r) for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()]
