@@ -26,15 +26,19 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes lines that many sites carry out of the texts; ``n_chars`` follows the text."""
-    cleaned = line_spread.remove_boilerplate(docs).select(docs.columns)
+    """Takes lines that many sites carry, and passages that several do, out of the texts; ``n_chars`` follows the text.
+
+    A passage stays in one text. A null text, and one with nothing to lose, is as before.
+    """
+    counts = {n: fresh(docs, n) for n in ("n_lines", "n_removed")}  # columns of these names are the user's
+    cleaned = line_spread.remove_boilerplate(docs, **counts).select(*(quoted(c) for c in docs.columns))
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each near-duplicate group: that of the smallest id, rows without an id last.
 
-    Rows of one id, or of none, are told apart by a hash of all their columns, which also settles ties; of rows that
+    Texts whose five-word shingles have a Jaccard likeness of 0.8 or more belong together. Rows of one id, or of none, are told apart by a hash of all their columns, which also settles ties; of rows that
     are equal in every column one is kept.
     """
     key = fresh(docs, "row_key")
@@ -45,8 +49,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.xxhash64(F.lit(1), own, *nulls).alias("b"),
     )
     keyed = docs.withColumn(key, at)
-    groups = simhash.near_duplicates(keyed, key)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id.a", "doc_id.b").distinct()
+    classes = simhash.similar_classes(keyed, key)
+    kept = classes.where(F.col("first") == F.col("component")).select("first.a", "first.b").distinct()
     marked = docs.withColumns({key + "_a": at["a"], key + "_b": at["b"]})
     found = marked.join(kept, (marked[key + "_a"] == kept["a"]) & (marked[key + "_b"] == kept["b"]), "left_semi")
     return found.dropDuplicates([key + "_a", key + "_b"]).select(docs.columns)
