@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -115,60 +116,67 @@ def fingerprint_table(documents: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def by_neighbours(
-    documents: DataFrame, work: Callable[[list, list[str], list[str | None]], pa.RecordBatch], schema: str,
+    documents: DataFrame, work: Callable[[pa.Array, list[str], list[str]], pa.RecordBatch], schema: str,
     doc_id: str = "doc_id", text: str = "text", range_bytes: int = RANGE_BYTES,
 ) -> DataFrame:
     """``work(ids, texts, next_texts)`` over documents in the order of their ids, a run of them at a time.
 
-    Ids are numbers. They are cut into ranges of about ``range_bytes`` of text, or one per shuffle partition if that is more,
-    by approximate quantiles; every range is one group, and the first document of a range is also sent to the range
-    before it, the very first to the last. So texts are exchanged once and a task holds one range. The driver gets
-    one number per range. Equal ids follow each other by text; null ids come first; a null text is empty.
+    Ids are of any type that can be sorted. Null ids come first, equal ids follow each other by the MD5 of their texts;
+    a null text is empty. Keys are cut into ranges of about ``range_bytes`` of text, or one per shuffle partition if that
+    is more, at places that Spark's own range exchange finds; the driver gets the first key of each. Every range is a
+    partition of its own, read in order and never held whole, and the first document of a range is also sent to the
+    range before it, the very first to the last. So texts are exchanged once, and many rows of one id, or of none, are
+    split like any others unless their texts are equal too.
     """
     spark = documents.sparkSession
     kept = documents.select(quoted(doc_id).alias("doc_id"), F.coalesce(quoted(text).cast("string"), F.lit("")).alias("text"))
+    kept = kept.select("doc_id", "text", F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long").alias("digest"))
     size = kept.agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()["bytes"] or 0
     ranges = max(-(-size // range_bytes), partitions(documents))
-    steps = [k / ranges for k in range(1, ranges)]
-    cuts = kept.agg(F.percentile_approx("doc_id", steps, max(10_000, 20 * ranges))).first()[0] if steps else None
-    edges = spark.sparkContext.broadcast(np.array(sorted(set(cuts or []))))
-
-    @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        found = np.searchsorted(edges.value, ids.fillna(0).to_numpy(), side="right")
-        return pd.Series(np.where(ids.isna(), 0, found).astype(np.int32))
-
-    ranged = kept.withColumn("range", range_of("doc_id"))
-    starts = ranged.groupBy("range").agg(F.min("doc_id").alias("first"), F.max(F.col("doc_id").isNull()).alias("unknown"))
-    starts = sorted((r["range"], None if r["unknown"] else r["first"]) for r in starts.collect())
-    before = {first: starts[k - 1][0] for k, (_, first) in enumerate(starts)}
-    sent = spark.sparkContext.broadcast(before)
-
-    @F.pandas_udf("int")
-    def also_in(ids: pd.Series) -> pd.Series:
-        known = sent.value
-        return pd.Series([known.get(None if v != v else v, -1) for v in ids.astype(object).where(ids.notna(), None)], dtype="int32")
-
-    both = F.array(F.struct(F.col("range"), F.lit(False).alias("guest")), F.struct(also_in("doc_id").alias("range"), F.lit(True).alias("guest")))
-    dealt = ranged.select("doc_id", "text", F.explode(both).alias("at")).where("at.range >= 0").select(
-        "at.range", "at.guest", "doc_id", "text"
+    key = lambda name: F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "digest").alias(name)
+    keys = kept.select(key("key")).repartitionByRange(ranges, "key").groupBy(F.spark_partition_id().alias("part"))
+    firsts = spark.sparkContext.broadcast(sorted(
+        ((r.first.known, r.first.doc_id, r.first.digest) for r in keys.agg(F.min("key").alias("first")).collect()),
+        key=lambda k: (k[0], k[1] if k[0] else 0, k[2]),
+    ))
+
+    @F.arrow_udf("array<struct<range:int,guest:boolean>>")
+    def ranges_of(ids: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        edges = [(known, v if known else 0, digest) for known, v, digest in firsts.value]
+        number = {k: n for n, k in enumerate(edges)}
+        kind = pa.list_(pa.struct([("range", pa.int32()), ("guest", pa.bool_())]))
+        for column, digests in ids:
+            out = []
+            for v, digest in zip(column.to_pylist(), digests.to_pylist(), strict=True):
+                own = (v is not None, 0 if v is None else v, digest)
+                places = [{"range": bisect_right(edges, own) - 1, "guest": False}]
+                if own in number:
+                    places.append({"range": (number[own] - 1) % len(edges), "guest": True})
+                out.append(places)
+            yield pa.array(out, kind)
+
+    dealt = kept.select("doc_id", "text", "digest", F.explode(ranges_of("doc_id", "digest")).alias("at")).select(
+        "at.range", "at.guest", "doc_id", "digest", "text"
+    )
+    sorted_rows = dealt.repartitionById(max(1, len(firsts.value)), F.col("range")).sortWithinPartitions(
+        F.desc("guest"), F.asc_nulls_first("doc_id"), "digest"
     )
 
-    def run(table: pa.Table) -> pa.Table:
-        found = list(zip(*(table.column(c).to_pylist() for c in ("guest", "doc_id", "text")), strict=True))
-        order = lambda r: (r[1] is not None, r[1] or 0, r[2])
-        guest = min((r for r in found if r[0]), key=order, default=None)
-        own = sorted((r for r in found if not r[0]), key=order)
-        out = []
-        for start in range(0, len(own), 512):
-            part = own[start:start + 512]
-            following = [r[2] for r in own[start + 1:start + 513]]
-            if len(following) < len(part):
-                following.append(guest[2])
-            out.append(work([r[1] for r in part], [r[2] for r in part], following))
-        return pa.Table.from_batches(out) if out else pa.Table.from_batches([work([], [], [])])
-
-    return dealt.groupBy("range").applyInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        guest, ids, texts = None, [], []
+        for batch in rows(batches, 512):
+            own = batch.filter(pc.invert(batch.column("guest")))
+            if guest is None and own.num_rows < batch.num_rows:
+                guest = batch.column("text")[0].as_py()  # the first that is sent
+            if own.num_rows:
+                new = own.column("text").to_pylist()
+                if texts:
+                    yield work(pa.concat_arrays(ids), texts, [*texts[1:], new[0]])
+                ids, texts = [own.column("doc_id")], new
+        if texts:
+            yield work(pa.concat_arrays(ids), texts, [*texts[1:], guest])
+
+    return sorted_rows.mapInArrow(run, schema)
 
 
 def edited_text(text: str, following: str) -> str:
@@ -190,17 +198,16 @@ def fingerprint_edits(documents: DataFrame, doc_id: str = "doc_id", text: str =
         f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
         "near_edited double, near_next double"
     )
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "double": pa.float64(), "float": pa.float32()}[kind]
     hashers: dict[str, Minhash] = {}
 
-    def work(ids: list, texts: list[str], following: list[str]) -> pa.RecordBatch:
+    def work(ids: pa.Array, texts: list[str], following: list[str]) -> pa.RecordBatch:
         hasher = hashers.get("own") or hashers.setdefault("own", Minhash(**shape))
         prints = [hasher.fingerprint(t.encode()) for t in texts]
         edits = [edited_text(t, f) for t, f in zip(texts, following, strict=True)]
         edited = [hasher.fingerprint(t.encode()) for t in edits]
         after = [*prints[1:], hasher.fingerprint(following[-1].encode())] if texts else []
         return pa.RecordBatch.from_arrays([
-            pa.array(ids, id_type), pa.array([len(t) for t in texts], pa.int64()),
+            ids, pa.array([len(t) for t in texts], pa.int64()),
             pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edits], pa.string()),
             pa.array(prints, pa.string()), pa.array(edited, pa.string()),
             pa.array([hasher.likeness(a, b) for a, b in zip(prints, edited, strict=True)], pa.float64()),

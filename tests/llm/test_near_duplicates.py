@@ -142,7 +142,7 @@ def test_similar_classes_against_all_pairs(spark, tree):
     word = lambda: f"w{draws.randrange(4000)}"
     texts = {}
     for group in range(25):
-        base = [word() for _ in range(draws.randrange(60, 200))]
+        base = [word() for _ in range(draws.randrange(60, 200) + 300 * (group == 0))]
         for _ in range(40 if group == 0 else 3):
             edited = list(base)
             for _ in range(draws.choice((0, 1, 2, 3, 5))):
@@ -156,7 +156,7 @@ def test_similar_classes_against_all_pairs(spark, tree):
     want = plain_groups(texts)
     pairs = [(i, j) for i in got for j in got if i < j and want[i] == want[j]]
     assert all(want[i] == want[c] for i, c in got.items())
-    assert sum(got[i] == got[j] for i, j in pairs) >= 0.98 * len(pairs) > 500
+    assert sum(got[i] == got[j] for i, j in pairs) >= 0.98 * len(pairs) > 400
     assert [r.component for r in found if r.first is None] == [None]
     assert simhash.similar_classes(docs.limit(0), "doc_id").count() == 0
 

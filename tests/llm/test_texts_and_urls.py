@@ -1,7 +1,9 @@
+import decimal
 import hashlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from formfield.llm import fingerprints, licenses, url_filter
@@ -24,13 +26,79 @@ def test_likeness_estimates_jaccard():
     assert np.sqrt(np.mean(np.square(errors))) < 0.06 and max(map(abs, errors)) < 0.2
 
 
+def by_key(row):
+    """Ids in order, a missing one first, equal ones by the MD5 of their texts."""
+    return (row[0] is not None, row[0] or 0, int(hashlib.md5(row[1].encode()).hexdigest()[:15], 16))
+
+
+def plain_fingerprint(text, bins=256, bits=4, seed=42):
+    """Bins, walk and packing one shingle and one bin at a time."""
+    mixed = lambda x: int(fingerprints._mixed(np.array([x], dtype=np.uint64))[0])
+    draws = np.random.default_rng(seed)
+    walks = [draws.permutation(bins).tolist() for _ in range(bins)]
+    odd = [int(v) | 1 for v in draws.integers(1, 2**63, size=5, dtype=np.uint64)]
+    words = text.encode().lower().split()
+    if not words:
+        return ""
+    least = [None] * bins
+    for start in range(max(1, len(words) - 4)):
+        total = sum(mixed(xxhash.xxh64_intdigest(w, seed)) * odd[k] for k, w in enumerate(words[start:start + 5])) % 2**64
+        value = mixed(total)
+        own = value % bins
+        least[own] = value // bins if least[own] is None else min(least[own], value // bins)
+    full = [least[next(b for b in [n, *walks[n]] if least[b] is not None)] if v is None else v for n, v in enumerate(least)]
+    return "".join(f"{mixed(v) % (1 << bits):x}" for v in full)
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return float(a == b)
+    same = sum(x == y for x, y in zip(a, b, strict=True)) / len(a)
+    return min(1.0, max(0.0, (same - 1 / 16) / (1 - 1 / 16)))
+
+
+def test_registered_fingerprints_against_a_plain_version(spark, sf_dir):
+    from formfield.llm.queries import QUERIES
+
+    docs = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+    short = [n for n, (_, t) in enumerate(docs) if len(t) < 3000][:80]
+    got = {r.doc_id: r for r in QUERIES["op5_fingerprints"](spark, sf_dir).collect()}
+    assert len(got) == len(docs)
+    for n in short:
+        (own, text), (after, following) = docs[n], docs[(n + 1) % len(docs)]
+        edited = fingerprints.edited_text(text, following)
+        prints = plain_fingerprint(text), plain_fingerprint(edited)
+        row = got[own]
+        assert (row.n_chars, row.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert (row.fingerprint, row.edited_fingerprint) == prints
+        assert abs(row.near_edited - plain_likeness(*prints)) < 1e-12
+        assert abs(row.near_next - plain_likeness(prints[0], got[after].fingerprint)) < 1e-12
+
+
+@pytest.mark.parametrize("kind,ids", [
+    ("long", [None, 2**60 + 1, 2**60 + 2, 2**60, -5, 2**63 - 1]), ("string", [None, "b", "a", "é", "", "\U0001f600"]),
+    ("decimal(38,0)", [None, 10**30, 10**30 + 1, 3, 0, -1]),
+])
+def test_ids_of_any_kind(spark, kind, ids):
+    """Large numbers beside missing ids, texts and decimals; a missing id that a third of the rows share."""
+    convert = decimal.Decimal if "decimal" in kind else lambda x: x
+    rows = [(None if i is None else convert(i), f"text of {n} " * (n + 1)) for n, i in enumerate(ids)]
+    rows += [(None, f"row {n} without an id " * 5) for n in range(40)] + [(rows[1][0], f"again {n} " * 9) for n in range(40)]
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string")
+    order = sorted(rows, key=lambda r: (r[0] is not None, (r[0] if kind != "string" else r[0].encode()) if r[0] is not None else 0, by_key(("", r[1]))[2]))
+    want = [(str(i), hashlib.sha256(fingerprints.edited_text(t, order[(n + 1) % len(order)][1]).encode()).hexdigest()) for n, (i, t) in enumerate(order)]
+    for range_bytes in (1 << 23, 100):
+        got = fingerprints.fingerprint_edits(docs.repartition(4), range_bytes=range_bytes).collect()
+        assert sorted((str(r.doc_id), r.edited_sha256) for r in got) == sorted(want)
+
+
 def test_edits_follow_the_next_document(spark):
     rows = [(n * 3, " ".join(f"t{n}x{k}" for k in range(n % 50))) for n in range(400)]
     rows += [(5, None), (6, ""), (None, "no id"), (9, "é日本 " * 9000), (9, "a repeated id"), (9, "a repeated id")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS fingerprint", "2 AS `range`")
     for range_bytes in (1 << 23, 2000):
         got = fingerprints.fingerprint_edits(docs, range_bytes=range_bytes).collect()
-        order = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        order = sorted(((d, t or "") for d, t in rows), key=by_key)
         texts = [t for _, t in order]
         edits = [fingerprints.edited_text(t, texts[(n + 1) % len(texts)]) for n, t in enumerate(texts)]
         want = sorted((str(d), len(t), hashlib.sha256(e.encode()).hexdigest()) for (d, t), e in zip(order, edits, strict=True))
