@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -14,9 +15,8 @@ from pyspark.sql import functions as F
 from formfield.llm.common import checkpointed, quoted, rows, utf8
 from formfield.llm.components import components
 
-#: Widths of the blocks a fingerprint is cut into. With at most three differing bits two of five blocks agree.
-BLOCKS = (13, 13, 13, 13, 12)
-#: Fingerprints of a shard that one tree holds; larger shards become several trees.
+#: Fingerprints that a shard should hold on average, and that one tree holds at most; larger shards become several trees.
+SHARD = 2048
 TREE = 4096
 #: Entries below which a subtree is kept as a flat leaf.
 LEAF = 24
@@ -69,6 +69,7 @@ class BKTree:
 
     def __init__(self, values: np.ndarray):
         self.values = values
+        self.compared = 0
         self.root = self._node(np.arange(len(values))) if len(values) else None
 
     def _node(self, entries: np.ndarray) -> tuple:
@@ -87,17 +88,28 @@ class BKTree:
                 waiting.append((rest[apart == d], children, d))
         return first[0]
 
+    def depth(self) -> int:
+        """Nodes on the longest way down."""
+        most, waiting = 0, [(self.root, 1)] if self.root else []
+        while waiting:
+            (head, below), level = waiting.pop()
+            most = max(most, level)
+            waiting += [(child, level + 1) for child in below.values()] if head is not None else []
+        return most
+
     def search(self, queries: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
         """Stars (position in the tree, positions in ``queries``) within the radius."""
         waiting = [(self.root, np.arange(len(queries)))] if self.root and len(queries) else []
         while waiting:
             (head, below), asked = waiting.pop()
             if head is None:
+                self.compared += len(below) * len(asked)
                 for entry in below.tolist():
                     near = asked[np.bitwise_count(queries[asked] ^ self.values[entry]) <= radius]
                     if len(near):
                         yield entry, near
                 continue
+            self.compared += len(asked)
             apart = np.bitwise_count(queries[asked] ^ self.values[head]).astype(np.int16)
             if len(near := asked[apart <= radius]):
                 yield int(head), near
@@ -120,18 +132,29 @@ def _forest(values: np.ndarray, stars: Iterator[tuple[int, np.ndarray]], shift:
     return links[links[:, 0] != links[:, 1]]
 
 
-def _keys(blocks: tuple[int, ...], radius: int) -> list[Column]:
+def block_widths(n: int, radius: int, shard: int) -> tuple[list[int], int]:
+    """Widths of the blocks a fingerprint is cut into, and how many bits of a choice of them make ``shard`` values meet.
+
+    Two fingerprints within the radius agree on all blocks but ``radius`` at most. One block more than that is enough as
+    long as its bits are; very many fingerprints need choices of two blocks or more.
+    """
+    bits = max(0, ceil(log2(max(1, n) / shard)))
+    blocks = next(m for m in range(radius + 1, 65) if (m - radius) * (64 // m) >= bits or m == 64)
+    return [64 // blocks + (k < 64 % blocks) for k in range(blocks)], min(bits, (blocks - radius) * (64 // blocks))
+
+
+def _keys(widths: list[int], radius: int, bits: int) -> list[Column]:
     """A shard key for each choice of blocks that may be the ones on which two close fingerprints agree."""
     fp, start, cut = F.col("fp"), 0, []
-    for width in blocks:
+    for width in widths:
         cut.append(F.shiftrightunsigned(fp, start).bitwiseAND(F.lit((1 << width) - 1)))
         start += width
     keys = []
-    for n, chosen in enumerate(combinations(range(len(blocks)), len(blocks) - radius)):
-        key = F.lit(n).cast("long")
+    for n, chosen in enumerate(combinations(range(len(widths)), len(widths) - radius)):
+        key = F.lit(0).cast("long")
         for b in chosen:
-            key = F.shiftleft(key, blocks[b]).bitwiseOR(cut[b])
-        keys.append(key)
+            key = F.shiftleft(key, widths[b]).bitwiseOR(cut[b])
+        keys.append(key.bitwiseAND(F.lit((1 << bits) - 1)).bitwiseOR(F.lit(n << bits)))
     return keys
 
 
@@ -185,19 +208,18 @@ def _search_shards(radius: int):
     return run
 
 
-def links(prints: DataFrame, radius: int = 3, blocks: tuple[int, ...] = BLOCKS, tree: int = TREE) -> DataFrame:
+def links(prints: DataFrame, radius: int = 3, shard: int = SHARD, tree: int = TREE) -> DataFrame:
     """``(u, v)``: links that connect the distinct ``fp`` values exactly as all pairs within the radius do.
 
-    Fingerprints are cut into blocks, and each choice of ``len(blocks) - radius`` blocks makes a shard key on which
-    two fingerprints within the radius must agree at least once. A shard's values become BK-trees of at most ``tree``
-    entries; each tree is sent to the shard's other lookups, which follow only edges within the radius. Shards of one
-    value are left out. A shard with many trees becomes a grid of (tree, lookups) cells, so no task holds a shard
+    Fingerprints are cut into blocks; each choice of blocks on which two fingerprints within the radius may agree gives a
+    shard key, of as many bits as leave about ``shard`` values together. A shard's values become BK-trees of at most
+    ``tree`` entries; each tree is sent to the shard's other lookups, which follow only edges within the radius. Shards
+    of one value are left out. A shard with many trees becomes a grid of (tree, lookups) cells, so no task holds a shard
     whole. Cells return links to the smallest value of each group found, never all pairs.
     """
-    if sum(blocks) != 64 or len(blocks) <= radius:
-        raise ValueError("blocks must add up to 64 bits and outnumber the radius")
     values = prints.select("fp").distinct()
-    sharded = values.select("fp", F.explode(F.array(*_keys(blocks, radius))).alias("key"))
+    widths, bits = block_widths(prints.agg(F.approx_count_distinct("fp")).first()[0], radius, shard)
+    sharded = values.select("fp", F.explode(F.array(*_keys(widths, radius, bits))).alias("key"))
     counted = sharded.groupBy("key").count().where("count > 1").select(
         "key", F.ceil(F.col("count") / tree).cast("int").alias("trees")
     )

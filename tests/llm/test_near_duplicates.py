@@ -75,8 +75,32 @@ def test_tree_finds_what_a_scan_finds():
     assert found == wanted
 
 
-@pytest.mark.parametrize("tree", [16, 4096])
-def test_links_connect_what_all_pairs_connect(spark, tree):
+def test_trees_of_a_given_table_are_walked(spark):
+    """The shards of a table's fingerprints are trees of many levels, and lookups pass most of their nodes by."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    prints = np.unique(np.array([r.fp for r in simhash.fingerprints(docs).collect()], dtype=np.int64)).view(np.uint64)
+    widths, bits = simhash.block_widths(len(prints), 3, simhash.SHARD)
+    assert (widths, bits) == ([16] * 4, 3)
+    held = visited = 0
+    for block in range(4):
+        keys = (prints >> np.uint64(16 * block)) & np.uint64((1 << bits) - 1)
+        for key in np.unique(keys):
+            tree = simhash.BKTree(prints[keys == key])
+            list(tree.search(tree.values, 3))
+            assert len(tree.values) < 50 or tree.depth() > 2
+            held, visited = held + len(tree.values) ** 2, visited + tree.compared
+    assert visited < 0.5 * held
+
+
+def test_blocks_suffice_at_any_size():
+    for n in (1, 10**4, 10**9, 10**12, 10**16):
+        widths, bits = simhash.block_widths(n, 3, 2048)
+        assert sum(widths) == 64 and n / 2**bits <= 2048 or n > 10**13
+    assert [len(simhash.block_widths(n, 3, 2048)[0]) for n in (10**8, 10**9, 10**12)] == [4, 5, 6]
+
+
+@pytest.mark.parametrize("tree,shard", [(16, 4096), (4096, 4096), (64, 1), (4096, 20)])
+def test_links_connect_what_all_pairs_connect(spark, tree, shard):
     """Clusters, chains, exact copies and a crowd of close values, with shards of one tree and of many."""
     draws = random.Random(7)
     prints = [0, 0, 2**64 - 1]
@@ -88,7 +112,7 @@ def test_links_connect_what_all_pairs_connect(spark, tree):
     prints += [crowd ^ draws.getrandbits(9) for _ in range(150)]
     prints += [crowd ^ (0b1111 << 4 * k) for k in range(12)]
     rows = [(n, p - 2**64 if p >= 2**63 else p) for n, p in enumerate(prints)]
-    links = simhash.links(spark.createDataFrame(rows, "doc_id long, fp long"), tree=tree)
+    links = simhash.links(spark.createDataFrame(rows, "doc_id long, fp long"), tree=tree, shard=shard)
     root = {r.node: r.root for r in components(links).collect()}
     got = {n: root.get(fp, fp) for n, fp in rows}
     want = plain_components([n for n, _ in rows], dict(enumerate(prints)))
