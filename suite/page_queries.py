@@ -16,6 +16,7 @@ from formfield.operators import relational as R
 from formfield.sources.pages import gate_pages, read_pages, spread, write_view
 from formfield.plans import views as V
 from formfield.streaming.captures import current_pages, ingest
+from formfield.streaming.live import current_predictions, predict_stream
 from suite import bindings as B
 from suite import render
 from suite.queries import _NUMBERS, register, tidy
@@ -220,6 +221,21 @@ def s4_stream_captures(spark, d):
     return current_pages(spark, f"{log}/log").select("page_id", "text")
 
 
+@register("s4_stream_predictions", _end_to_end(f"select race_id, tab, box, horse, pred_rank, early_rank, conf, rec, {rounded(*_NUMBERS)} from predicted"))
+def s4_stream_predictions(spark, d):
+    """Three waves: every page with other prices; as it is, beside repeats; captures that come late, and repeats again."""
+    now = pages(spark, d).select("page_id", "captured_at", "text")
+    other = F.regexp_replace("text", r"(?m)\$(\d+)", r"\$1$1")
+    earlier = lambda hours: now.withColumn("captured_at", F.col("captured_at") - F.expr(f"interval {hours} hours")).withColumn("text", other)
+    folder = shared_folder(spark, "live")
+    for wave in (earlier(1), now.union(earlier(1)), earlier(2).union(now)):
+        wave.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(now.schema).parquet(f"{folder}/in")
+        predict_stream(stream, f"{folder}/log", f"{folder}/checkpoint").awaitTermination()
+    df = current_predictions(spark, f"{folder}/log").withColumn("race_id", F.col("race_id").cast("long"))
+    return tidy(df, "race_id", "tab", "box", "horse", "pred_rank", "early_rank", "conf", "rec", *_NUMBERS)
+
+
 # --- reading the rendered pages back ---------------------------------------------------------------------------
 
 @register("s1_read_pages", over("races", query="select cast(race_id as varchar) as page_id, 'CUP NUMBER ' || race_id as race_name from races"))
