@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from formfield import constants as K
@@ -46,6 +46,53 @@ def raw_components(
     return with_raw_scores(df, negate_default)
 
 
+#: What the scores read of a past run.
+RUN_VALUES = ("k", "bom_adj", "mrk_delta", "distance", "track", "finish", "field", "margin", "settle_pos", "stewards")
+
+
+def tagged_components(
+    runners: DataFrame, records: DataFrame, box_stats: DataFrame, runs: DataFrame, races: DataFrame,
+    run_counts: DataFrame | None = None, negate_default: bool = False,
+) -> DataFrame:
+    """The rows of :func:`raw_components` through one exchange and without a join.
+
+    Runners, runs, records, box counts and races become one stream, each row with the columns of its own table. It is
+    dealt by race once; the race's distance and track are then spread over its rows, and each runner's rows are reduced
+    to one by what they are. What follows across the field works on the same dealing. A race lies in one task with its
+    history, so this is the plan for races of ordinary size. ``runners`` holds a tab once.
+    """
+    facts = [c for c in runners.columns if c not in KEY]
+    run_values = [F.col(c) if c in runs.columns else F.lit(None).alias(c) for c in RUN_VALUES]
+    parts = [
+        runners.select(*KEY, F.struct(*facts).alias("runner")),
+        runs.select(*KEY, F.lit(True).alias("is_run"), *run_values),
+        records.filter(F.col("kind").isin(*SCORED_RECORDS)).select(*KEY, F.struct("kind", "wins", "places23", "starts").alias("record")),
+        box_stats.select(*KEY, F.struct("box", "wins", "places23", "starts").alias("in_box")),
+        races.select("race_id", F.struct("distance_m", "track").alias("target")),
+    ]
+    if run_counts is not None:
+        parts.append(run_counts.select(*KEY, F.col("n_runs").alias("run_count")))
+    stream = parts[0]
+    for part in parts[1:]:
+        stream = stream.unionByName(part, allowMissingColumns=True)
+    # The finer window first: its order serves the other one and the reduction too
+    own_box = F.max("runner.box").over(Window.partitionBy(*KEY))
+    target = F.max("target").over(Window.partitionBy("race_id"))
+    stream = stream.withColumn("own_box", own_box).withColumn("target", target).filter("tab is not null").withColumns({
+        "target_distance": F.col("target.distance_m"), "target_track": F.col("target.track"),
+    })
+    record, here = F.col("record"), F.col("in_box.box") == F.col("own_box")
+    counts = {
+        f"{kind}_{part}": F.max(F.when(record["kind"] == kind, record[part]))
+        for kind in SCORED_RECORDS for part in ("wins", "places23", "starts")
+    }
+    counts |= {f"box_{part}": F.coalesce(F.max(F.when(here, F.col(f"in_box.{part}"))), F.lit(0)) for part in ("wins", "places23", "starts")}
+    n_runs = F.count("is_run") if run_counts is None else F.max("run_count")
+    scores = {**history_aggregates(negate_default), "n_runs": n_runs, **counts}
+    each = stream.groupBy(*KEY).agg(F.first("runner", ignorenulls=True).alias("runner"), *[a.alias(n) for n, a in scores.items()])
+    return with_raw_scores(each.filter("runner is not null").select(*KEY, "runner.*", *scores), negate_default)
+
+
 def with_raw_scores(df: DataFrame, negate_default: bool = False) -> DataFrame:
     sign = -1.0 if negate_default else 1.0
     triples = {k: [f"{k}_{p}" for p in ("wins", "places23", "starts")] for k in SCORED_RECORDS}
@@ -99,9 +146,8 @@ def predict(
 ) -> DataFrame:
     """Predictions of every race that has at least two active runners."""
     def run(live, g):
-        return score_field(
-            raw_components(live, records, box_stats, runs, races, run_counts, negate_default), g, alpha
-        )
+        components = raw_components if g.spread else tagged_components
+        return score_field(components(live, records, box_stats, runs, races, run_counts, negate_default), g, alpha)
 
     return by_race(runners, run, bounded=bounded)
 

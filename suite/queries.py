@@ -398,7 +398,7 @@ def _history(spark, d) -> dict[str, DataFrame]:
 
 def _in_races(spark, d, fn) -> DataFrame:
     history = _history(spark, d)
-    return PR.by_race(B.runners(spark, d), lambda live, g: fn(PR.raw_components(live, **history), g))
+    return PR.by_race(B.runners(spark, d), lambda live, g: fn((PR.raw_components if g.spread else PR.tagged_components)(live, **history), g))
 
 
 def _upto(*steps):
