@@ -16,6 +16,7 @@ from formfield.operators import relational as R
 from formfield.sources.pages import gate_pages, read_pages, spread, write_view
 from formfield.plans import views as V
 from formfield.streaming.captures import current_pages, ingest
+from formfield.streaming.levels import levelled_pages, merge
 from formfield.streaming.live import current_predictions, predict_stream
 from suite import bindings as B
 from suite import render
@@ -221,6 +222,23 @@ def s4_stream_captures(spark, d):
     return current_pages(spark, f"{log}/log").select("page_id", "text")
 
 
+@register("s4_levelled_captures", """
+    select cast(user_id as varchar) as page_id, event_type as text from events
+    qualify row_number() over (partition by user_id order by ts desc) = 1""")
+def s4_levelled_captures(spark, d):
+    """The events in twelve files, a micro-batch each; small runs merge after every stream."""
+    folder = shared_folder(spark, "levels")
+    events = B.table(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("page_id"), F.col("ts").alias("captured_at"), F.col("event_type").alias("text"))
+    for part in range(3):
+        own = events.where(F.pmod(F.xxhash64("captured_at"), F.lit(3)) == part)
+        own.repartition(4, "captured_at").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        ingest(stream, f"{folder}/log", f"{folder}/checkpoint", min_chars=0).awaitTermination()
+        merge(spark, f"{folder}/log", fanout=3)
+    return levelled_pages(spark, f"{folder}/log").select("page_id", "text")
+
+
 @register("s4_stream_predictions", _end_to_end(f"select race_id, tab, box, horse, pred_rank, early_rank, conf, rec, {rounded(*_NUMBERS)} from predicted"))
 def s4_stream_predictions(spark, d):
     """Three waves: every page with other prices; as it is, beside repeats; captures that come late, and repeats again."""
