@@ -105,30 +105,80 @@ class Groups:
         return join_back(df, table, self.by, small=self.listed, how="left")
 
 
-def by_group_size(df: DataFrame, by: list[str], fn, limit: int = TASK_GROUP_ROWS) -> DataFrame:
-    """Run ``fn(rows, groups)`` with windows, and separately for groups above ``limit`` rows."""
+class Sizes:
+    """Which groups of ``by`` are too large for one task, found once and handed to every operator of a pipeline.
+
+    It holds for any table whose groups are no larger than those it was found on, such as what a filter leaves of them.
+    """
+
+    def __init__(self, by: list[str], keys: list[int], table: DataFrame | None = None):
+        self.by, self.keys, self.table = list(by), keys, table
+
+    def apply(self, df: DataFrame, fn) -> DataFrame:
+        """``fn(rows, groups)`` with windows, and apart from them for the large groups."""
+        if not self.keys:
+            return fn(df, Groups(self.by))
+        key = F.xxhash64(*self.by)
+        if self.table is None:
+            is_large = key.isin(self.keys)
+            rest, cut = df.filter(~is_large), df.filter(is_large)
+        else:
+            hashed = df.withColumn("__key", key)
+            rest = hashed.join(self.table, "__key", "left_anti").drop("__key")
+            cut = hashed.join(self.table, "__key", "left_semi").drop("__key")
+        groups = Groups(self.by, spread=True, listed=self.table is None)
+        return fn(rest, Groups(self.by)).unionByName(fn(cut, groups))
+
+
+#: Counters of the sketch of frequent keys; an ordinary one gets a small part of what makes a group large.
+COUNTERS = 1 << 14
+#: A group is large only if it also holds this share of all rows; so there are a thousand large ones at most.
+LARGE_SHARE = 1 / 1_000
+
+
+def group_sizes(df: DataFrame, by: list[str], limit: int = TASK_GROUP_ROWS) -> Sizes:
+    """One pass over the keys of ``df``, into a fixed number of counters that their hashes share.
+
+    Counters are summed before the exchange, so it carries no more than they are, however many keys there are. Large is a
+    group of more than ``limit`` rows that holds a thousandth of all rows; a smaller one is small change for the task
+    that it falls to. A counter is never below its largest group, so only the keys of those that reach the bound are
+    counted exactly.
+    """
+    key = F.xxhash64(*by)
+    keyed = df.select(key.alias("__key"), F.pmod(key, F.lit(COUNTERS)).cast("int").alias("__at"))
+    full = F.collect_list(F.when(F.col("count") > limit, F.struct("__at", "count")))
+    found = keyed.groupBy("__at").count().agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), full.alias("full")).first()
+    least = max(limit + 1, found["n"] * LARGE_SHARE)
+    likely = [c["__at"] for c in found["full"] if c["count"] >= least]
+    if not likely:
+        return Sizes(by, [])
+    counts = keyed.filter(F.col("__at").isin(likely)).groupBy("__key").count()
+    return Sizes(by, [r[0] for r in counts.filter(F.col("count") >= least).collect()])
+
+
+def counted_sizes(df: DataFrame, by: list[str], limit: int) -> Sizes:
+    """Every group above ``limit`` rows, by counting all of them; for steps whose cost grows faster than a group."""
     key = F.xxhash64(*by)
     large = (
         df.groupBy(*by).agg(F.count("*").alias("__n")).filter(F.col("__n") > limit).select(key.alias("__key"))
     )
     keys = [r[0] for r in large.take(LISTED_KEYS + 1)]
-    if not keys:
-        return fn(df, Groups(by))
-    if len(keys) <= LISTED_KEYS:
-        is_large = key.isin(keys)
-        rest, cut = df.filter(~is_large), df.filter(is_large)
-        groups = Groups(by, spread=True, listed=True)
-    else:
-        large = durable(large)
-        hashed = df.withColumn("__key", key)
-        rest = hashed.join(large, "__key", "left_anti").drop("__key")
-        cut = hashed.join(large, "__key", "left_semi").drop("__key")
-        groups = Groups(by, spread=True)
-    return fn(rest, Groups(by)).unionByName(fn(cut, groups))
-
-
-def group_operator(fn=None, *, limit: int = TASK_GROUP_ROWS):
-    """Let ``fn(df, groups, …)`` also be called as ``fn(df, ["key", …], …)``."""
+    return Sizes(by, keys, durable(large) if len(keys) > LISTED_KEYS else None)
+
+
+def by_group_size(df: DataFrame, by, fn, limit: int = TASK_GROUP_ROWS) -> DataFrame:
+    """Run ``fn(rows, groups)`` with windows, and separately for groups above ``limit`` rows.
+
+    ``by`` is the key, or the :class:`Sizes` that an earlier step of the pipeline has found.
+    """
+    return (by if isinstance(by, Sizes) else counted_sizes(df, by, limit)).apply(df, fn)
+
+
+def group_operator(fn=None, *, limit: int | None = None):
+    """Let ``fn(df, groups, …)`` also be called as ``fn(df, ["key", …], …)`` or with :class:`Sizes`.
+
+    With a ``limit`` every group above it is found, else those that hold a fair share of all rows.
+    """
     if fn is None:
         return functools.partial(group_operator, limit=limit)
 
@@ -136,7 +186,9 @@ def group_operator(fn=None, *, limit: int = TASK_GROUP_ROWS):
     def call(df: DataFrame, by, *args, **kwargs) -> DataFrame:
         if isinstance(by, Groups):
             return fn(df, by, *args, **kwargs)
-        by = [by] if isinstance(by, str) else list(by)
-        return by_group_size(df, by, lambda d, g: fn(d, g, *args, **kwargs), limit)
+        if not isinstance(by, Sizes):
+            by = [by] if isinstance(by, str) else list(by)
+            by = group_sizes(df, by) if limit is None else counted_sizes(df, by, limit)
+        return by.apply(df, lambda d, g: fn(d, g, *args, **kwargs))
 
     return call

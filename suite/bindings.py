@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formfield import constants as K
-from formfield.groups import Groups, group_operator
+from formfield.groups import Groups, Sizes, group_operator, group_sizes
 from formfield.operators.history import take_recent
 
 FIELD = 9
@@ -43,12 +43,17 @@ def numbered(df: DataFrame, g: Groups) -> DataFrame:
     return g.rank(df, "__tab", *order).withColumn("tab", F.col("__tab")).drop("__tab")
 
 
-def contest(spark, sf_dir) -> DataFrame:
-    return numbered(contest_raw(spark, sf_dir), ["race_id"])
+def contest_sizes(spark, sf_dir) -> Sizes:
+    """Which orders are too long for one task, from the stored keys; for all steps of a query."""
+    return group_sizes(contest_raw(spark, sf_dir), ["race_id"])
 
 
-def active_contest(spark, sf_dir) -> DataFrame:
-    return contest(spark, sf_dir).filter(~F.col("scratched"))
+def contest(spark, sf_dir, sizes: Sizes | None = None) -> DataFrame:
+    return numbered(contest_raw(spark, sf_dir), sizes or ["race_id"])
+
+
+def active_contest(spark, sf_dir, sizes: Sizes | None = None) -> DataFrame:
+    return contest(spark, sf_dir, sizes).filter(~F.col("scratched"))
 
 
 # --- customers in nines as runners ------------------------------------------------------------

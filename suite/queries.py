@@ -10,11 +10,11 @@ from pyspark.sql import types as T
 
 from formfield import constants as K
 from formfield.functions.numbers import box_score, finite, freshness_score, shrunk_rate, trackdist_score, trainer_score
-from formfield.groups import by_group_size
+from formfield.groups import counted_sizes
 from formfield.operators import field as W
 from formfield.operators import history as H
 from formfield.operators import relational as R
-from formfield.operators.finish import finish_order_probs
+from formfield.operators.finish import LISTED_RUNNERS, finish_order_probs
 from formfield.plans import predict as PR
 from formfield.plans import views as V
 from formfield.sources.pages import gate_pages, latest_capture
@@ -28,6 +28,12 @@ RACE = ["race_id"]
 RUNNER = ["race_id", "tab"]
 
 
+def field_of(spark, d):
+    """The active fields, and which of them are large; the keys are looked at once for all steps."""
+    sizes = B.contest_sizes(spark, d)
+    return B.active_contest(spark, d, sizes), sizes
+
+
 def register(name: str, sql: str | None = None):
     def add(fn: Query) -> Query:
         QUERIES[name] = fn
@@ -54,7 +60,8 @@ def tidy(df: DataFrame, *columns: str, digits: int = 8) -> DataFrame:
     select race_id, tab, {rounded('p')} from (
         select race_id, tab, 1.0 / tab_odds / sum(1.0 / tab_odds) over (partition by race_id) as p from active_contest)"""))
 def w3_devig(spark, d):
-    return tidy(W.devig(B.active_contest(spark, d), RACE, "tab_odds"), "race_id", "tab", "p")
+    df, sizes = field_of(spark, d)
+    return tidy(W.devig(df, sizes, "tab_odds"), "race_id", "tab", "p")
 
 
 @register("w2_softmax", over("active_contest", query=f"""
@@ -63,7 +70,8 @@ def w3_devig(spark, d):
             select race_id, tab, exp(greatest(0.5 * bf_odds - max(0.5 * bf_odds) over (partition by race_id), -30)) as e
             from active_contest))"""))
 def w2_softmax(spark, d):
-    return tidy(W.softmax(B.active_contest(spark, d), RACE, "bf_odds", "p", 0.5), "race_id", "tab", "p")
+    df, sizes = field_of(spark, d)
+    return tidy(W.softmax(df, sizes, "bf_odds", "p", 0.5), "race_id", "tab", "p")
 
 
 _GAPPED = "case when price % 7 < 2 then null else price end"
@@ -76,8 +84,9 @@ _GAPPED = "case when price % 7 < 2 then null else price end"
         from (select race_id, tab, coalesce({_GAPPED}, median({_GAPPED}) over (partition by race_id), 0) as x from active_contest)
         window f as (partition by race_id))"""))
 def w1_zscore(spark, d):
-    df = B.active_contest(spark, d).withColumn("x", F.when(F.col("price") % 7 >= 2, F.col("price")))
-    return tidy(W.zscore(df, RACE, "x", "z"), "race_id", "tab", "z")
+    df, sizes = field_of(spark, d)
+    df = df.withColumn("x", F.when(F.col("price") % 7 >= 2, F.col("price")))
+    return tidy(W.zscore(df, sizes, "x", "z"), "race_id", "tab", "z")
 
 
 _BLEND = {"two_prices": (("active_contest",), """
@@ -91,8 +100,9 @@ _BLEND = {"two_prices": (("active_contest",), """
     select race_id, tab, {rounded('p_tab', 'p_bf', 'p_mkt')} from (
         select *, case when ok < 0.5 then p_tab else 0.55 * p_tab + 0.45 * p_bf end as p_mkt from two_prices)"""))
 def w4_blend_markets(spark, d):
-    df = B.active_contest(spark, d).withColumn("bf_odds", F.when(F.col("bf_odds") > 20, 999.0).otherwise(F.col("bf_odds")))
-    return tidy(W.blend_markets(df, RACE), *RUNNER, "p_tab", "p_bf", "p_mkt")
+    df, sizes = field_of(spark, d)
+    df = df.withColumn("bf_odds", F.when(F.col("bf_odds") > 20, 999.0).otherwise(F.col("bf_odds")))
+    return tidy(W.blend_markets(df, sizes), *RUNNER, "p_tab", "p_bf", "p_mkt")
 
 
 _POOL = {"pool": (("active_contest",), """
@@ -109,29 +119,33 @@ def _pooled(df: DataFrame, g) -> DataFrame:
 
 @register("w9_log_pool", over("pool_p", extra=_POOL, query=f"select race_id, tab, {rounded('p_win')} from pool_p"))
 def w9_log_pool(spark, d):
-    return tidy(by_group_size(B.active_contest(spark, d), RACE, _pooled), "race_id", "tab", "p_win")
+    df, sizes = field_of(spark, d)
+    return tidy(sizes.apply(df, _pooled), "race_id", "tab", "p_win")
 
 
 @register("d3_rank_field", over("active_contest", query="""
     select race_id, tab, cast(row_number() over (partition by race_id order by tab_odds desc, tab) as integer) as rank
     from active_contest"""))
 def d3_rank_field(spark, d):
-    return W.rank_field(B.active_contest(spark, d), RACE, "tab_odds").select("race_id", "tab", "rank")
+    df, sizes = field_of(spark, d)
+    return W.rank_field(df, sizes, "tab_odds").select("race_id", "tab", "rank")
 
 
 @register("d4_top1_per_race", over("active_contest", query="""
     select race_id, tab, bf_odds from active_contest
     qualify row_number() over (partition by race_id order by bf_odds, tab) = 1"""))
 def d4_top1_per_race(spark, d):
-    ranked = W.rank_field(B.active_contest(spark, d).withColumn("score", -F.col("bf_odds")), RACE, "score")
+    df, sizes = field_of(spark, d)
+    ranked = W.rank_field(df.withColumn("score", -F.col("bf_odds")), sizes, "score")
     return V.top1_per_race(ranked, "rank").select("race_id", "tab", "bf_odds")
 
 
 @register("j7_finish_order_probs", over("finish", extra={**_POOL, **finish_blocks("pool_p")}, query=f"""
     select race_id, tab, {rounded('top2', 'top3', 'exp_pos')} from finish"""))
 def j7_finish_order_probs(spark, d):
-    df = by_group_size(B.active_contest(spark, d), RACE, _pooled)
-    return tidy(finish_order_probs(df, RACE), *RUNNER, "top2", "top3", "exp_pos")
+    sizes = counted_sizes(B.contest_raw(spark, d), RACE, LISTED_RUNNERS)
+    df = sizes.apply(B.active_contest(spark, d, sizes), _pooled)
+    return tidy(finish_order_probs(df, sizes), *RUNNER, "top2", "top3", "exp_pos")
 
 
 _SEGMENTS = {"segment": ((), "select c_mktsegment as race_id, c_custkey as tab, c_acctbal + 2000.0 as p_win from customer")}
@@ -151,7 +165,8 @@ def j7_finish_large_groups(spark, d):
         select race_id, tab, 1.0 / greatest(p_win, 1e-9) as fair, p_win * bf_odds - 1 as ev_win
         from pool_p join active_contest using (race_id, tab))"""))
 def w10_fair_and_ev(spark, d):
-    df = by_group_size(B.active_contest(spark, d), RACE, _pooled)
+    df, sizes = field_of(spark, d)
+    df = sizes.apply(df, _pooled)
     return tidy(W.fair_and_ev(df), *RUNNER, "fair", "ev_win")
 
 
@@ -163,7 +178,8 @@ def f1_active(spark, d):
 @register("f2_require_field", over("active_contest", query="""
     select race_id, tab from active_contest qualify count(*) over (partition by race_id) >= 2"""))
 def f2_require_field(spark, d):
-    return W.require_field(B.active_contest(spark, d), RACE).select("race_id", "tab")
+    df, sizes = field_of(spark, d)
+    return W.require_field(df, sizes).select("race_id", "tab")
 
 
 @register("f2_rejected_races", over("contest_raw", query="""

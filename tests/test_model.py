@@ -200,3 +200,47 @@ def test_sequence_gaps_are_whole(spark):
     counts = {r.race_id: r.n for r in got.groupBy("race_id").agg(F.count("*").alias("n")).collect()}
     assert counts == {1: 1_050_000 - 2, 3: 3}
     assert got.distinct().count() == got.count() and got.join(df, ["race_id", "tab"]).count() == 0
+
+
+def test_frequent_keys_are_found_in_one_pass(spark):
+    """A group is large above the limit if it holds a thousandth of the rows; all of those are found, also where keys share counters."""
+    hot = spark.range(30_000).select(F.lit("hot").alias("race_id"))
+    some = spark.range(9_000).select(F.concat(F.lit("some"), (F.col("id") % 3)).alias("race_id"))
+    none = spark.range(5_000).select(F.lit(None).cast("string").alias("race_id"))
+    rest = spark.range(40_000).select((F.col("id") % 20_000).cast("string").alias("race_id"))
+    df = hot.union(some).union(none).union(rest).repartition(6)
+    keys = {r[0]: r[1] for r in df.select("race_id", F.xxhash64("race_id")).distinct().collect()}
+    names = {v: k for k, v in keys.items()}
+    large = lambda limit: {names[v] for v in G.group_sizes(df, ["race_id"], limit).keys}
+    assert large(10_000) == {"hot"}
+    assert large(4_999) == {"hot", None} and large(5_000) == {"hot"}
+    assert large(2_999) == large(10) == {"hot", None, "some0", "some1", "some2"}
+    assert G.group_sizes(df.limit(0), ["race_id"], 1).keys == []
+
+
+def test_one_decision_serves_all_steps(spark, monkeypatch):
+    df = skewed(spark)
+    sizes = G.group_sizes(df, ["race_id"], 50)
+    assert len(sizes.keys) == 1
+    monkeypatch.setattr(G, "group_sizes", None)
+    monkeypatch.setattr(G, "counted_sizes", None)
+    for fn in OPERATORS.values():
+        plain, split = (sorted(map(tuple, fn(df, g).select("tab").collect())) for g in (G.Groups(["race_id"]), sizes))
+        assert plain == split
+
+
+@pytest.mark.parametrize("name", ["w1_zscore", "w3_devig", "w4_blend_markets", "w9_log_pool", "d3_rank_field", "f2_require_field", "j7_finish_order_probs"])
+def test_a_query_looks_at_its_keys_once(spark, sf_dir, name, monkeypatch):
+    from suite import bindings
+    from suite.queries import QUERIES
+
+    looks = []
+    for at, fn in ((G, "group_sizes"), (G, "counted_sizes"), (bindings, "group_sizes")):
+        old = getattr(at, fn)
+        monkeypatch.setattr(at, fn, lambda *args, old=old: (looks.append(old), old(*args))[1])
+    import suite.queries as Q
+
+    old = Q.counted_sizes
+    monkeypatch.setattr(Q, "counted_sizes", lambda *args: (looks.append(old), old(*args))[1])
+    QUERIES[name](spark, sf_dir)
+    assert len(looks) == 1
