@@ -303,8 +303,9 @@ def j6_own_box_stats(spark, d):
 _LISTED_DETAIL = {
     **_DETAIL,
     "judged": (("runners", "detail", "run_counts"), """
-        select r.*, d.race_id is not null as has_detail, coalesce(n_runs, 0) as n_runs
-        from (select * from runners where tab <> 4 or race_id % 2 = 0) r left join detail d on d.race_id = r.race_id and d.tab = r.tab
+        select r.* replace (cast(case when r.race_id % 2 = 1 and r.tab >= 4 then r.tab + 1 else r.tab end as integer) as tab),
+            d.race_id is not null as has_detail, coalesce(n_runs, 0) as n_runs
+        from runners r left join detail d on d.race_id = r.race_id and d.tab = r.tab
         left join run_counts c on c.race_id = r.race_id and c.tab = r.tab"""),
 }
 
@@ -320,15 +321,16 @@ _LISTED_DETAIL = {
     union all select race_id, 'few_runs', null, count(*) || ' active runner(s) have fewer than three parsed recent runs; model confidence is reduced.'
         from judged where not scratched and n_runs < 3 group by race_id
     union all select race_id, 'tab_gap', tab, 'Tab number ' || tab || ' is missing from the parsed field.' from (
-        select race_id, unnest(list_filter([1, 2, 3, 4, 5, 6, 7, 8, 9], lambda x: x < max(tab) and not list_contains(list(tab), x))) as tab
+        select race_id, unnest(list_filter([1, 2, 3, 4, 5, 6, 7, 8, 9, 10], lambda x: x < max(tab) and not list_contains(list(tab), x))) as tab
         from judged group by race_id)"""))
 def j8_quality_warnings(spark, d):
-    listed = B.runners(spark, d).filter((F.col("tab") != 4) | (F.col("race_id") % 2 == 0))
+    """All runners; in odd races those from the fourth on are listed one number higher, so a number is missing."""
+    listed = B.runners(spark, d)
     counts = B.all_runs(spark, d).groupBy(*RUNNER).agg(F.count("*").alias("n_runs"))
     detail = _detail(spark, d).select(*RUNNER, F.lit(True).alias("has_detail"))
     listed = listed.join(detail, RUNNER, "left").join(counts, RUNNER, "left").withColumn(
         "has_detail", F.coalesce("has_detail", F.lit(False))
-    )
+    ).withColumn("tab", F.when((F.col("race_id") % 2 == 1) & (F.col("tab") >= 4), F.col("tab") + 1).otherwise(F.col("tab")))
     races = B.races(spark, d).select("race_id").unionByName(spark.range(1).select((F.col("id") - 1).alias("race_id")))
     return R.quality_warnings(listed, races)
 

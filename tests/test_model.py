@@ -244,3 +244,23 @@ def test_a_query_looks_at_its_keys_once(spark, sf_dir, name, monkeypatch):
     monkeypatch.setattr(Q, "counted_sizes", lambda *args: (looks.append(old), old(*args))[1])
     QUERIES[name](spark, sf_dir)
     assert len(looks) == 1
+
+
+def test_stored_tables_are_predicted_with_one_exchange_and_no_join(spark, sf_dir, tmp_path):
+    """The tagged stream gives the rows that joins give, also without a count of runs."""
+    tables = {
+        "runners": B.runners(spark, sf_dir), "records": B.records(spark, sf_dir), "box_stats": B.box_counts(spark, sf_dir),
+        "runs": B.recent(spark, sf_dir), "races": B.races(spark, sf_dir), "counts": B.career(spark, sf_dir).select("race_id", "tab", F.col("starts").alias("n_runs")),
+    }
+    for name, df in tables.items():
+        df.write.parquet(str(tmp_path / name))
+    live, records, boxes, runs, races, counts = (spark.read.parquet(str(tmp_path / n)) for n in tables)
+    for more in (None, counts):
+        args = (W.active(live), records, boxes, runs, races, more)
+        joined, tagged = PR.raw_components(*args), PR.tagged_components(*args)
+        assert sorted(joined.columns) == sorted({*tagged.columns, *(c for c in joined.columns if c.startswith("target_"))} & set(joined.columns))
+        columns = [c for c in joined.columns if c in tagged.columns]
+        plain = lambda df: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(columns).collect()), key=str)
+        assert plain(joined) == plain(tagged)
+    plan = PR.predict(live, records, boxes, runs, races, run_counts=counts, bounded=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
