@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from formfield import constants as K
 from formfield.functions.numbers import box_prior, listed_price
+from formfield.groups import Sizes, group_sizes
 
 KEY = ["race_id", "tab"]
 GAP_CHUNK = 1024
@@ -18,9 +19,14 @@ def first_by_key(df: DataFrame, by: list[str], *order: Column) -> DataFrame:
     return df.withColumn("__first", first).filter(F.col("__first") == 1).drop("__first")
 
 
+def _numbered(df: DataFrame, sizes: Sizes, order: str) -> DataFrame:
+    """``__k``: 1-based position in the group, a large group by ranges whose counts are carried on to the next."""
+    return sizes.apply(df, lambda d, g: g.rank(d, "__k", F.col(order)))
+
+
 def zip_assign(
     df: DataFrame,
-    by: list[str],
+    by: list[str] | Sizes,
     *,
     taker: Column,
     slot: Column,
@@ -31,14 +37,14 @@ def zip_assign(
 ) -> DataFrame:
     """Give the k-th ``taker`` row (by ``taker_order``) the k-th smallest ``slot_value``.
 
-    Every taker is served while slots last. Both sides are numbered in their group, so a group's takers and its
-    distinct slots are each ordered in one task; the rows themselves are joined by key. ``taker_order`` must be unique
-    among the takers of a group.
+    Every taker is served while slots last. Both sides are numbered in their group, where a large group is ordered by
+    many tasks; the rows themselves are joined by key. ``taker_order`` must be unique among the takers of a group.
+    ``by`` is the key, or the large groups that have been found already.
     """
-    takers = df.filter(taker).select(*by, F.col(taker_order).alias("__id"))
-    takers = takers.withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy("__id")))
-    vacant = df.filter(slot).select(*by, F.col(slot_value).alias("__slot")).distinct()
-    vacant = vacant.withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy("__slot")))
+    sizes = by if isinstance(by, Sizes) else group_sizes(df, by)
+    by = sizes.by
+    takers = _numbered(df.filter(taker).select(*by, F.col(taker_order).alias("__id")), sizes, "__id")
+    vacant = _numbered(df.filter(slot).select(*by, F.col(slot_value).alias("__slot")).distinct(), sizes, "__slot")
     pairs = (
         takers.join(vacant, [*by, "__k"])
         .select(*[F.col(c).alias(f"__{c}") for c in by], "__id", "__slot")
@@ -53,15 +59,21 @@ def zip_assign(
     }).drop("__id", "__slot", *[f"__{c}" for c in by])
 
 
-def sequence_gaps(df: DataFrame, by: list[str], key: str = "tab") -> DataFrame:
+def sequence_gaps(df: DataFrame, by: list[str] | Sizes, key: str = "tab") -> DataFrame:
     """Numbers missing from 1..max(key) in each group.
 
-    Each present number is compared with the one before it, so what is made is the gaps alone, at most GAP_CHUNK numbers
-    per row of the plan.
+    Each present number, and the zero before them, is compared with the next one, so what is made is the gaps alone, at
+    most GAP_CHUNK numbers per row of the plan. In a large group numbers find the next by their rank, which many tasks
+    give. ``by`` is the key, or the large groups that have been found already.
     """
-    before = F.lag(key, 1, 0).over(Window.partitionBy(*by).orderBy(key))
-    present = df.select(*by, F.col(key).cast("long").alias(key)).filter(F.col(key) >= 1).distinct()
-    holes = present.withColumn("__before", before).filter(F.col(key) - F.col("__before") > 1)
+    sizes = by if isinstance(by, Sizes) else group_sizes(df, by)
+    by = sizes.by
+    present = df.select(*by, F.col(key).cast("long").alias(key)).filter(F.col(key) >= 1)
+    present = present.unionByName(present.select(*by, F.lit(0).cast("long").alias(key))).distinct()
+    followed = sizes.apply(
+        present, lambda d, g: g.following(g.rank(d, "__k", F.col(key)), "__next", "__k", key)
+    ).select(*by, F.col(key).alias("__before"), F.col("__next").alias(key))
+    holes = followed.filter(F.col(key) - F.col("__before") > 1)
     chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({key} - __before - 2) div {GAP_CHUNK * GAP_CHUNK}")))
     wide = holes.withColumn("__wide", chunk).withColumn("__from", F.col("__before") + 1 + F.col("__wide") * GAP_CHUNK * GAP_CHUNK)
     inner = F.sequence(F.col("__from"), F.least(F.col(key) - 1, F.col("__from") + GAP_CHUNK * GAP_CHUNK - 1), F.lit(GAP_CHUNK).cast("long"))

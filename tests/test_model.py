@@ -264,3 +264,20 @@ def test_stored_tables_are_predicted_with_one_exchange_and_no_join(spark, sf_dir
         assert plain(joined) == plain(tagged)
     plan = PR.predict(live, records, boxes, runs, races, run_counts=counts, bounded=True)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_seats_and_gaps_of_a_hot_race(spark):
+    """One race with a third of the rows gives what windows give, with no window of that race alone."""
+    hot = spark.range(3_000).select(F.lit(-1).cast("long").alias("race_id"), (F.col("id") * 7 % 4_001 + 1).alias("tab"), (F.col("id") % 2 == 0).alias("scratched"))
+    rest = spark.range(6_000).select((F.col("id") % 900).alias("race_id"), (F.col("id") * 5 % 23 + 1).alias("tab"), (F.col("id") % 3 == 0).alias("scratched"))
+    df = hot.union(rest).withColumns({"line_no": F.monotonically_increasing_id(), "box": F.lit(0).cast("long")}).repartition(5)
+    df = G.durable(df)
+    plain, found = G.Sizes(["race_id"], []), G.group_sizes(df, ["race_id"], 100)
+    assert len(found.keys) == 1
+    seats = dict(taker=~F.col("scratched"), slot=F.col("scratched"), taker_order="line_no", slot_value="tab")
+    a, b = (sorted(map(tuple, R.zip_assign(df, g, **seats).select("race_id", "tab", "line_no", "box", "reserve_into_box").collect())) for g in (plain, found))
+    assert a == b and sum(r[4] for r in a) > 1_000
+    a, b = (sorted(map(tuple, R.sequence_gaps(df, g).select("race_id", "tab").collect())) for g in (plain, found))
+    have = {r[0] for r in df.filter("race_id = -1").select("tab").distinct().collect()}
+    assert a == b and [t for r, t in b if r == -1] == sorted(set(range(1, max(have))) - have)
+    assert R.sequence_gaps(df.limit(0), ["race_id"]).count() == 0
