@@ -126,3 +126,19 @@ def test_near_dedup_keeps_texts_of_null_and_repeated_ids(spark, sf_dir):
     assert sorted((r[1] or "")[:1] for r in got) == ["", "a", "b", "c", "d", "e", "f"]
     assert {(r[0], r[1][0]) for r in got if r[1]} == {(None, "a"), (None, "b"), (5, "c"), (5, "d"), (7, "e"), (3, "f")}
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_stages_keep_columns_of_any_name_and_take_empty_tables(spark, sf_dir):
+    """Columns that stages use themselves come out as they went in; each stage takes a table without rows."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    names = ("n_lines", "n_removed", "found", "row_key", "own", "text_key", "component", "first", "score")
+    wide = docs.selectExpr("*", *(f"concat(doc_id, ' {n}') AS `{n}`" for n in names), "doc_id AS `a b.c`")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, wide, sf_dir)
+        if name != "source_mixing":
+            assert out.columns == wide.columns
+            rows = out.collect()
+            assert rows and all(r[n] == f"{r.doc_id} {n}" for r in rows for n in names) and all(r["a b.c"] == r.doc_id for r in rows)
+        else:
+            assert out.count() == docs.count()
+        assert stage(spark, wide.limit(0), sf_dir).count() == 0
