@@ -53,7 +53,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = classes.where(F.col("first") == F.col("component")).select("first.a", "first.b").distinct()
     marked = docs.withColumns({key + "_a": at["a"], key + "_b": at["b"]})
     found = marked.join(kept, (marked[key + "_a"] == kept["a"]) & (marked[key + "_b"] == kept["b"]), "left_semi")
-    return found.dropDuplicates([key + "_a", key + "_b"]).select(docs.columns)
+    return found.dropDuplicates([key + "_a", key + "_b"]).select(*(quoted(c) for c in docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
