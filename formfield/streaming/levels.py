@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from formfield.sources.files import exists
 from formfield.sources.pages import PAGE_COLUMNS, latest_capture
 
 #: Entries of merged runs; a leading underscore hides them from readers of the log.
@@ -39,11 +40,6 @@ class Run:
         return self.level == 0 or any(self.first <= p <= self.last for p in pages)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
 def _batches(spark: SparkSession, log: str) -> set[str]:
     """The partitions of the log that hold files, as ``run=…/batch_id=…``."""
     files = spark.read.schema(STORED).parquet(log).inputFiles()
@@ -53,7 +49,7 @@ def _batches(spark: SparkSession, log: str) -> set[str]:
 def live_runs(spark: SparkSession, log: str) -> list[Run]:
     """The runs that together hold the current state: what no merged run replaces. One row per merged run is read."""
     entries = []
-    if _exists(spark, f"{log}/{ENTRIES}"):
+    if exists(spark, f"{log}/{ENTRIES}"):
         entries = spark.read.schema(ENTRY).option("recursiveFileLookup", True).parquet(f"{log}/{ENTRIES}").collect()
     merged = {f"run={e.run}/batch_id=-1": Run(f"run={e.run}/batch_id=-1", e.level, e.first_page, e.last_page, e.pages) for e in entries}
     replaced = {path for e in entries for path in e.replaces}

@@ -13,6 +13,9 @@ from formfield.groups import durable
 from formfield.plans import extract as E
 from formfield.plans import predict as PR
 from formfield.operators import relational as R
+from formfield.plans.remembered import remember, remembered_forms
+from formfield.sources.published import publish_view, read_view
+from formfield.sources.raw import decode_pages
 from formfield.sources.pages import gate_pages, read_pages, spread, write_view
 from formfield.plans import views as V
 from formfield.streaming.captures import current_pages, ingest
@@ -201,6 +204,29 @@ def s2_gate_pages(spark, d):
     return kept.select("doc_id", F.lit(True).alias("kept")).unionByName(rejected.select("doc_id", F.lit(False).alias("kept")))
 
 
+@register("s1_decode_pages", """
+    select doc_id, case when text is not null and doc_id % 5 in (0, 2) then md5(text) end as digest,
+        case when text is null then null when doc_id % 5 = 1 then octet_length(encode(text))
+            when doc_id % 5 = 3 then octet_length(encode(substr(text, 1, length(text) // 2))) when doc_id % 5 = 4 then 0 end as byte_offset,
+        case when text is null then 'no content' when doc_id % 5 = 1 then 'ends within a character'
+            when doc_id % 5 = 3 then 'byte that UTF-8 never has' when doc_id % 5 = 4 then 'continuation byte without a start' end as reason
+    from documents""")
+def s1_decode_pages(spark, d):
+    """Whole texts as bytes, four in five of them with a byte order mark, cut at the end, or with a wrong byte inside or before."""
+    docs = dealt(B.table(spark, d, "documents")).select("doc_id", "text")
+    half = F.floor(F.length("text") / 2).cast("int")
+    utf8 = lambda c: F.encode(c, "UTF-8")
+    byte = lambda x: F.unhex(F.lit(x))
+    kind, whole = F.col("doc_id") % 5, utf8(F.col("text"))
+    content = (
+        F.when(kind == 1, F.concat(whole, byte("E282"))).when(kind == 2, F.concat(byte("EFBBBF"), whole))
+        .when(kind == 3, F.concat(utf8(F.substr("text", F.lit(1), half)), byte("FF"), utf8(F.substr("text", half + 1))))
+        .when(kind == 4, F.concat(byte("80"), whole)).otherwise(whole)
+    )
+    good, bad = decode_pages(docs.select("doc_id", content.alias("content")))
+    return good.select("doc_id", F.md5("text").alias("digest")).unionByName(bad.drop("content"), allowMissingColumns=True)
+
+
 @register("s3_write_view", over("contest_raw", query="""
     select race_id, count(*) as listed, cast(count_if(not scratched) as bigint) as active, cast(count_if(scratched) as bigint) as scratched
     from contest_raw group by race_id"""))
@@ -210,6 +236,17 @@ def s3_write_view(spark, d):
     return spark.read.schema("race_id long, listed long, active long, scratched long").csv(path, header=True)
 
 
+@register("s3_publish_view", over("contest_raw", query="""
+    select race_id, count(*) as listed, cast(count_if(not scratched) as bigint) as active, cast(count_if(scratched) as bigint) as scratched
+    from contest_raw group by race_id"""))
+def s3_publish_view(spark, d):
+    """Published without its scratched runners, then whole; what is read is the second version, compared with its manifest."""
+    path, listed = shared_folder(spark, "published"), B.contest_raw(spark, d)
+    publish_view(V.listing_metrics(listed.filter("not scratched")), path, "race_id")
+    publish_view(V.listing_metrics(listed), path, "race_id")
+    return read_view(spark, path, verify=True)
+
+
 @register("s4_stream_captures", """
     select cast(user_id as varchar) as page_id, event_type as text from events
     qualify row_number() over (partition by user_id order by ts desc) = 1""")
@@ -337,6 +374,17 @@ def t13_first_non_empty(spark, d):
     return tidy(df.filter("tab is not null"))
 
 
+@register("t13_remembered_forms", over("page_runners", extra=PAGE, query=f"""
+    select race_id, tab, box, horse, {rounded('weight')}, trainer, scratched, {rounded('tab_odds')}, tab > 8 and box > 0 as reserve_into_box from page_runners"""))
+def t13_remembered_forms(spark, d):
+    """All but every twentieth page are parsed and remembered, then only the pages that are new; forms of all come from the store."""
+    log, store = pages(spark, d), shared_folder(spark, "remembered")
+    remember(log.filter("page_id % 20 > 0"), store)
+    remember(log, store)
+    forms = remembered_forms(log, store).withColumn("race_id", F.col("race_id").cast("long")).filter("tab is not null")
+    return tidy(forms, "race_id", "tab", "box", "horse", "weight", "trainer", "scratched", "tab_odds", "reserve_into_box")
+
+
 @register("t14_find_block_starts", over("page_runners", extra=PAGE, query="""
     select race_id, tab, row_number() over (partition by race_id order by tab) as nth from page_runners where shown"""))
 def t14_find_block_starts(spark, d):
