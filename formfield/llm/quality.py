@@ -9,15 +9,17 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formfield.llm.common import held_out, quoted, rows, utf8
 
 #: Labelled documents the model is fitted on, chosen by a hash of their ids.
 FIT_DOCUMENTS = 4_000
-#: Lines of one such document that are used for fitting: a run from its middle if it has more.
-FIT_LINES = 400
+#: Bytes of their whole texts together; the documents beyond it in that order are left out of the sample.
+FIT_BYTES = 64 << 20
+#: Lines of a stretch; fitting steps through the stretches of all documents side by side.
+STRETCH = 400
 #: Fold of crc32(doc_id) whose labels are never learnt.
 FOLDS, HELD_OUT = 5, 0
 
@@ -158,11 +160,16 @@ def _fit_chain(x: list[np.ndarray], y: list[np.ndarray], node: np.ndarray, round
     return params[:-4], params[-4:].reshape(2, 2)
 
 
+def _stretches(sequences: list[np.ndarray]) -> list[np.ndarray]:
+    return [v[k:k + STRETCH] for v in sequences for k in range(0, len(v), STRETCH)]
+
+
 def fit_model(samples: list[tuple[bytes, int]]) -> Model:
     """Fits on (text, quality) pairs.
 
     A line first takes its document's label. Lines of bad documents that a plain line classifier finds good are then
-    relabelled, so that the chain learns where bad stretches begin and end.
+    relabelled, so that the chain learns where bad stretches begin and end. Every line is learnt from; the chain of a
+    document of more than STRETCH lines is cut there, which leaves out one transition in STRETCH and no neighbour features.
     """
     width = 3 * OWN
     if len({label for _, label in samples}) < 2:
@@ -172,9 +179,8 @@ def fit_model(samples: list[tuple[bytes, int]]) -> Model:
     for text, label in samples:
         own = with_neighbours(line_features(text)[0])
         if len(own):
-            start = max(0, (len(own) - FIT_LINES) // 2)
-            x.append(own[start:start + FIT_LINES])
-            y.append(np.full(len(x[-1]), label))
+            x.append(own)
+            y.append(np.full(len(own), label))
             kept.append((text, label))
     base = np.mean([label for _, label in samples])
     if len({label for _, label in kept}) < 2:
@@ -185,7 +191,7 @@ def fit_model(samples: list[tuple[bytes, int]]) -> Model:
         if not y[k][0]:
             doubt = lines @ plain
             y[k] = ((doubt > 0) & (doubt > doubt.min())).astype(int)
-    node, edge = _fit_chain(x, y, plain)
+    node, edge = _fit_chain(_stretches(x), _stretches(y), plain)
     model = Model(np.zeros(width), node, edge)
     shares = np.array([[1.0, model.share(text)] for text, _ in kept])
     labels = np.array([label for _, label in kept])
@@ -197,20 +203,24 @@ def fit_model(samples: list[tuple[bytes, int]]) -> Model:
 
 def fit(
     documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
-    fit_documents: int = FIT_DOCUMENTS, folds: int = FOLDS, fold: int = HELD_OUT,
+    fit_documents: int = FIT_DOCUMENTS, folds: int = FOLDS, fold: int = HELD_OUT, fit_bytes: int = FIT_BYTES,
 ) -> Model:
-    """Fits the model on at most ``fit_documents`` labelled documents whose fold is learnt.
+    """Fits the model on at most ``fit_documents`` labelled documents whose fold is learnt, with whole texts.
 
-    They are the ones whose ids hash lowest, so the choice follows neither order nor partitions. Null labels and ids are
-    left out; a repeated id contributes one row per distinct label and text.
+    They are the ones whose ids hash lowest, so the choice follows neither order nor partitions, and of them those whose
+    texts together stay within ``fit_bytes``; a text that is longer alone is never learnt. Null labels and ids are left
+    out; a repeated id contributes one row per distinct label and text.
     """
     known = labels.select(quoted(doc_id).alias("doc_id"), quoted(label).cast("int").alias("label"))
     known = known.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", folds, fold))
     chosen = known.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(fit_documents)
     texts = documents.select(quoted(doc_id).alias("doc_id"), utf8(text).alias("text")).where("text is not null")
     # At most fit_documents ids, so the broadcast is bounded
-    found = texts.join(F.broadcast(chosen), "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "text", "label")
-    return fit_model([(bytes(r["text"]), r["label"]) for r in found.limit(fit_documents).collect()])
+    found = texts.where(F.octet_length("text") <= fit_bytes).join(F.broadcast(chosen), "doc_id").distinct()
+    order = [F.xxhash64("doc_id"), F.col("text"), F.col("label")]
+    # The window is over fit_documents rows at most
+    found = found.orderBy(*order).limit(fit_documents).withColumn("so_far", F.sum(F.octet_length("text")).over(Window.orderBy(*order)))
+    return fit_model([(bytes(r["text"]), r["label"]) for r in found.where(F.col("so_far") <= fit_bytes).orderBy("so_far", *order).collect()])
 
 
 def score_column(model: Model, text: str = "text") -> Column:

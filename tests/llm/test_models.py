@@ -110,3 +110,31 @@ def test_tables_with_odd_rows(spark, module, label, docs):
 
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % module.FOLDS == module.HELD_OUT) for r in got)
     assert module.score_documents(table.limit(0), module.fit(table.limit(0), labels.limit(0))).count() == 0
+
+
+def test_every_line_of_a_long_document_is_learnt():
+    """Bad lines only at the two ends of long documents, which a run from the middle would miss."""
+    good, bad = "A plain sentence of some words follows here.\n", "$$ BUY || NOW || 999 !!\n"
+    long_bad = bad * 300 + good * 500 + bad * 300
+    samples = [((good * (5 + k)).encode(), 1) for k in range(40)] + [(long_bad.encode(), 0)] * 6
+    model = quality.fit_model(samples)
+    assert model.score((bad * 10).encode()) < 0.3 < 0.7 < model.score((good * 10).encode())
+    cut = quality._stretches([np.arange(n) for n in (0, 1, 400, 401, 1000)])
+    assert [len(v) for v in cut] == [1, 400, 400, 1, 400, 400, 200]
+    assert np.concatenate(cut).sum() == sum(n * (n - 1) // 2 for n in (1, 400, 401, 1000))
+
+
+def test_quality_sample_is_bounded_by_bytes(spark):
+    docs = spark.createDataFrame([(k, "word " * (k + 1)) for k in range(60)] + [(60, None), (61, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(62)], "doc_id long, quality int")
+    seen = []
+    keep = quality.fit_model
+    try:
+        quality.fit_model = lambda samples: seen.append(samples)
+        for most in (quality.FIT_BYTES, 1_000, 0):
+            quality.fit(docs, labels, fit_bytes=most)
+    finally:
+        quality.fit_model = keep
+    whole, some, none = seen
+    assert sum(len(t) for t, _ in some) <= 1_000 and 0 < len(some) < len(whole)
+    assert all(t == b"word " * (len(t) // 5) for t, _ in whole) and {t for t, _ in none} <= {b""}
