@@ -7,9 +7,15 @@ With win probabilities ``r`` (scaled to sum to one), ordered pairs collapse to s
     T(i,k)    = r_i r_k (1/(1-r_i) + 1/(1-r_k)) / (1 - r_i - r_k)
     mean position(i) = 1/2 + sum_j r_j / (r_i + r_j)
 
-so no pair of runners is ever emitted as a row. A race field reads its own short list of ``r``. A group of more than
-LISTED_RUNNERS rows is summed the same way over arrays of CHUNK values: each row meets each array of its group, which
-spreads the group over many tasks and costs n / CHUNK rows per row, n values in all. Both give the same values.
+so no pair of runners is ever emitted as a row. A race field reads its own short list of ``r``. For a group of more than
+LISTED_RUNNERS rows the same sums come from power sums, so that the cost grows with its rows and not with their square:
+
+* shares add up to one, so few are above SMALL_SHARE. T(i,k) is summed over those one by one, and over the small ones by the
+  powers of r_k / (1 - r_i), a thirty-second at most; a runner above one half, of which there is one at most, sums directly.
+* r_j / (r_i + r_j) is summed by bins of a quarter of an octave: with the bin's centre c, r_j = c (1 + d) and
+  u = c / (r_i + c) it is u (1 + d) (1 - du + d^2 u^2 - ...), where d is a tenth at most.
+
+What the series leave out lies below the rounding of a double. Both forms give the same values.
 
 Limits: where a share lies below TINY, all shares of the group are lifted by it. A share of zero then comes last, several of
 them in any order; behind a certain winner the others follow their shares; a group without any chance is uniform.
@@ -23,7 +29,10 @@ from pyspark.sql import functions as F
 from formfield.groups import Groups, group_operator, join_back
 
 LISTED_RUNNERS = 64
-CHUNK = 1024
+SMALL_SHARE = 1 / 64
+PAIR_POWERS = 12
+BINS_PER_OCTAVE = 4
+BIN_POWERS = 17
 TINY = 1e-9
 
 
@@ -81,23 +90,61 @@ def _in_field(df: DataFrame, g: Groups, p: str, size: str | None) -> DataFrame:
     return _finish(g.stats(df, __pairs=F.sum("__own_pairs")).drop("__field", "__others"))
 
 
+def _power_sums(df: DataFrame, g: Groups) -> DataFrame:
+    """One row per group: its shares above SMALL_SHARE, the power sums of the small ones and of each bin, and the pair sum of
+    its largest share. Sums are combined before they are exchanged; a task sends a row per bin."""
+    r, top = F.col("__share"), F.col("__top")
+    octave = F.signum(r) * (F.floor(F.log2(F.abs(r)) * BINS_PER_OCTAVE) + 10_000)
+    centre = F.signum("__bin") * F.pow(F.lit(2.0), (F.abs("__bin") - 9_999.5) / BINS_PER_OCTAVE)
+    d, small = F.col("__d"), F.when(F.abs(r) <= SMALL_SHARE, r)
+    binned = df.withColumn("__bin", octave).withColumn("__centre", centre).withColumn("__d", (r - F.col("__centre")) / F.col("__centre"))
+    powers = range(1, PAIR_POWERS + 1)
+    bins = binned.groupBy(*g.by, "__bin", "__centre").agg(
+        F.array(*[F.sum(F.pow(d, F.lit(k)) * (1.0 + d)) for k in reversed(range(BIN_POWERS))]).alias("__e"),
+        F.array(*[F.sum(F.pow(small, F.lit(k))) for k in powers]).alias("__m"),
+        F.array(*[F.sum(F.pow(small, F.lit(k)) / (1.0 - small)) for k in powers]).alias("__n"),
+        F.collect_list(F.when(F.abs(r) > SMALL_SHARE, r)).alias("__listed"),
+        F.sum(F.when(r < top, _pair(top, r))).alias("__of_top"),
+    )
+    whole = lambda c: F.array(*[F.coalesce(F.sum(F.get(c, k - 1)), F.lit(0.0)) for k in powers])
+    return bins.groupBy(*g.by).agg(
+        F.collect_list(F.when(F.col("__centre").isNotNull(), F.struct(F.col("__centre").alias("c"), F.col("__e").alias("e")))).alias("__bins"),
+        whole("__m").alias("__m"), whole("__n").alias("__n"),
+        F.flatten(F.collect_list("__listed")).alias("__listed"), F.coalesce(F.sum("__of_top"), F.lit(0.0)).alias("__of_top"),
+    )
+
+
+def _own_pairs(r: Column) -> Column:
+    """Sum of T over all others from the power sums."""
+    x = 1.0 / (1.0 - r)
+    series = F.lit(0.0)
+    terms = F.zip_with("__m", "__n", lambda m, n: x * m + n)
+    series = F.aggregate(F.reverse(terms), series, lambda acc, t: (acc + t) * x)
+    is_small = F.abs(r) <= SMALL_SHARE
+    listed = F.when(is_small, F.col("__listed")).otherwise(_without_self(F.col("__listed"), r))
+    summed = _sum_over(listed, lambda s: _pair(r, s)) + r * series - F.when(is_small, _pair(r, r)).otherwise(0.0)
+    return F.when(r > 0.5, F.col("__of_top")).otherwise(summed)
+
+
+def _behind(r: Column) -> Column:
+    """Sum of s / (r + s) over all others from the power sums of the bins."""
+    near = F.transform("__bins", lambda b: F.struct((b["c"] / (r + b["c"])).alias("u"), b["e"].alias("e")))
+    term = lambda b: b["u"] * F.aggregate(b["e"], F.lit(0.0), lambda acc, e: e - acc * b["u"])
+    return _sum_over(near, term) - F.when(r == 0.0, 0.0).otherwise(0.5)
+
+
 def _in_large_group(df: DataFrame, g: Groups, p: str, tie: str, size: str | None) -> DataFrame:
     df = g.settle(_share(g.settle(df), g, p, size))
     r = F.col("__share")
-    pieces = F.ceil(F.col("__count") / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64(tie), pieces).cast("int")
-    rows = df.select(*g.by, F.col(tie).alias("__tie"), "__share", own.alias("__own"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("__piece"))
-    fields = df.groupBy(*g.by, own.alias("__piece")).agg(F.collect_list("__share").alias("__field"))
-    met = join_back(rows, fields, [*g.by, "__piece"], small=False)
-    others = F.when(F.col("__own") == F.col("__piece"), _without_self(F.col("__field"), r)).otherwise(F.col("__field"))
-    met = met.withColumn("__others", others)
-    sums = met.groupBy(*g.by, F.col("__tie").alias(tie)).agg(
-        F.sum(_sum_over(F.col("__others"), lambda s: _pair(r, s))).alias("__own_pairs"),
-        (1.0 + F.sum(_sum_over(F.col("__others"), lambda s: s / (r + s)))).alias("__mean"),
+    sums = _power_sums(g.stats(df, __top=F.max("__share")), g)
+    rows = join_back(df.select(*g.by, F.col(tie).alias("__tie"), "__share"), sums, g.by, small=g.listed)
+    rows = rows.select(*g.by, "__tie", _own_pairs(r).alias("__own_pairs"), _behind(r).alias("__behind"))
+    own = rows.groupBy(*g.by, F.col("__tie").alias(tie)).agg(
+        F.coalesce(F.sum("__own_pairs"), F.lit(0.0)).alias("__own_pairs"),
+        (1.0 + F.coalesce(F.sum("__behind"), F.lit(0.0))).alias("__mean"),
     )
-    df = join_back(df, sums, [*g.by, tie], small=False)
-    df = g.settle(g.stats(df, __firsts=F.sum(r / (1.0 - r))))
-    return _finish(g.stats(df, __pairs=F.sum("__own_pairs")))
+    df = g.settle(join_back(df, own, [*g.by, tie], small=False))
+    return _finish(g.stats(df, __firsts=F.sum(r / (1.0 - r)), __pairs=F.sum("__own_pairs")))
 
 
 @group_operator(limit=LISTED_RUNNERS)

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from formfield.functions.numbers import fixed_point, freshness_score
 from formfield.operators import field as W
 from formfield.operators import history as H
 from formfield.operators import relational as R
-from formfield.operators.finish import finish_order_probs
+from formfield.operators.finish import SMALL_SHARE, TINY, _power_sums, finish_order_probs
 from formfield.plans import predict as PR
 from suite import bindings as B
 
@@ -194,6 +195,34 @@ def test_finish_probabilities_are_the_same_in_one_task_and_spread(spark, n):
     assert sum(r.exp_pos for r in spread) == pytest.approx(n * (n + 1) / 2)
 
 
+@pytest.mark.parametrize("largest", [0.0, 0.02, 0.4, 0.9, 0.99])
+def test_finish_probabilities_of_a_large_group_by_power_sums(spark, largest):
+    """Against all pairs, with shares of many magnitudes; what a row meets does not grow with the group."""
+    rng = np.random.default_rng(7)
+    p = np.concatenate([10.0 ** rng.uniform(-6, 0, 2500), np.full(500, 0.01)])
+    p = p / p.sum() * (1 - largest)
+    if largest:
+        p = np.append(p, largest)
+    rows = [(1, i, float(x)) for i, x in enumerate(p)]
+    df = spark.createDataFrame(rows, "race_id int, tab int, p_win double")
+    got = by_group_size_finish(df, 10)
+    if p.min() < TINY:
+        p = (p + TINY) / (1 + len(p) * TINY)
+    r, s = p[:, None], p[None, :]
+    pair = r * s * (1 / (1 - r) + 1 / (1 - s)) / np.maximum(1 - r - s, 1e-15)
+    np.fill_diagonal(pair, 0.0)
+    own, behind = pair.sum(1), (s / (r + s)).sum(1) - 0.5
+    firsts = (p / (1 - p)).sum()
+    top2 = p + p * (firsts - p / (1 - p))
+    top3 = top2 + p * np.maximum(own.sum() / 2 - own, 0.0)
+    assert [x.top2 for x in got] == pytest.approx(np.minimum(top2, 1.0), abs=1e-12)
+    assert [x.top3 for x in got] == pytest.approx(np.minimum(top3, 1.0), abs=1e-11)
+    assert [x.exp_pos for x in got] == pytest.approx(1 + behind, rel=1e-12)
+    shares = df.select("race_id", F.col("p_win").alias("__share"), F.lit(float(p.max())).alias("__top"))
+    met = _power_sums(shares, G.Groups(["race_id"], spread=True, listed=True)).first()
+    assert len(met["__bins"]) < 100 and len(met["__listed"]) < 1 / SMALL_SHARE
+
+
 def test_sequence_gaps_are_whole(spark):
     df = spark.createDataFrame([(1, 3), (1, 3), (1, 1_050_000), (2, 1), (2, 2), (3, None), (3, 4), (4, -2)], "race_id int, tab int")
     got = R.sequence_gaps(df, ["race_id"])
