@@ -38,7 +38,7 @@ def pages(spark, d) -> DataFrame:
     """Rendered pages, written once per application and read by every query."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _PAGES:
-        _PAGES[key] = dealt(durable(render.pages(spark, d)))
+        _PAGES[key] = durable(render.pages(spark, d))
     return _PAGES[key]
 
 
@@ -295,12 +295,17 @@ def s4_stream_predictions(spark, d):
 
 @register("s1_read_pages", over("races", query="select cast(race_id as varchar) as page_id, 'CUP NUMBER ' || race_id as race_name from races"))
 def s1_read_pages(spark, d):
-    """Pages written as one text file each into 64 folders and read back; the whole text tells which page it is."""
+    """Pages written as one text file each into 64 folders and read back; the whole text tells which page it is.
+
+    Every task puts its files in place itself, as a commit by the driver moves them one by one; they are listed by folder,
+    as a pattern of files is looked up file by file.
+    """
     path = shared_folder(spark, "pages")
     written = pages(spark, d).select("page_id", "text")
     dealt = written.select("text", F.pmod(F.xxhash64("page_id"), F.lit(64)).alias("folder"))
-    dealt.repartition("folder").write.option("maxRecordsPerFile", 1).partitionBy("folder").text(path)
-    read = read_pages(spark, f"{path}/*/*.txt").filter("captured_at is not null").select(
+    moved = {"maxRecordsPerFile": 1, "mapreduce.fileoutputcommitter.algorithm.version": 2}
+    dealt.write.options(**moved).partitionBy("folder").text(path)
+    read = read_pages(spark, path).filter("captured_at is not null").select(
         F.md5(F.regexp_replace("text", r"\n\z", "")).alias("digest"), E.race_header(X.clean_text("text"))["race_name"].alias("race_name"))
     known = written.select("page_id", F.md5("text").alias("digest"))
     return known.join(read, "digest").select("page_id", "race_name")
@@ -526,9 +531,11 @@ def pages_to_runners(spark, d):
     union all select race_id, 'few_runs', null, count(*) || ' active runner(s) have fewer than three parsed recent runs; model confidence is reduced.'
         from judged where not scratched and n_runs < 3 group by race_id""").replace("\n    with judged as (", ",\njudged as (", 1))
 def pages_to_warnings(spark, d):
-    f = forms(spark, d)
-    runners = E.runners(f.withColumn("n_runs", F.size("run_lines")))
-    return R.quality_warnings(runners, E.races(f))
+    # Warnings read the runners several times, so what they need of the forms is stored first
+    f = forms(spark, d).select(
+        "race_id", "captured_at", "race", "listed_no", "tab", "horse", "box", "scratched", "has_detail", F.size("run_lines").alias("n_runs"))
+    f = durable(f)
+    return R.quality_warnings(E.runners(f), E.races(f))
 
 
 @register("pages_to_predictions", _end_to_end(f"select race_id, tab, box, horse, pred_rank, early_rank, conf, rec, {rounded(*_NUMBERS)} from predicted"))

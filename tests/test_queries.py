@@ -30,3 +30,12 @@ def test_query_matches_sql(spark, sf_dir, con, name):
 
 def test_entry_runs(spark):
     assert registry.entry(spark).count() > 0
+
+
+def test_pages_are_read_as_dealt_and_parsed_once(spark, sf_dir):
+    """No query deals the rendered pages again, and the warnings' branches share one stored extraction."""
+    from suite import page_queries
+
+    plan = lambda df: df._jdf.queryExecution().toString()
+    assert "Exchange" not in plan(page_queries.pages(spark, sf_dir))
+    assert "regexp_extract" not in plan(registry.queries()["pages_to_warnings"](spark, sf_dir))
