@@ -3,6 +3,8 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from formfield import constants as K
+from formfield.functions import patterns as PT
 from formfield.plans import extract as E
 from formfield.plans.predict import predict_forms, race_summary, rejected_forms
 from formfield.plans.views import parsed_view
@@ -177,3 +179,31 @@ def test_races_that_are_too_small_are_returned(spark):
     forms = E.runner_forms(pages)
     assert [(r.race_id, r.n_active) for r in rejected_forms(forms).collect()] == [("one", 1)]
     assert {r.race_id for r in predict_forms(forms).collect()} == {"A"}
+
+
+def test_white_space_classes_hold_the_listed_characters(spark):
+    """Visible ASCII is turned away first; that changes no character of the class."""
+    listed = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+    chars = spark.createDataFrame([(chr(i),) for i in range(1, 0x3100)], "c string")
+    for new, old in ((f"^[{PT.WS}]\\z", f"^[{listed}]\\z"), (f"(?s)^[^{PT.WS}]\\z", f"(?s)^[^{listed}]\\z")):
+        assert chars.filter(F.col("c").rlike(new) != F.col("c").rlike(old)).count() == 0
+    texts = [" a  b\n\tc \u00a0 d\r\n e\u2003f  ", "\n\n x \n", "a b", "\u00a0", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(F.regexp_replace("t", PT.WS_RUN, " ").alias("new"), F.regexp_replace("t", f"[{listed}]+", " ").alias("old")).collect()
+    assert all(r.new == r.old for r in got)
+
+
+def test_text_before_a_block_is_its_end_only(spark):
+    """However long a page is, a runner carries PREFIX_CHARS of what stands before its block; blank lines count from all of it."""
+    names = ["ALPHA ONE", "BRAVO TWO", "CHARLIE THREE"]
+    gaps = [["word " * 30] * 40, ["x"] * 5 + [""] * 400, ["12345", "betfair$4.50", "", ""]]
+    lines, listed = ["Tab"], []
+    for tab, (name, gap) in enumerate(zip(names, gaps), 1):
+        lines += [*gap, f"{name}  3yo BK D"]
+        listed.append((tab, name))
+    lines = [x.strip() for x in lines]
+    df = spark.createDataFrame([("p", lines, listed)], "page_id string, lines array<string>, listed array<struct<tab:int,horse:string>>")
+    for r in E.assign_blocks(df).collect():
+        above = "\n".join(lines[: lines.index(f"{r.runner.horse}  3yo BK D")])
+        filled = above.rstrip("\n")
+        assert r.before == (filled + "\n")[-K.PREFIX_CHARS:] and r.blank_lines == len(above) - len(filled)
