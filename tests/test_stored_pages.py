@@ -6,9 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from formfield.plans.extract import runner_forms
+from formfield.plans.predict import predict_forms
 from formfield.plans.remembered import remember, remembered_forms
 from formfield.sources import published as PV
 from formfield.sources import raw
+from formfield.sources.pages import newest_captures
+from suite import page_queries as Q
 from tests import page_writer as P
 
 NOON = datetime.datetime(2026, 8, 25, 12)
@@ -152,3 +155,48 @@ def test_only_unseen_texts_are_parsed(spark, tmp_path):
     got = remembered_forms(log(5), store)
     assert got.schema.names == runner_forms(log(5)).schema.names
     assert forms(got) == forms(runner_forms(log(5)))
+
+
+# --- repeated captures ----------------------------------------------------------------------------
+
+CAPTURES = "page_id string, captured_at timestamp, text string"
+EARLIER = NOON - datetime.timedelta(hours=1)
+
+
+@pytest.mark.parametrize("sent_pages", [1000, 0])
+def test_only_newest_captures_are_kept(spark, sent_pages):
+    page, other = P.page(P.FIELD_A, "weight"), P.page(P.FIELD_B, "money")
+    kept = [("1", NOON, page), ("2", NOON, page), ("2", NOON, other), ("3", None, other), (None, NOON, other), ("4", NOON, None), ("5", NOON, "")]
+    more = [
+        ("1", EARLIER, other), ("1", None, other), ("1", NOON, page), ("2", EARLIER, page), ("3", None, other), (None, EARLIER, page),
+        (None, None, page), ("4", EARLIER, page), ("4", NOON, None), ("5", EARLIER, page),
+    ]
+    log = spark.createDataFrame(kept + more, CAPTURES)
+    newest = newest_captures(log.withColumn("spare", F.lit(1)), sent_pages)
+    assert newest.columns == log.columns
+    assert sorted(newest.collect(), key=str) == sorted(spark.createDataFrame(kept, CAPTURES).collect(), key=str)
+
+    def predicted(df):
+        got = predict_forms(runner_forms(df)).collect()
+        return sorted((str(r.race_id), r.tab, r.horse, round(r.p_win, 9)) for r in got)
+
+    if sent_pages:
+        assert predicted(newest) == predicted(log)
+    assert newest_captures(log.limit(0), sent_pages).count() == 0
+
+
+def test_repeated_predictions_parse_a_page_once(spark, monkeypatch):
+    texts = [P.page(P.FIELD_A, "weight"), P.page(P.FIELD_B, "money")]
+    log = spark.createDataFrame([(str(i), NOON, t) for i, t in enumerate(texts)], CAPTURES)
+    parsed = []
+
+    def parse(df):
+        parsed.extend(df.collect())
+        return runner_forms(df)
+
+    monkeypatch.setattr(Q, "pages", lambda *_: log)
+    monkeypatch.setattr(Q.E, "runner_forms", parse)
+    got = Q.pages_to_predictions_repeated(spark, None)
+    assert sorted(parsed) == sorted(log.collect())
+    active = [(i, r["tab"]) for i, field in enumerate((P.FIELD_A, P.FIELD_B)) for r in field if not r["scratched"]]
+    assert sorted((r.race_id, r.tab) for r in got.collect()) == sorted(active)
