@@ -2,10 +2,12 @@
 
 import datetime
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from formfield.plans.extract import runner_forms
 from formfield.plans.predict import predict_forms
+from formfield.streaming import live
 from formfield.streaming.live import changed_pages, current_predictions, predict_stream
 from tests import page_writer as P
 
@@ -71,3 +73,20 @@ def test_state_goes_with_the_watermark(spark, tmp_path):
         held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
     assert held[-1] < 4
     assert sorted(r.page_id for r in spark.read.parquet(log).collect()) == sorted("abcdefghxyz")
+
+
+def test_texts_go_to_the_state_a_few_at_a_time(spark, tmp_path, monkeypatch):
+    """A page captured 200 times in a batch reaches the state function in small parts, as does every page of a task."""
+    folder, log, check = (str(tmp_path / n) for n in ("in", "log", "check"))
+    spark.createDataFrame([("one", at(n), f"capture {n} " * 40) for n in range(200)], SCHEMA).coalesce(1).write.parquet(folder)
+
+    def largest(key, parts, state):
+        sizes = [len(part) for part in parts]
+        yield pd.DataFrame({"page_id": [key[0]], "at": [sum(sizes)], "digest": [max(sizes)], "text": ["x"]})
+
+    monkeypatch.setattr(live, "_newest", largest)
+    before = {k: spark.conf.get(k, None) for k in live.STREAM_CONF}
+    predict_stream(spark.readStream.schema(SCHEMA).parquet(folder), log, check).awaitTermination()
+    [row] = spark.read.parquet(log).select(F.unix_micros("captured_at").alias("rows"), "digest").collect()
+    assert row.rows == 200 and row.digest <= 16
+    assert {k: spark.conf.get(k, None) for k in live.STREAM_CONF} == before
